@@ -11,8 +11,9 @@ exact up to 64-bit hash collisions and returns connected components of the link
    compared with a few members each (pivots) that go to all cells; links found join classes to clusters.
 4. Token-group matrix over clusters: the union of each cluster's tokens, inverted by token.  A cluster is open if at
    least ``ceil(t n)`` of its tokens, for its smallest n, are in other clusters' unions.
-5. Members of open clusters query the other open clusters that hold one of their rarest tokens.  A cell of a cluster
-   is opened only if its union overlaps the query in ``ceil(t n)`` tokens; then its members are compared exactly.
+5. Members of open clusters query the groups, their own included, whose open members of other clusters have one of their
+   rarest tokens.  A cell of a group is opened only if its union overlaps the query in ``ceil(t n)`` tokens; then its
+   members are compared exactly.
 6. Components of clusters are found by large-star and small-star steps.
 
 Every shuffle carries tokens in packed arrays, a token that is frequent within one task is sent once, groups are split
@@ -151,7 +152,8 @@ def _credit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # rows of one class alone (it was sent by several tasks) share nothing, unless a task has seen it shared
     wide = np.repeat((least != greatest) | (np.maximum.reduceat(lone, at) == 2), ends - at)
     leader = np.repeat(least, ends - at)
-    pick = wide & (lone == 1)
+    # the least holder in a task, which stands for the others there, votes here too: so groups of several tasks meet
+    pick = wide
     triples = np.stack([got[pick, 2], leader[pick], got[pick, 1]], 1)
     if not len(triples):
         return
@@ -208,7 +210,7 @@ def _links(overlap: np.ndarray, nq: np.ndarray, nm: np.ndarray, percent: int) ->
 
 def _open_cells(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Cells come sorted, each with its queries first.  Yields links (u, v) that span what is linked within a cell."""
-    cell, queries, names, block, parent = None, [], [], [], []
+    cell, queries, names, clusters, block, parent = None, [], [], [], [], []
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -219,7 +221,7 @@ def _open_cells(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
     def flush() -> list[tuple[int, int]]:
         if not block or not queries:
             return []
-        members = [x for _, x in block]
+        members = [x for _, _, x in block]
         union = np.unique(np.concatenate(members))
         nq, nm = np.array([len(q) for q in queries]), np.array([len(m) for m in members])
         bound = np.array([np.count_nonzero(union[np.minimum(np.searchsorted(union, q), len(union) - 1)] == q) for q in queries])
@@ -227,12 +229,11 @@ def _open_cells(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
         if not len(opened):
             return []
         linked = _links(_overlaps([queries[q] for q in opened], members), nq[opened], nm, percent)
+        linked &= np.array([clusters[q] for q in opened])[:, None] != np.array([c for _, c, _ in block])[None, :]
         out = []
         for m in np.flatnonzero(linked.any(0)).tolist():
             first = None
             for q in opened[linked[:, m]].tolist():
-                if names[q] == block[m][0]:
-                    continue
                 if first is None:
                     first = q
                     out.append((names[q], block[m][0]))
@@ -246,21 +247,21 @@ def _open_cells(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
 
     found: list[tuple[int, int]] = []
     for batch in batches:
-        gid, salt, query, cls = (batch.column(c).to_pylist() for c in ("gid", "salt", "query", "cls"))
-        part = batch.column("part").to_pylist()
+        gid, salt, part, query, cls, cluster = (batch.column(c).to_pylist() for c in ("gid", "salt", "part", "query", "cls", "cluster"))
         blobs = batch.column("tokens")
         for i in range(batch.num_rows):
             key = (gid[i], salt[i], part[i])
             if key != cell:
                 found += flush()
-                cell, queries, names, block, parent = key, [], [], [], []
+                cell, queries, names, clusters, block, parent = key, [], [], [], [], []
             tokens = np.frombuffer(blobs[i].as_buffer(), U64)
             if query[i]:
                 parent.append(len(queries))
                 queries.append(tokens)
                 names.append(cls[i])
+                clusters.append(cluster[i])
             else:
-                block.append((cls[i], tokens))
+                block.append((cls[i], cluster[i], tokens))
                 if len(block) >= 2 * CELL:
                     found += flush()
                     block = []
@@ -273,7 +274,8 @@ def _open_cells(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 
 def _opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between queries(gid, cells, parts, cls, tokens) and members (same columns) of the same group.
+    """Links between queries(gid, cells, parts, cls, cluster, tokens) and members (same columns) of the same group that are
+    of different clusters.
 
     Members lie in ``cells`` cells of their group by a hash, its queries in ``parts`` parts; each part meets each cell.
     """
@@ -284,8 +286,8 @@ def _opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     def one_of(count: str):
         return F.pmod(F.xxhash64("cls"), F.col(count))
 
-    rows = members.select("gid", one_of("cells").alias("salt"), all_of("parts").alias("part"), F.lit(False).alias("query"), "cls", "tokens").unionByName(
-        queries.select("gid", all_of("cells").alias("salt"), one_of("parts").alias("part"), F.lit(True).alias("query"), "cls", "tokens")
+    rows = members.select("gid", one_of("cells").alias("salt"), all_of("parts").alias("part"), F.lit(False).alias("query"), "cls", "cluster", "tokens").unionByName(
+        queries.select("gid", all_of("cells").alias("salt"), one_of("parts").alias("part"), F.lit(True).alias("query"), "cls", "cluster", "tokens")
     )
     rows = rows.repartition(partitions(members.sparkSession), "gid", "salt", "part").sortWithinPartitions("gid", "salt", "part", F.desc("query"), "cls")
     return rows.mapInArrow(partial(_open_cells, percent=percent), "u long, v long")
@@ -317,8 +319,8 @@ def _unions(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         yield from sent()
 
 
-def _cluster_credit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cluster, how many of its tokens other clusters hold too)."""
+def _cluster_credit(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Records (cluster, how many of its tokens here other clusters hold too)."""
     got = gather(batches, 2)
     if not len(got):
         return
@@ -326,21 +328,27 @@ def _cluster_credit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     got = got[np.r_[True, (got[1:] != got[:-1]).any(1)]]
     at, ends = runs(got[:, 0])
     clusters, count = np.unique(got[np.repeat(ends - at > 1, ends - at), 1], return_counts=True)
-    if len(clusters):
-        yield pa.RecordBatch.from_arrays([signed(clusters), pa.array(count.astype(np.int64))], names=["cluster", "shared"])
+    yield from scatter(np.stack([clusters, count.astype(U64)], 1), bucket_of(clusters, n))
+
+
+def _cluster_sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = gather(batches, 2)
+    if len(got):
+        clusters, at = np.unique(got[:, 0], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([signed(clusters), pa.array(np.bincount(at, got[:, 1].astype(np.float64)).astype(np.int64))], names=["cluster", "shared"])
 
 
 def _members(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Records (token, class, cluster, members of the cluster << 32 | tokens of the class)."""
+    """Records (token, class, cluster, group, members of the group << 32 | tokens of the class)."""
     held, size = [], 0
     for batch in batches:
         blobs = batch.column("tokens")
-        for i, (cls, cluster, members) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cls", "cluster", "members")), strict=True)):
+        for i, (cls, cluster, gid, members) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cls", "cluster", "gid", "members")), strict=True)):
             tokens = np.frombuffer(blobs[i].as_buffer(), U64)
-            rest = np.array([cls, cluster, (min(members, (1 << 31) - 1) << 32) | len(tokens)], np.int64).view(U64)
-            held.append(np.column_stack([tokens, np.broadcast_to(rest, (len(tokens), 3))]))
+            rest = np.array([cls, cluster, gid, (min(members, (1 << 31) - 1) << 32) | len(tokens)], np.int64).view(U64)
+            held.append(np.column_stack([tokens, np.broadcast_to(rest, (len(tokens), 4))]))
             size += len(tokens)
-            if size >= HELD:
+            if size >= HELD // 2:
                 both = np.concatenate(held)
                 yield from scatter(both, bucket_of(both[:, 0], n))
                 held, size = [], 0
@@ -350,8 +358,8 @@ def _members(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
 
 
 def _spread(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """From tokens back to classes: (class, cluster, sizes, token, clusters that hold it), of tokens in two or more."""
-    got = gather(batches, 4)
+    """From tokens back to classes: (class, cluster, group, sizes, token, clusters that hold it), of tokens in two or more."""
+    got = gather(batches, 5)
     if not len(got):
         return
     got = got[np.lexsort((got[:, 2], got[:, 0]))]
@@ -359,47 +367,51 @@ def _spread(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     new = np.r_[True, (got[1:, [0, 2]] != got[:-1, [0, 2]]).any(1)]
     df = np.repeat(np.add.reduceat(new.astype(np.int64), at), ends - at)
     pick = df > 1
-    out = np.column_stack([got[pick][:, [1, 2, 3, 0]], df[pick].astype(U64)])
+    out = np.column_stack([got[pick][:, [1, 2, 3, 4, 0]], df[pick].astype(U64)])
     yield from scatter(out, bucket_of(out[:, 0], n))
 
 
 def _rarest(batches: Iterable[pa.RecordBatch], percent: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Of each class that shares enough tokens, the rarest: (token, class, cluster, sizes)."""
-    got = gather(batches, 5)
+    """Of each class that shares enough tokens, the rarest: (token, class, cluster, group, sizes)."""
+    got = gather(batches, 6)
     if not len(got):
         return
-    got = got[np.lexsort((got[:, 3], got[:, 4], got[:, 0]))]
+    got = got[np.lexsort((got[:, 4], got[:, 5], got[:, 0]))]
     at, ends = runs(got[:, 0])
-    size = (got[at, 2] & U64(0xFFFFFFFF)).astype(np.int64)
+    size = (got[at, 3] & U64(0xFFFFFFFF)).astype(np.int64)
     shared = ends - at
     length = shared - ceil_share(size, percent) + 1
     rank = np.arange(len(got)) - np.repeat(at, shared)
-    out = got[rank < np.repeat(length, shared)][:, [3, 0, 1, 2]]
+    out = got[rank < np.repeat(length, shared)][:, [4, 0, 1, 2, 3]]
     yield from scatter(out, bucket_of(out[:, 0], n))
 
 
 def _ask(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Queries (class, cluster): classes of the smaller cluster ask the larger one that has the same rare token."""
-    got = gather(batches, 4)
+    """Queries (class, group): of two groups that hold a rare token the smaller one's classes ask the larger one, and the
+    classes of a group ask their own, where a class of another cluster has the token."""
+    got = gather(batches, 5)
     if not len(got):
         return
-    got = got[np.argsort(got[:, 0], kind="stable")]
-    asked = []
+    got = got[np.lexsort((got[:, 3], got[:, 0]))]
+    asked, size = [], 0
     for a, b in zip(*(x.tolist() for x in runs(got[:, 0])), strict=True):
-        if b - a < 2:
+        cluster = got[a:b, 2]
+        if b - a < 2 or (cluster == cluster[0]).all():
             continue
-        cls, cluster, sizes = got[a:b, 1], got[a:b, 2], got[a:b, 3]
+        cls, group, sizes = got[a:b, 1], got[a:b, 3], got[a:b, 4]
         members, count = sizes >> U64(32), (sizes & U64(0xFFFFFFFF)).astype(np.int64)
-        groups, first = np.unique(cluster, return_index=True)
-        for g, f in zip(groups, first, strict=True):
-            own = cluster == g
-            small, large = count[own].min(), count[own].max()
-            ask = (cluster != g) & ((members < members[f]) | ((members == members[f]) & (cluster > g)))
-            ask &= (count >= ceil_share(small, percent)) & (ceil_share(count, percent) <= large)
+        need = ceil_share(count, percent)
+        for lo, hi in zip(*(x.tolist() for x in runs(group)), strict=True):
+            g, same = group[lo], cluster[lo:hi]
+            other = cluster != same[0] if (same == same[0]).all() else np.ones(b - a, bool)
+            ask = other & ((group == g) | (members < members[lo]) | ((members == members[lo]) & (group > g)))
+            ask &= (count >= need[lo:hi].min()) & (need <= count[lo:hi].max())
             if ask.any():
                 asked.append(np.column_stack([cls[ask], np.full(int(ask.sum()), g, U64)]))
-        if len(asked) > 4096:
+                size += len(asked[-1])
+        if size > HELD:
             asked = [np.unique(np.concatenate(asked), axis=0)]
+            size = 0
     if asked:
         pairs = np.unique(np.concatenate(asked), axis=0)
         yield pa.RecordBatch.from_arrays([signed(pairs[:, 0]), signed(pairs[:, 1])], names=["cls", "gid"])
@@ -432,11 +444,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     best = votes.groupBy("cls").agg(F.sum("votes").alias("shared"), F.max(F.struct("votes", (-F.col("leader")).alias("minus"))).alias("best"))
     need = F.greatest(F.lit(1).cast("long"), F.floor(F.ceil(F.col("n") * percent / 100.0) / 10))
     survivors = best.join(classes.filter("n > 0"), "cls").filter(F.col("shared") >= need).select("cls", (-F.col("best.minus")).alias("gid"), F.col("some_id").alias("doc_id"))
+    survivors = stored(survivors, "survivors")
+    for _ in range(2):
+        # a leader may have a lesser leader
+        above = survivors.select(F.col("cls").alias("gid"), F.col("gid").alias("top")).filter("gid <> top")
+        survivors = survivors.join(above, "gid", "left").select("cls", F.coalesce("top", "gid").alias("gid"), "doc_id")
     sets = stored(rows.join(survivors, "doc_id").select("cls", "gid", "text").mapInArrow(partial(_tokens, width=width), _SETS), "sets")
 
     sizes = sets.groupBy("gid").agg(F.count("*").alias("count")).filter("count > 1")
     cells = sizes.select("gid", "count", F.ceil(F.col("count") / CELL).cast("long").alias("cells"), F.lit(1).cast("long").alias("parts"))
-    grouped = sets.join(cells, "gid")
+    grouped = sets.join(cells, "gid").withColumn("cluster", F.col("cls"))
     chosen = (F.col("cls") == F.col("gid")) | (F.pmod(F.xxhash64("cls", F.lit(7)), F.col("count")) < PIVOTS)
     links = stored(_opened(grouped.filter(chosen), grouped, percent), "links")
     near = component_labels(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
@@ -444,18 +461,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     own = sets.select("cls", "n").distinct().join(near.select(F.col("id").alias("cls"), F.col("component").alias("cluster")), "cls", "left")
     own = stored(own.select("cls", "n", F.coalesce("cluster", "cls").alias("cluster")), "own")
     unions = sets.join(own.select("cls", "cluster"), "cls").select("cluster", "tokens").mapInArrow(partial(_unions, n=n), PACKED)
-    shared = shuffled(unions, n).mapInArrow(_cluster_credit, "cluster long, shared long").groupBy("cluster").agg(F.sum("shared").alias("shared"))
-    wide = own.groupBy("cluster").agg(F.min("n").alias("least"), F.count("*").alias("members"))
-    open_ = wide.join(shared, "cluster").filter(F.col("shared") >= F.ceil(F.col("least") * percent / 100.0)).select("cluster", "members")
-    left = stored(sets.join(own.join(open_, "cluster").select("cls", "cluster", "members"), "cls").select("cls", "cluster", "members", "tokens"), "open")
-
-    step = shuffled(left.mapInArrow(partial(_members, n=n), PACKED), n).mapInArrow(partial(_spread, n=n), PACKED)
-    step = shuffled(step, n).mapInArrow(partial(_rarest, percent=percent, n=n), PACKED)
-    asked = stored(shuffled(step, n).mapInArrow(partial(_ask, percent=percent), "cls long, gid long").distinct(), "asked")
+    shared = shuffled(shuffled(unions, n).mapInArrow(partial(_cluster_credit, n=n), PACKED), n).mapInArrow(_cluster_sum, "cluster long, shared long")
+    wide = own.groupBy("cluster").agg(F.min("n").alias("least"))
+    open_ = wide.join(shared, "cluster").filter(F.col("shared") >= F.ceil(F.col("least") * percent / 100.0)).select("cluster")
+    left = sets.join(own.join(open_, "cluster").select("cls", "cluster"), "cls")
+    left = stored(left.select("cls", "cluster", "gid", "tokens"), "open")
+    counts = left.groupBy("gid").agg(F.count("*").alias("members"))
+    packed = left.join(counts, "gid").select("cls", "cluster", "gid", "members", "tokens").mapInArrow(partial(_members, n=n), PACKED)
+    packed = shuffled(shuffled(packed, n).mapInArrow(partial(_spread, n=n), PACKED), n).mapInArrow(partial(_rarest, percent=percent, n=n), PACKED)
+    asked = stored(shuffled(packed, n).mapInArrow(partial(_ask, percent=percent), "cls long, gid long").distinct(), "asked")
     groups = asked.groupBy("gid").agg(F.ceil(F.count("*") / ASKED).cast("long").alias("parts"))
-    groups = groups.join(left.select(F.col("cluster").alias("gid"), F.ceil(F.col("members") / CELL).cast("long").alias("cells")).distinct(), "gid")
-    members = left.select(F.col("cluster").alias("gid"), "cls", "tokens").join(groups, "gid")
-    queries = asked.join(left.select("cls", "tokens"), "cls").join(groups, "gid")
+    groups = groups.join(counts.select("gid", F.ceil(F.col("members") / CELL).cast("long").alias("cells")), "gid")
+    members = left.join(groups, "gid")
+    queries = asked.join(left.drop("gid"), "cls").join(groups, "gid")
     more = stored(_opened(queries, members, percent), "more")
 
     final = component_labels(links.unionByName(more).select(F.col("u").alias("src"), F.col("v").alias("dst")))
