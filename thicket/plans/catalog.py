@@ -1,19 +1,463 @@
-"""Queries over graphs derived from the driver's tables, each with the SQL that gives the same rows."""
+"""Queries over graphs derived from the driver's tables, each with the SQL that gives the same rows.
+
+Doubles are rounded to nine digits after aggregation, since sums differ in their last bits by their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import title
+from ..graph import components, generators, leiden, resistance
+from ..operators import agreement, degrees, edges as E, sparsify as S, statistics as T, summaries as M
+from ..sources import derived, fixtures, registry
+from . import experiments
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TRADE = """
+WITH pairs AS (SELECT o_custkey * 10 + 1 AS src, l_suppkey * 10 + 2 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+edges AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM pairs WHERE src <> dst),
+places AS (
+  SELECT c_custkey * 10 + 1 AS id, n_nationkey::BIGINT AS nation, n_regionkey::BIGINT AS region FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT s_suppkey * 10 + 2, n_nationkey::BIGINT, n_regionkey::BIGINT FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+labels AS (SELECT id, region AS comm FROM places),
+deg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id),
+size AS (SELECT (SELECT count(*) FROM deg)::DOUBLE AS n, (SELECT count(*) FROM edges)::DOUBLE AS m),
+scored AS (
+  SELECT e.src, e.dst, a.d AS d_src, b.d AS d_dst, 1.0::DOUBLE / a.d + 1.0::DOUBLE / b.d AS score, a.d * b.d AS d_product, a.d + b.d AS d_sum
+  FROM edges e JOIN deg a ON e.src = a.id JOIN deg b ON e.dst = b.id),
+classified AS (
+  SELECT s.*, a.comm AS comm_src, b.comm AS comm_dst, a.comm = b.comm AS is_intra FROM scored s JOIN labels a ON s.src = a.id JOIN labels b ON s.dst = b.id),
+volumes AS (SELECT comm, sum(coalesce(d, 0))::BIGINT AS vol, count(*) AS nodes FROM labels LEFT JOIN deg USING (id) GROUP BY comm)
+"""
+U = "((('0x' || substr(md5(concat_ws('|', {a}, {b}, {seed})), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+UNIFORM = U.format(a="src", b="dst", seed=42)
+H60 = "('0x' || substr(md5(concat_ws('|', {keys}, {seed})), 1, 15))::BIGINT"
+TOP = "top AS (SELECT src, dst FROM scored ORDER BY score DESC, src, dst LIMIT (SELECT ceil(0.5::DOUBLE * m)::BIGINT FROM size))"
+TERMS = """
+terms AS (SELECT count(*) FILTER (WHERE is_intra)::DOUBLE / (SELECT m FROM size) AS f, (SELECT sum(vol::DOUBLE * vol) FROM volumes) / (4.0 * (SELECT m * m FROM size)) AS g FROM classified)
+"""
+GRID = "grid AS (SELECT a.alpha::DOUBLE AS alpha, s.seed::BIGINT AS seed FROM (VALUES (0.2), (0.4), (0.6), (0.8)) a(alpha), (VALUES (1), (2), (3)) s(seed))"
+TRIALS = (
+    GRID
+    + """,
+kept AS (
+  SELECT alpha, seed, is_intra FROM classified, grid, size
+  WHERE """
+    + U.format(a="src", b="dst", seed="seed")
+    + """ < least(1.0, score / n * ceil(alpha * m))),
+trials AS (
+  SELECT alpha, seed, (SELECT count(*) FROM classified) AS m, count(*) AS m_sparse, count(*) FILTER (WHERE is_intra) AS intra, count(*) FILTER (WHERE NOT is_intra) AS inter,
+    count(*) FILTER (WHERE is_intra)::DOUBLE / count(*) AS f, count(*) FILTER (WHERE is_intra)::DOUBLE / count(*) - (SELECT avg(is_intra::INT::DOUBLE) FROM classified) AS df
+  FROM kept GROUP BY alpha, seed)
+"""
+)
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _trade(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return derived.trade(spark, d), derived.trade_labels(spark, d)
+
+
+@query(TRADE + "," + TERMS + "SELECT round(f, 9) AS f, round(g, 9) AS g, round(f - g, 9) AS q, round((SELECT avg(score) FROM classified WHERE is_intra), 9) AS mu_intra, round((SELECT avg(score) FROM classified WHERE NOT is_intra), 9) AS mu_inter, (SELECT m FROM size)::BIGINT AS m FROM terms")
+def flagship(spark, d):
+    edges, labels = _trade(spark, d)
+    return rounded(T.modularity_terms(edges, labels).crossJoin(T.separation(edges, labels).select("mu_intra", "mu_inter")))
+
+
+@query(TRADE + "SELECT src, dst FROM edges")
+def canonical_edges(spark, d):
+    return derived.trade(spark, d)
+
+
+@query(TRADE + ", k AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM pairs GROUP BY 1, 2) SELECT sum(n)::BIGINT AS raw_rows, coalesce(sum(n) FILTER (WHERE a = b), 0)::BIGINT AS self_loops, count(*) FILTER (WHERE a <> b) AS edges, (sum(n) - coalesce(sum(n) FILTER (WHERE a = b), 0) - count(*) FILTER (WHERE a <> b))::BIGINT AS multi_edges_collapsed FROM k")
+def raw_counts(spark, d):
+    return E.raw_counts(derived.trade_pairs(spark, d))
+
+
+@query(TRADE + "SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges")
+def symmetric_edges(spark, d):
+    return E.symmetric(derived.trade(spark, d))
+
+
+@query(TRADE + "SELECT id, coalesce(d, 0)::BIGINT AS d FROM places LEFT JOIN deg USING (id)")
+def node_degrees(spark, d):
+    return degrees.degrees(derived.trade(spark, d), derived.trade_nodes(spark, d))
+
+
+@query(TRADE + "SELECT d, count(*) AS nodes FROM deg GROUP BY d")
+def degree_histogram(spark, d):
+    return degrees.degree_histogram(derived.trade(spark, d))
+
+
+@query(TRADE + "SELECT src, dst, d_src, d_dst, round(score, 9) AS score, d_product, d_sum FROM scored")
+def edge_scores(spark, d):
+    return rounded(degrees.scored(derived.trade(spark, d)))
+
+
+@query(TRADE + "SELECT count(*) AS m, round(sum(score), 6) AS total, round(avg(score), 9) AS mean, round(min(score), 9) AS least, round(max(score), 9) AS greatest FROM scored")
+def score_summary(spark, d):
+    return rounded(degrees.score_summary(derived.trade(spark, d)).withColumn("total", F.round("total", 6)))
+
+
+@query(TRADE + "SELECT src, dst, round(score / n, 12) AS p, round(score * m / n, 9) AS w FROM scored, size")
+def normalized_scores(spark, d):
+    return degrees.normalized(derived.trade(spark, d)).select("src", "dst", (F.round("p", 12)).alias("p"), F.round("w", 9).alias("w"))
+
+
+@query("SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey")
+def parts_together(spark, d):
+    return derived.parts_together(spark, d)
+
+
+@query(TRADE + "," + TOP + "SELECT src, dst, 1.0::DOUBLE AS weight FROM top")
+def topk_sparsify(spark, d):
+    return S.top_k(derived.trade(spark, d), 0.5)
+
+
+@query(TRADE + f"SELECT src, dst, 1.0::DOUBLE AS weight FROM scored, size WHERE {UNIFORM} < least(1.0, score / n * ceil(0.5::DOUBLE * m))")
+def bernoulli_sparsify(spark, d):
+    return S.bernoulli(derived.trade(spark, d), 0.5)
+
+
+@query(TRADE + f"SELECT src, dst, 1.0::DOUBLE AS weight FROM scored, size WHERE {UNIFORM} < least(1.0, 0.5::DOUBLE * score / (n / m))")
+def bernoulli_by_mean(spark, d):
+    return S.bernoulli_by_mean(derived.trade(spark, d), 0.5)
+
+
+@query(TRADE + f"SELECT src, dst, 1.0::DOUBLE AS weight FROM scored, size WHERE {UNIFORM} < least(1.0, d_sum / (SELECT sum(d * d)::DOUBLE FROM deg) * ceil(0.5::DOUBLE * m))")
+def degree_sum_bernoulli(spark, d):
+    return S.degree_sum(derived.trade(spark, d), 0.5)
+
+
+@query(TRADE + f"SELECT src, dst, 1.0::DOUBLE AS weight FROM edges ORDER BY {H60.format(keys='src, dst', seed=42)}, src, dst LIMIT (SELECT ceil(0.5::DOUBLE * m)::BIGINT FROM size)")
+def uniform_k(spark, d):
+    return S.uniform(derived.trade(spark, d), 0.5)
+
+
+@query(
+    TRADE
+    + f""", spans AS (SELECT src, dst, score, sum(w) OVER (ORDER BY src, dst)::BIGINT - w AS low, sum(w) OVER (ORDER BY src, dst)::BIGINT AS high FROM (SELECT *, floor(score * 1000000000)::BIGINT AS w FROM scored)),
+q AS (SELECT ceil(0.5::DOUBLE * m)::BIGINT AS q, n FROM size), total AS (SELECT max(high) AS total FROM spans),
+draws AS (SELECT ({H60.format(keys='i', seed=42)}) % total AS r FROM (SELECT unnest(range((SELECT q FROM q))) AS i), total)
+SELECT src, dst, count(*) AS k, round(count(*) / (any_value(q)::DOUBLE * (any_value(score) / any_value(n))), 9) AS weight FROM draws JOIN spans ON r >= low AND r < high, q GROUP BY src, dst"""
+)
+def weighted_resample(spark, d):
+    return rounded(S.with_replacement(derived.trade(spark, d), 0.5))
+
+
+@query(TRADE + "SELECT src, dst, comm_src, comm_dst, is_intra FROM classified")
+def classify_edges(spark, d):
+    edges, labels = _trade(spark, d)
+    return T.classified(edges, labels)
+
+
+@query(TRADE + "SELECT round(avg(score) FILTER (WHERE is_intra), 9) AS mu_intra, round(avg(score) FILTER (WHERE NOT is_intra), 9) AS mu_inter, round(avg(score) FILTER (WHERE is_intra) - avg(score) FILTER (WHERE NOT is_intra), 9) AS delta FROM classified")
+def separation(spark, d):
+    return rounded(T.separation(*_trade(spark, d)))
+
+
+@query(TRADE + ", x AS (SELECT avg(d_product) FILTER (WHERE NOT is_intra) AS mean_inter, avg(d_product) FILTER (WHERE is_intra) AS mean_intra FROM classified) SELECT round(mean_inter, 6) AS mean_inter, round(mean_intra, 6) AS mean_intra, round(mean_inter - mean_intra, 6) AS difference, round(mean_inter / mean_intra, 9) AS ratio FROM x")
+def hub_bridge_terms(spark, d):
+    out = T.hub_bridge(*_trade(spark, d))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("mean_inter", "mean_intra", "difference")), F.round("ratio", 9).alias("ratio"))
+
+
+@query(TRADE + "," + TERMS + "SELECT (SELECT m FROM size)::BIGINT AS m, round(f, 9) AS f, round(g, 9) AS g, round(f - g, 9) AS q FROM terms")
+def modularity(spark, d):
+    return rounded(T.modularity_terms(*_trade(spark, d)))
+
+
+@query(TRADE + "SELECT comm, vol, nodes FROM volumes")
+def community_volumes(spark, d):
+    return T.volumes(*_trade(spark, d))
+
+
+@query(
+    TRADE
+    + """, x AS (SELECT count(*) FILTER (WHERE is_intra) AS n1, count(*) FILTER (WHERE NOT is_intra) AS n2, count(*) AS m, avg(score) FILTER (WHERE is_intra) AS mu1, avg(score) FILTER (WHERE NOT is_intra) AS mu2, sum(score) FILTER (WHERE is_intra) AS s1, sum(score) AS s FROM classified),
+w AS (SELECT sum(v * v) AS sq FROM (SELECT comm, sum(score) AS v FROM (SELECT comm_src AS comm, score FROM classified UNION ALL SELECT comm_dst, score FROM classified) GROUP BY comm)),
+y AS (SELECT *, n1 * n2 * (mu1 - mu2) / (m * s) AS pred, (SELECT sum(vol::DOUBLE * vol) FROM volumes) / (4.0 * m * m) AS g, (SELECT sq FROM w) / (4.0 * s * s) AS gw FROM x)
+SELECT n1, n2, m, round(mu1, 9) AS mu_intra, round(mu2, 9) AS mu_inter, round(mu1 - mu2, 9) AS delta, round(mu2 / mu1, 9) AS ratio_predicted, round(n1::DOUBLE / m, 9) AS f_original, round(s1 / s, 9) AS f_weighted, round(pred, 9) AS f_improvement,
+  m::DOUBLE AS w_unweighted, m::DOUBLE AS w_weighted, round(g, 9) AS g_original, round(gw, 9) AS g_weighted, round(gw - g, 9) AS g_change, round(pred - (gw - g), 9) AS q_lower_bound FROM y"""
+)
+def theory_bundle(spark, d):
+    return rounded(T.theory(*_trade(spark, d)))
+
+
+_KEPT = """
+kept AS (SELECT c.*, t.src IS NOT NULL AS kept FROM classified c LEFT JOIN top t USING (src, dst)),
+k AS (SELECT count(*) FILTER (WHERE is_intra) AS intra_original, count(*) FILTER (WHERE NOT is_intra) AS inter_original, count(*) FILTER (WHERE is_intra AND kept) AS intra_preserved, count(*) FILTER (WHERE NOT is_intra AND kept) AS inter_preserved FROM kept),
+r AS (SELECT *, intra_preserved::DOUBLE / intra_original AS a, inter_preserved::DOUBLE / inter_original AS b FROM k)
+"""
+
+
+@query(TRADE + "," + TOP + "," + _KEPT + "SELECT intra_original, inter_original, intra_preserved, inter_preserved, round(a, 9) AS intra_rate, round(b, 9) AS inter_rate, round(b / a, 9) AS ratio, b / a > 1 AS supported FROM r")
+def edge_preservation(spark, d):
+    edges, labels = _trade(spark, d)
+    return rounded(T.preservation(edges, S.top_k(edges, 0.5), labels))
+
+
+_SPARSE = """
+sdeg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM top UNION ALL SELECT dst FROM top) GROUP BY id),
+sparse AS (SELECT (SELECT count(*) FROM top) AS m1, (SELECT count(*) FILTER (WHERE is_intra AND kept) FROM kept)::DOUBLE / (SELECT count(*) FROM top) AS f1,
+  (SELECT sum(v * v) FROM (SELECT sum(coalesce(d, 0))::DOUBLE AS v FROM labels LEFT JOIN sdeg USING (id) GROUP BY comm)) / (4.0 * (SELECT count(*)::DOUBLE * count(*) FROM top)) AS g1)
+"""
+
+
+@query(TRADE + "," + TOP + "," + _KEPT + "," + _SPARSE + "SELECT intra_original, inter_original, intra_preserved, inter_preserved, round(a, 9) AS intra_rate, round(b, 9) AS inter_rate, round(b / a, 9) AS ratio, m1 AS m_sparse, round(f1, 9) AS f_sparse, round(g1, 9) AS g_sparse, round(f1 - g1, 9) AS q_sparse FROM r, sparse")
+def observed_bundle(spark, d):
+    edges, labels = _trade(spark, d)
+    return rounded(T.observed(edges, S.top_k(edges, 0.5), labels))
+
+
+@query(TRADE + "," + TOP + "," + _KEPT + "," + _SPARSE + "," + TERMS + "SELECT round((f1 - g1) - (f - g), 9) AS dq, round(f1 - f, 9) AS df, round(g1 - g, 9) AS dg, round((f1 - f) - (g1 - g), 9) AS dq_reconstructed, 0.0::DOUBLE AS epsilon FROM sparse, terms")
+def dq_reconstruction(spark, d):
+    edges, labels = _trade(spark, d)
+    return rounded(T.reconstruction(edges, S.top_k(edges, 0.5), labels))
+
+
+@query(
+    TRADE
+    + ","
+    + TOP
+    + """, x AS (SELECT c.is_intra AS found, a.nation = b.nation AS truth, t.src IS NOT NULL AS kept FROM classified c JOIN places a ON c.src = a.id JOIN places b ON c.dst = b.id LEFT JOIN top t ON c.src = t.src AND c.dst = t.dst),
+k AS (SELECT count(*) FILTER (WHERE NOT kept AND NOT found) AS inter_removed, count(*) FILTER (WHERE NOT kept AND NOT found AND truth) AS inter_removed_but_intra, count(*) FILTER (WHERE kept AND found) AS intra_preserved, count(*) FILTER (WHERE kept AND found AND NOT truth) AS intra_preserved_but_inter FROM x)
+SELECT *, round(coalesce(inter_removed_but_intra / nullif(inter_removed, 0)::DOUBLE, 0), 9) AS removed_rate, round(coalesce(intra_preserved_but_inter / nullif(intra_preserved, 0)::DOUBLE, 0), 9) AS preserved_rate FROM k"""
+)
+def misclassification(spark, d):
+    edges, labels = _trade(spark, d)
+    return rounded(T.misclassification(edges, S.top_k(edges, 0.5), labels, derived.trade_labels(spark, d, "nation")))
+
+
+_CELLS = """cells AS (SELECT region AS a, nation % 7 AS b, count(*) AS n FROM places GROUP BY 1, 2),
+s AS (SELECT (SELECT sum(n) FROM cells)::DOUBLE AS n, {ab} AS ab, {a} AS a, {b} AS b)"""
+
+
+def _cells(f: str) -> str:
+    one = lambda source: f"(SELECT sum({f}) FROM {source})"
+    return _CELLS.format(ab=one("(SELECT n::DOUBLE AS x FROM cells)"), a=one("(SELECT sum(n)::DOUBLE AS x FROM cells GROUP BY a)"), b=one("(SELECT sum(n)::DOUBLE AS x FROM cells GROUP BY b)"))
+
+
+def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes = derived.trade_nodes(spark, d)
+    return nodes.select("id", F.col("region").alias("comm")), nodes.select("id", (F.col("nation") % 7).alias("comm"))
+
+
+@query(TRADE + ", " + _cells("x") + " SELECT a, b, n FROM cells")
+def contingency(spark, d):
+    return agreement.contingency(*_two(spark, d))
+
+
+@query(TRADE + ", " + _cells("x * ln(x)") + " SELECT round(2 * ((ln(n) - a / n) + (ln(n) - b / n) - (ln(n) - ab / n)) / ((ln(n) - a / n) + (ln(n) - b / n)), 9) AS nmi FROM s")
+def nmi(spark, d):
+    return rounded(agreement.nmi(*_two(spark, d)))
+
+
+@query(TRADE + ", " + _cells("x * (x - 1) / 2") + " SELECT round((ab - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 9) AS ari FROM s")
+def ari(spark, d):
+    return rounded(agreement.ari(*_two(spark, d)))
+
+
+_FEW = f"few AS (SELECT src, dst FROM scored, size WHERE {UNIFORM} < least(1.0, score / n * ceil(0.02::DOUBLE * m)))"
+_REACH = """
+ways AS (SELECT src AS a, dst AS b FROM few UNION ALL SELECT dst, src FROM few),
+reach(id, root) AS (SELECT DISTINCT a, a FROM ways UNION SELECT b, root FROM reach JOIN ways ON id = a WHERE root < b),
+comp AS (SELECT id, min(root) AS component FROM reach GROUP BY id)
+"""
+
+
+def _few(spark: SparkSession, d: str) -> DataFrame:
+    return S.bernoulli(derived.trade(spark, d), 0.02)
+
+
+@query(TRADE.replace("WITH", "WITH RECURSIVE", 1) + "," + _FEW + "," + _REACH + "SELECT id, component FROM comp")
+def connected_components(spark, d):
+    return components.component_labels(_few(spark, d))
+
+
+@query(TRADE.replace("WITH", "WITH RECURSIVE", 1) + "," + _FEW + "," + _REACH + "SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
+def largest_component(spark, d):
+    return registry.largest_component(_few(spark, d))
+
+
+@query(TRADE + "SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM deg")
+def densify_ids(spark, d):
+    return E.dense_ids(E.nodes_of(derived.trade(spark, d)))
+
+
+@query(TRADE + "SELECT e.src, e.dst FROM edges e JOIN places a ON e.src = a.id JOIN places b ON e.dst = b.id WHERE a.region = 1 AND b.region = 1")
+def induced_subgraph(spark, d):
+    return E.induced(derived.trade(spark, d), derived.trade_nodes(spark, d).filter("region = 1"))
+
+
+_NOISE = f"""ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM places),
+wanted AS (SELECT floor(m * 0.1::DOUBLE)::BIGINT AS k, (SELECT count(*) FROM ids) AS n FROM size),
+draws AS (SELECT i, ({H60.format(keys='i', seed=42)}) % n AS a, ({H60.format(keys='i', seed=43)}) % n AS b FROM (SELECT unnest(range((SELECT 20 * k FROM wanted))) AS i), wanted),
+cand AS (SELECT least(x.id, y.id) AS src, greatest(x.id, y.id) AS dst, min(i) AS draw FROM draws JOIN ids x ON x.at = a JOIN ids y ON y.at = b WHERE x.id <> y.id GROUP BY 1, 2),
+noise AS (SELECT src, dst FROM cand ANTI JOIN edges USING (src, dst) ORDER BY draw LIMIT (SELECT k FROM wanted))
+"""
+
+
+def _noise(spark: SparkSession, d: str) -> DataFrame:
+    return generators.noise_edges(derived.trade(spark, d), derived.trade_nodes(spark, d), 0.1)
+
+
+@query(TRADE + "," + _NOISE + "SELECT src, dst FROM noise")
+def noise_edges(spark, d):
+    return _noise(spark, d)
+
+
+@query(TRADE + "," + _NOISE + ", k AS (SELECT (SELECT count(*) FROM edges) AS n_original, count(*) AS n_added, count(*) FILTER (WHERE a.comm <> b.comm) AS noise_inter, count(*) FILTER (WHERE a.comm = b.comm) AS noise_intra FROM noise JOIN labels a ON noise.src = a.id JOIN labels b ON noise.dst = b.id) SELECT *, round(n_added / n_original::DOUBLE, 9) AS ratio, round(noise_inter / n_added::DOUBLE, 9) AS inter_ratio FROM k")
+def noise_stats(spark, d):
+    edges, labels = _trade(spark, d)
+    return rounded(T.noise_statistics(edges, _noise(spark, d), labels))
+
+
+@query(TRADE + "," + TOP + f", bern AS (SELECT src, dst FROM scored, size WHERE {UNIFORM} < least(1.0, score / n * ceil(0.5::DOUBLE * m))) SELECT count(*) FILTER (WHERE t.src IS NOT NULL AND b.src IS NOT NULL) AS common, count(*) FILTER (WHERE b.src IS NULL) AS only_a, count(*) FILTER (WHERE t.src IS NULL) AS only_b FROM top t FULL JOIN bern b ON t.src = b.src AND t.dst = b.dst")
+def overlap_sets(spark, d):
+    edges = derived.trade(spark, d)
+    return E.jaccard_overlap(S.top_k(edges, 0.5), S.bernoulli(edges, 0.5))
+
+
+@query(TRADE + "," + TOP + f", bern AS (SELECT src, dst FROM scored, size WHERE {UNIFORM} < least(1.0, score / n * ceil(0.5::DOUBLE * m))) SELECT e.src, e.dst, CASE WHEN t.src IS NOT NULL AND b.src IS NOT NULL THEN 'both' WHEN t.src IS NOT NULL THEN 'only_a' WHEN b.src IS NOT NULL THEN 'only_b' ELSE 'neither' END AS status FROM edges e LEFT JOIN top t ON e.src = t.src AND e.dst = t.dst LEFT JOIN bern b ON e.src = b.src AND e.dst = b.dst")
+def edge_status(spark, d):
+    edges = derived.trade(spark, d)
+    return E.status(edges, S.top_k(edges, 0.5), S.bernoulli(edges, 0.5))
+
+
+def _trials(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.sampled_trials(*_trade(spark, d), (0.2, 0.4, 0.6, 0.8), (1, 2, 3))
+
+
+@query(TRADE + "," + TRIALS + "SELECT alpha, seed, m, m_sparse, intra, inter, round(f, 9) AS f, round(df, 9) AS df FROM trials")
+def alpha_sweep(spark, d):
+    return rounded(_trials(spark, d))
+
+
+@query(TRADE + "," + TRIALS + "SELECT alpha, round(avg(m_sparse), 6) AS m_sparse_mean, round(stddev_samp(m_sparse), 6) AS m_sparse_std, round(avg(df), 6) AS df_mean, round(stddev_samp(df), 6) AS df_std FROM trials GROUP BY alpha")
+def trial_summary(spark, d):
+    return rounded(M.mean_std(_trials(spark, d), ["alpha"], ["m_sparse", "df"]), 6)
+
+
+@query(TRADE + "," + TRIALS + "SELECT alpha, seed, round(df, 9) AS df FROM trials QUALIFY row_number() OVER (PARTITION BY alpha ORDER BY df DESC, seed) = 1")
+def best_by_metric(spark, d):
+    return rounded(M.best_by(_trials(spark, d), ["alpha"], "df", ["seed"]).select("alpha", "seed", "df"))
+
+
+@query(TRADE + "," + TRIALS + "SELECT seed, alpha, m_sparse FROM trials QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(abs(alpha - 0.7), 9), alpha) = 1")
+def closest_alpha(spark, d):
+    return E.closest_alpha(_trials(spark, d).select("seed", "alpha", "m_sparse"), 0.7, ["seed"])
+
+
+@query(TRADE + "," + TRIALS + ", e AS (SELECT df - (0.9::DOUBLE - alpha) * 0.001 AS e, sign(df) = sign((0.9::DOUBLE - alpha) * 0.001) AS same FROM trials) SELECT round(avg(abs(e)), 9) AS mae, round(sqrt(avg(e * e)), 9) AS rmse, round(max(abs(e)), 9) AS max_error, round(avg(same::INT::DOUBLE) * 100, 6) AS sign_percent FROM e")
+def prediction_errors(spark, d):
+    return rounded(M.prediction_errors(_trials(spark, d).withColumn("guess", (F.lit(0.9) - F.col("alpha")) * 0.001), "guess", "df"))
+
+
+@query(TRADE + "," + TRIALS + "SELECT round(corr(alpha, m_sparse), 9) AS r, count(*) AS n FROM trials")
+def pearson(spark, d):
+    return rounded(M.pearson(_trials(spark, d), "alpha", "m_sparse"))
+
+
+@query(TRADE + "," + TRIALS + "SELECT round(avg(df), 9) AS mean, round(stddev_pop(df), 9) AS std, round(min(df), 9) AS least, round(max(df), 9) AS greatest, count(*) FILTER (WHERE df > 0) AS positive, count(*) AS n FROM trials")
+def cross_dataset_stats(spark, d):
+    return rounded(M.across(_trials(spark, d), "df"))
+
+
+@query(TRADE + "," + TRIALS + ", g AS (SELECT seed, avg(df) AS flag, avg(f) AS value FROM trials GROUP BY seed) SELECT flag > 0 AS favorable, count(*) AS groups, round(avg(value), 9) AS mean_value FROM g GROUP BY 1")
+def favorable_group_means(spark, d):
+    return rounded(M.favorable_means(_trials(spark, d), "seed", "df", "f"))
+
+
+@query(TRADE + "," + TRIALS + "SELECT alpha, seed, CASE WHEN df > 0 THEN 'improved' WHEN df < -0.01 THEN 'degraded' ELSE 'maintained' END AS note, 'Degree Sum' AS label FROM trials")
+def quality_notes(spark, d):
+    return _trials(spark, d).select("alpha", "seed", M.quality_note(F.col("df")).alias("note"), title(F.lit("degree_sum")).alias("label"))
+
+
+@query(
+    TRADE
+    + ","
+    + GRID
+    + f""", x AS (SELECT alpha, is_intra, least(1.0, alpha * score / (n / m)) AS p, ({U.format(a='src', b='dst', seed='seed')} >= least(1.0, alpha * score / (n / m)))::INT::DOUBLE AS gone FROM classified, grid, size)
+SELECT alpha, round(avg(p) FILTER (WHERE NOT is_intra), 9) AS p_bridge, round(avg(p) FILTER (WHERE is_intra), 9) AS p_other, round(avg(gone) FILTER (WHERE NOT is_intra), 9) AS bridge_removed, round(avg(p) FILTER (WHERE NOT is_intra) / avg(p) FILTER (WHERE is_intra), 9) AS ratio FROM x GROUP BY alpha"""
+)
+def survival_curve(spark, d):
+    edges, labels = _trade(spark, d)
+    bridge = T.classified(edges, labels).filter("NOT is_intra")
+    return rounded(S.survival_curve(edges, bridge, [0.2, 0.4, 0.6, 0.8], [1, 2, 3]))
+
+
+# -- without SQL: iterative algorithms and generated graphs ---------------------------------------------------------
+
+
+@query()
+def effective_resistance(spark, d):
+    """Karate club, exact."""
+    edges, _ = fixtures.karate(spark)
+    return rounded(resistance.exact(edges.withColumn("graph_id", F.lit("karate"))), 6)
+
+
+@query()
+def spectral_sparsify(spark, d):
+    return rounded(S.sparsify(derived.trade(spark, d), "spectral", 0.4), 6)
+
+
+@query()
+def leiden_communities(spark, d):
+    return leiden.leiden_parallel(derived.trade(spark, d), seed=1)
+
+
+@query()
+def leiden_cpm(spark, d):
+    edges, _ = fixtures.karate(spark)
+    return leiden.leiden_small(edges.withColumn("graph_id", F.lit("karate")), 0.1, True)
+
+
+@query()
+def toy_suite(spark, d):
+    return rounded(experiments.toy_suite(spark))
+
+
+@query()
+def planted_communities(spark, d):
+    edges, labels = generators.planted_power_law(spark, 1000, 0.3)
+    return rounded(T.theory(edges, labels))
+
+
+@query()
+def hub_rewiring(spark, d):
+    edges, labels = generators.planted_power_law(spark, 1000, 0.3)
+    return rounded(T.hub_bridge(generators.rewired_to_hubs(edges, labels, 2.0), labels))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1)
+@query()
+def method_comparison(spark, d):
+    return rounded(experiments.compare_methods(derived.trade(spark, d), 0.5), 6)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
