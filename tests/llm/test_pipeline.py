@@ -1,0 +1,27 @@
+import os
+
+import pytest
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+
+
+def test_stages(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in P.STAGES[:-1]:
+        docs = P.stored(stage(spark, docs, DATA), name)
+        assert docs.columns == columns and docs.count() <= before
+        before = docs.count()
+    last = P.run(spark, DATA)
+    assert 0 < last.count() <= before and last.filter("copies < 1 OR copies > 3").count() == 0
+
+
+def test_registered():
+    from thicket.llm import queries
+
+    names = list(queries.queries())
+    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert set(queries.oracle_sql()) <= set(names)

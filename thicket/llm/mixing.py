@@ -63,7 +63,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Gen
         return take
     if budget >= total:
         return counts.astype(np.int64).copy()
-    take = (counts * budget // total).astype(np.int64)
+    # whole numbers of any size: counts times budgets don't fit 64 bits in a large corpus
+    if budget > FIT:
+        take = (counts.astype(object) * budget // total).astype(np.int64)
     rest = budget - int((lengths * take).sum())
     while rest > FIT:
         before = rest
@@ -73,13 +75,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Gen
                 rest -= int(lengths[k])
         if rest == before:
             break
-    able = np.flatnonzero((counts > take) & (lengths <= rest))
+    able = np.flatnonzero((counts > take) & (lengths <= 2 * rest) & (lengths > 0))
     able = able[rng.permutation(len(able))]
     items: list[tuple[int, int]] = []
     reach, history = 1, []
-    mask = (1 << (rest + 1)) - 1
+    # sums above the budget count too: the nearest one may be there
+    mask = (1 << (2 * rest + 1)) - 1
     for k in able.tolist():
-        left, step = min(int(counts[k] - take[k]), rest // int(lengths[k])), 1
+        left, step = min(int(counts[k] - take[k]), 2 * rest // int(lengths[k])), 1
         while left and not reach >> rest & 1:
             step = min(step, left)
             items.append((k, step))
@@ -89,17 +92,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Gen
             step *= 2
         if reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
+    at, beyond = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1, reach >> (rest + 1)
+    if beyond and (above := rest + (beyond & -beyond).bit_length()) - rest < rest - at:
+        at = above
     for (k, step), before in zip(reversed(items), reversed(history), strict=True):
         if not before >> at & 1:
             take[k] += step
             at -= int(lengths[k]) * step
-    gap, over = budget - int((lengths * take).sum()), np.flatnonzero((counts > take) & (lengths > 0))
-    if len(over):
-        # one more document may come nearer from above
-        least = over[np.argmin(lengths[over])]
-        if lengths[least] - gap < gap:
-            take[least] += 1
     return take
 
 
@@ -114,9 +113,14 @@ def _plan(key: tuple[pa.Scalar, ...], table: pa.Table, seed: int, most: int) ->
     base = min(most, int(target // total)) if total else 0
     name = key[0].as_py()
     rng = np.random.default_rng([seed, *(name or "\0").encode("utf-8", "surrogatepass")])
-    extra = fit(lengths, counts, round(target - base * total), rng) if base < most else np.zeros(len(lengths), np.int64)
-    n = len(lengths)
-    return pa.table([pa.array([name] * n, pa.string()), pa.array(lengths), pa.array(np.full(n, base)), pa.array(extra), pa.array(counts)], names=["source", "size", "base", "extra", "count"])
+    budget, n = round(target - base * total), len(lengths)
+    extra = fit(lengths, counts, budget, rng) if base < most else np.zeros(n, np.int64)
+    if base + 1 < most and (gap := abs(budget - int((lengths * extra).sum()))):
+        # where one copy more of some documents doesn't do, some may come more often
+        more = fit(lengths, counts * (most - base), budget, rng)
+        if abs(budget - int((lengths * more).sum())) < gap:
+            extra = more
+    return pa.table([pa.array([name] * n, pa.string()), pa.array(lengths), pa.array(base + extra // counts), pa.array(extra % counts), pa.array(counts)], names=["source", "size", "base", "extra", "count"])
 
 
 def mixed(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
