@@ -369,7 +369,7 @@ def closest_alpha(spark, d):
     return E.closest_alpha(_trials(spark, d).select("seed", "alpha", "m_sparse"), 0.7, ["seed"])
 
 
-@query(TRADE + "," + TRIALS + ", e AS (SELECT df - (0.9::DOUBLE - alpha) * 0.001 AS e, sign(df) = sign((0.9::DOUBLE - alpha) * 0.001) AS same FROM trials) SELECT round(avg(abs(e)), 9) AS mae, round(sqrt(avg(e * e)), 9) AS rmse, round(max(abs(e)), 9) AS max_error, round(avg(same::INT::DOUBLE) * 100, 6) AS sign_percent FROM e")
+@query(TRADE + "," + TRIALS + ", e AS (SELECT df - (0.9::DOUBLE - alpha) * 0.001 AS e, sign(df) = sign((0.9::DOUBLE - alpha) * 0.001) AS same FROM trials) SELECT round(avg(abs(e)), 9) AS mae, round(sqrt(avg(e * e)), 9) AS rmse, round(max(abs(e)), 9) AS max_error, round(avg(same::INT::DOUBLE) * 100, 9) AS sign_percent FROM e")
 def prediction_errors(spark, d):
     return rounded(M.prediction_errors(_trials(spark, d).withColumn("guess", (F.lit(0.9) - F.col("alpha")) * 0.001), "guess", "df"))
 
