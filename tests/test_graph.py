@@ -99,3 +99,17 @@ def test_planted_and_rewired(spark):
     new = generators.rewired_to_hubs(edges, labels, 4.0)
     assert new.count() == edges.count() == new.distinct().count()
     assert T.hub_bridge(new, labels).first().ratio > T.hub_bridge(edges, labels).first().ratio
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from thicket import storage
+
+    t = storage.stored(spark.range(3))
+    folder = storage._made[-1].removeprefix("file://")
+    assert t.count() == 3 and os.path.isdir(folder)
+    kept, storage._made[:] = storage._made[:-1], storage._made[-1:]
+    storage.clear_stored(spark)
+    storage._made[:] = kept
+    assert not os.path.isdir(folder)

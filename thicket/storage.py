@@ -7,11 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares (spark.checkpoint.dir).  Only where that is unset, as in
     tests, it lies below the warehouse folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_thicket_shared"
-    return f"{base.rstrip('/')}/thicket-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/thicket-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
@@ -20,3 +24,10 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes every folder that this process has made; call it when no result that reads them is needed any more."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
