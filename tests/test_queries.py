@@ -60,3 +60,13 @@ def test_trials(spark):
 def test_toys(spark):
     rows = {r.graph: r for r in experiments.toy_suite(spark).collect()}
     assert abs(rows["barbell"].delta - 0.02) < 1e-12 and abs(rows["grid"].delta - 0.025) < 1e-12
+
+
+def test_time_limit(spark):
+    from thicket.plans import policy
+
+    assert policy.spectral_limit(None) == 300 and policy.spectral_limit(1.0) == 30 and policy.spectral_limit(7.55) == 75
+    assert policy.limited(spark, 60, lambda: spark.range(5).count()) == 5
+    assert policy.limited(spark, 1.0, lambda: spark.range(1 << 40).selectExpr("sum(hash(id))").collect()) is None
+    with pytest.raises(ZeroDivisionError):
+        policy.limited(spark, 60, lambda: 1 / 0)

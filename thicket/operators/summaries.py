@@ -59,3 +59,14 @@ def speedups(trials: DataFrame, sparsify: str = "t_sparsify", sparse: str = "t_l
 
 def quality_note(dq: Column) -> Column:
     return F.when(dq > 0, "improved").when(dq < -0.01, "degraded").otherwise("maintained")
+
+
+def weight_bucket(weight: Column) -> Column:
+    """How strongly an edge was drawn."""
+    return F.when(weight > 1.5, "strong").when(weight > 0.7, "usual").otherwise("weak")
+
+
+def extremes(rows: DataFrame, value: str, keys: list[str], most: int = 5, least: int = 3) -> DataFrame:
+    """The rows of the largest and the smallest values, with ``end`` top or bottom; of equals the first by keys."""
+    top = rows.orderBy(F.desc(value), *keys).limit(most).withColumn("end", F.lit("top"))
+    return top.unionByName(rows.orderBy(F.asc(value), *keys).limit(least).withColumn("end", F.lit("bottom")))

@@ -407,6 +407,25 @@ def survival_curve(spark, d):
     return rounded(S.survival_curve(edges, bridge, [0.2, 0.4, 0.6, 0.8], [1, 2, 3]))
 
 
+_DRAWN = _SQL["weighted_resample"]
+
+
+@query(f"SELECT CASE WHEN weight > 1.5 THEN 'strong' WHEN weight > 0.7 THEN 'usual' ELSE 'weak' END AS bucket, count(*) AS edges, sum(k)::BIGINT AS draws FROM ({_DRAWN}) GROUP BY 1")
+def weight_buckets(spark, d):
+    drawn = rounded(S.with_replacement(derived.trade(spark, d), 0.5))
+    return drawn.groupBy(M.weight_bucket(F.col("weight")).alias("bucket")).agg(F.count("*").alias("edges"), F.sum("k").alias("draws"))
+
+
+@query(f"WITH w AS ({_DRAWN}), t AS (SELECT *, 'top' AS \"end\" FROM w ORDER BY weight DESC, src, dst LIMIT 5), b AS (SELECT *, 'bottom' AS \"end\" FROM w ORDER BY weight, src, dst LIMIT 3) SELECT * FROM t UNION ALL SELECT * FROM b")
+def extreme_weights(spark, d):
+    return M.extremes(rounded(S.with_replacement(derived.trade(spark, d), 0.5)), "weight", ["src", "dst"])
+
+
+@query(TRADE + "SELECT round(median(score), 9) AS median_score FROM scored")
+def median_score(spark, d):
+    return rounded(degrees.scored(derived.trade(spark, d)).agg(F.median("score").alias("median_score")))
+
+
 # -- without SQL: iterative algorithms and generated graphs ---------------------------------------------------------
 
 
