@@ -443,7 +443,7 @@ def spectral_sparsify(spark, d):
 
 @query()
 def leiden_communities(spark, d):
-    return leiden.leiden_parallel(derived.trade(spark, d), seed=1)
+    return experiments.detected(derived.trade(spark, d), seed=1)
 
 
 @query()
