@@ -386,8 +386,8 @@ def _rarest(batches: Iterable[pa.RecordBatch], percent: int, n: int) -> Iterator
     yield from scatter(out, bucket_of(out[:, 0], n))
 
 
-def _ask(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Queries (class, group): of two groups that hold a rare token the smaller one's classes ask the larger one, and the
+def _ask(batches: Iterable[pa.RecordBatch], percent: int, n: int) -> Iterator[pa.RecordBatch]:
+    """Queries as records (class, group): of two groups that hold a rare token the smaller one's classes ask the larger one, and the
     classes of a group ask their own, where a class of another cluster has the token."""
     got = gather(batches, 5)
     if not len(got):
@@ -414,6 +414,14 @@ def _ask(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
             size = 0
     if asked:
         pairs = np.unique(np.concatenate(asked), axis=0)
+        yield from scatter(pairs, bucket_of(pairs[:, 0], n))
+
+
+def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each query once, though several tokens ask for it."""
+    got = gather(batches, 2)
+    if len(got):
+        pairs = np.unique(got, axis=0)
         yield pa.RecordBatch.from_arrays([signed(pairs[:, 0]), signed(pairs[:, 1])], names=["cls", "gid"])
 
 
@@ -469,7 +477,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     counts = left.groupBy("gid").agg(F.count("*").alias("members"))
     packed = left.join(counts, "gid").select("cls", "cluster", "gid", "members", "tokens").mapInArrow(partial(_members, n=n), PACKED)
     packed = shuffled(shuffled(packed, n).mapInArrow(partial(_spread, n=n), PACKED), n).mapInArrow(partial(_rarest, percent=percent, n=n), PACKED)
-    asked = stored(shuffled(packed, n).mapInArrow(partial(_ask, percent=percent), "cls long, gid long").distinct(), "asked")
+    packed = shuffled(packed, n).mapInArrow(partial(_ask, percent=percent, n=n), PACKED)
+    asked = stored(shuffled(packed, n).mapInArrow(_asked, "cls long, gid long"), "asked")
     groups = asked.groupBy("gid").agg(F.ceil(F.count("*") / ASKED).cast("long").alias("parts"))
     groups = groups.join(counts.select("gid", F.ceil(F.col("members") / CELL).cast("long").alias("cells")), "gid")
     members = left.join(groups, "gid")
