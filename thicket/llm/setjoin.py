@@ -8,7 +8,8 @@ exact up to 64-bit hash collisions and returns connected components of the link
    ``n - ceil(t n) + j`` ones.  Classes that share fewer with any other class are closed.  Each shared token votes for
    its least class as the leader of a group of similar classes.
 3. Token sets of the open classes are read again from the texts.  Groups, split into cells of bounded size, are
-   compared with a few members each (pivots) that go to all cells; links found join classes to clusters.
+   compared with a few members each (pivots) that go to all cells; links found join classes to clusters, parts of
+   components.
 4. Token-group matrix over clusters: the union of each cluster's tokens, inverted by token.  A cluster is open if at
    least ``ceil(t n)`` of its tokens, for its smallest n, are in other clusters' unions.
 5. Members of open clusters query the groups, their own included, whose open members of other clusters have one of their
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph.components import component_labels
+from ..graph.components import component_labels, near_labels
 from ..storage import stored
 from .exchange import PACKED, bucket_of, gather, partitions, runs, scatter, shuffled, signed
 from .textcore import U64, mix, word_chunks
@@ -453,10 +454,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     need = F.greatest(F.lit(1).cast("long"), F.floor(F.ceil(F.col("n") * percent / 100.0) / 10))
     survivors = best.join(classes.filter("n > 0"), "cls").filter(F.col("shared") >= need).select("cls", (-F.col("best.minus")).alias("gid"), F.col("some_id").alias("doc_id"))
     survivors = stored(survivors, "survivors")
-    for _ in range(2):
-        # a leader may have a lesser leader
-        above = survivors.select(F.col("cls").alias("gid"), F.col("gid").alias("top")).filter("gid <> top")
-        survivors = survivors.join(above, "gid", "left").select("cls", F.coalesce("top", "gid").alias("gid"), "doc_id")
+    # the leader within a task may have a lesser leader
+    above = survivors.select(F.col("cls").alias("gid"), F.col("gid").alias("top")).filter("gid <> top")
+    survivors = survivors.join(above, "gid", "left").select("cls", F.coalesce("top", "gid").alias("gid"), "doc_id")
     sets = stored(rows.join(survivors, "doc_id").select("cls", "gid", "text").mapInArrow(partial(_tokens, width=width), _SETS), "sets")
 
     sizes = sets.groupBy("gid").agg(F.count("*").alias("count")).filter("count > 1")
@@ -464,7 +464,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     grouped = sets.join(cells, "gid").withColumn("cluster", F.col("cls"))
     chosen = (F.col("cls") == F.col("gid")) | (F.pmod(F.xxhash64("cls", F.lit(7)), F.col("count")) < PIVOTS)
     links = stored(_opened(grouped.filter(chosen), grouped, percent), "links")
-    near = component_labels(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    near = near_labels(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
     own = sets.select("cls", "n").distinct().join(near.select(F.col("id").alias("cls"), F.col("component").alias("cluster")), "cls", "left")
     own = stored(own.select("cls", "n", F.coalesce("cluster", "cls").alias("cluster")), "own")
