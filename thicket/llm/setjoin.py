@@ -42,7 +42,7 @@ HOT = 64
 #: Pairs of (token, class) that a task holds before it sends them on.
 HELD = 1 << 20
 #: Members in a cell of a group, members that a whole group is compared with, and queries that meet a cell at once.
-CELL, PIVOTS, ASKED = 64, 16, 1024
+CELL, PIVOTS, ASKED = 64, 16, 256
 
 
 def ceil_share(n, percent: int):
