@@ -64,3 +64,35 @@ def test_licenses(spark):
     assert got[2][0][0] == "MIT" and 0.85 < got[2][0][1] < 0.95
     assert got[7] == [("MIT-notice", 1.0, 0, 5)]
     assert [x[0] for x in got[9]] == ["GPL-3.0-notice"]
+
+
+def test_repeated_licenses(spark):
+    """Licenses that stand many times near each other, with other text around each, whole or with some words lost."""
+    rng = random.Random(7)
+    filler = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    mit, apache = licenses.TEMPLATES["MIT"].split(), licenses.TEMPLATES["Apache-2.0"].split()
+    some = lambda words: " ".join(w for w in words if rng.random() < 0.95)
+    notice = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    texts = [
+        " ".join(f"{filler(20)} {' '.join(mit)} {filler(20)}" for _ in range(3)), " ".join(f"{filler(40)} {some(apache)} {filler(9)}" for _ in range(6)),
+        " ".join(f"{filler(3)} {notice}" for _ in range(12)), " ".join(f"{filler(9)} {' '.join(mit[:40])}" for _ in range(4)),
+    ]
+    got = {(r.doc_id, r.license): r for r in licenses.scan_licenses(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert set(got) == {(0, "MIT"), (1, "Apache-2.0"), (2, "CC-BY-4.0-notice")}
+    assert got[0, "MIT"][2:] == (1.0, 20, 20 + len(licenses.plain(" ".join(mit).encode()).split())) and got[1, "Apache-2.0"].coverage >= 0.85
+    assert got[2, "CC-BY-4.0-notice"][2:] == (1.0, 3, 3 + len(licenses.plain(notice.encode()).split()))
+
+
+def test_common():
+    """Against the usual table, and without an anchor on more than 64 words a side."""
+    rng = random.Random(11)
+    for n in [5, 20, 150] * 10:
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, n))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        got = licenses._common(x, y, 0, 0)
+        assert len(got) == best[-1][-1] == licenses._common_length(x, licenses._masks(y), len(y))
+        assert all(x[i] == y[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+    assert len(licenses.patience("ab" * 50 + "c", "d" + "ba" * 50)) == 99

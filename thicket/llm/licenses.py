@@ -1,8 +1,9 @@
 """License scan (operator 6) by patience alignment.
 
 Words that occur once in a stretch of text and once in a template are anchors; the longest increasing run of anchors is
-kept and the gaps between them are aligned in the same way, down to equal ends and, for small gaps, a longest common
-subsequence.  Coverage is the share of the template's words that are aligned.
+kept and the gaps between them are aligned in the same way, down to equal ends and, for gaps without anchors, a longest
+common subsequence.  Coverage is the share of the template's words that are aligned; where anchors that a repeated license
+leaves lead the alignment astray, the longest common subsequence of the whole stretch takes its place.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from .textcore import U64, Words, as_bytes, chunks
 COVERAGE = 0.8
 #: A template may be stretched to so many times its words.
 STRETCH = 2
-#: Gaps of at most this many words a side without anchors are aligned by dynamic programming.
-SMALL = 64
 
 #: Notices by which public licenses are usually applied, after their published wording.
 TEMPLATES: dict[str, str] = {
@@ -60,22 +59,44 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _masks(b: list) -> dict:
+    """For every item of b the bits of its places."""
+    out: dict = {}
+    for j, x in enumerate(b):
+        out[x] = out.get(x, 0) | 1 << j
+    return out
+
+
+def _rows(a: list, masks: dict, n: int) -> Iterator[int]:
+    """For every beginning of a, a bit for each place of the other list of n items: 0 where the longest common subsequence
+    grows by that place."""
+    every = row = (1 << n) - 1
+    for x in a:
+        if both := row & masks.get(x, 0):
+            row = (row + both | row - both) & every
+        yield row
+
+
+def _common_length(a: list, masks: dict, n: int) -> int:
+    row = (1 << n) - 1
+    for row in _rows(a, masks, n):  # noqa: B007
+        pass
+    return n - row.bit_count()
+
+
 def _common(a: list, b: list, a0: int, b0: int) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    """A longest common subsequence of two lists of any length, with a bit for every pair of places."""
+    rows = [(1 << len(b)) - 1, *_rows(a, _masks(b), len(b))]
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        elif rows[i - 1] >> j - 1 & 1:
+            i, j = i - 1, j - 1
             out.append((a0 + i, b0 + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
         else:
-            j += 1
-    return out
+            i -= 1
+    return out[::-1]
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -96,8 +117,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         place = {x: j for j, x in enumerate(b[b0:b1], b0) if nb[x] == 1}
         anchors = _increasing([(i, place[x]) for i, x in enumerate(a[a0:a1], a0) if na[x] == 1 and x in place])
         if not anchors:
-            if a1 - a0 <= SMALL and b1 - b0 <= SMALL:
-                out += _common(a[a0:a1], b[b0:b1], a0, b0)
+            out += _common(a[a0:a1], b[b0:b1], a0, b0)
             continue
         out += anchors
         for (i, j), (k, l) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)], strict=True):
@@ -111,6 +131,8 @@ class Scanner:
         self.names = sorted(templates)
         words = Words([plain(templates[k].encode()) for k in self.names], lower=True)
         self.words = [words.of(words.hashes, i) for i in range(len(self.names))]
+        self.lists = [w.tolist() for w in self.words]
+        self.masks = [_masks(w) for w in self.lists]
         self.vocabulary = [np.unique(w) for w in self.words]
         every = np.unique(np.concatenate([*self.words, np.zeros(0, U64)]))
         self.every = every
@@ -119,20 +141,36 @@ class Scanner:
         self.member = np.stack([np.isin(every, v) for v in self.vocabulary]) if len(every) else np.zeros((len(self.names), 0), bool)
 
     def regions(self, places: np.ndarray, k: int, n: int) -> list[tuple[int, int]]:
-        """Stretches of a text where enough words of template k are within STRETCH times its length."""
+        """Stretches of a text where enough words of template k are within STRETCH times its length, one for every word that
+        such a stretch may begin with: they overlap and are never merged, so that each holds a few repetitions at most."""
         size = len(self.words[k])
         need, reach = int(np.ceil(self.coverage * size)), STRETCH * size
         if len(places) < need or not need:
             return []
         begins = np.flatnonzero(places[need - 1 :] - places[: len(places) - need + 1] < reach)
-        out: list[list[int]] = []
-        for a in places[begins].tolist():
-            low, high = max(0, a - size), min(n, a + reach + size)
-            if out and low <= out[-1][1]:
-                out[-1][1] = high
-            else:
-                out.append([low, high])
-        return [(a, b) for a, b in out]
+        return [(max(0, a - size), min(n, a + reach + size)) for a in places[begins].tolist()]
+
+    def best(self, text: np.ndarray, places: np.ndarray, k: int) -> tuple[str, float, int, int] | None:
+        """The first of the best stretches for template k, if it is covered well enough."""
+        size, template = len(self.lists[k]), self.lists[k]
+        best = None
+        most = int(np.ceil(self.coverage * size)) - 1
+        length, end = 0, 0
+        for low, high in self.regions(places, k, len(text)):
+            # every word that comes in adds one at most
+            if length + high - end <= most:
+                continue
+            window = text[low:high].tolist()
+            length, end = _common_length(window, self.masks[k], size), high
+            if length > most:
+                pairs = patience(window, template)
+                if len(pairs) < length:
+                    pairs = _common(window, template, 0, 0)
+                most = length
+                best = (self.names[k], length / size, low + pairs[0][0], low + pairs[-1][0] + 1)
+                if length == size:
+                    break
+        return best
 
     def scan(self, texts: list[bytes]) -> Iterator[list[tuple[str, float, int, int]]]:
         for a, b in chunks(texts):
@@ -145,17 +183,11 @@ class Scanner:
             for i in range(b - a):
                 own, which = hits[cut[i] : cut[i + 1]] - words.first[i], at[cut[i] : cut[i + 1]]
                 found = []
-                for k, name in enumerate(self.names):
-                    best = None
+                text = words.of(words.hashes, i)
+                for k in range(len(self.names)):
                     if len(own) < self.coverage * len(self.words[k]):
                         continue
-                    text = words.of(words.hashes, i)
-                    for low, high in self.regions(own[self.member[k, which]], k, len(text)):
-                        pairs = patience(text[low:high].tolist(), self.words[k].tolist())
-                        share = len(pairs) / len(self.words[k])
-                        if share >= self.coverage and (best is None or share > best[1]):
-                            best = (name, share, low + pairs[0][0], low + pairs[-1][0] + 1)
-                    if best:
+                    if best := self.best(text, own[self.member[k, which]], k):
                         found.append(best)
                 yield found
 
