@@ -123,3 +123,19 @@ def test_bands(spark):
 def test_empty(spark):
     assert perplexity.judged(frame(spark, [])).collect() == []
     assert not perplexity.judged(frame(spark, [(1, None, None, None, None)])).first().kept
+
+
+def test_parts(spark, monkeypatch):
+    """The model in parts, read group by group, gives what one model of all grams gives, at every size of groups."""
+    docs = frame(spark, documents() + [(7000 + i, t, lang, None, 0) for i, (t, lang) in enumerate([("naïve café", "fr"), ("x" * 40, None), ("日本語の文", "ja")])])
+    rows = [(r.text or "", r.lang) for r in docs.select("text", "lang").collect()]
+    texts, langs = [t.encode() for t, _ in rows], np.array([perplexity.language_code(x) for _, x in rows])
+    keys, _ = perplexity.grams(texts, langs, 5)
+    whole = perplexity.KneserNey(*np.unique(keys, return_counts=True), 5)
+    asked = np.concatenate([keys, perplexity.grams([b"never seen before 0123"] * 2, langs[:2], 5)[0]])
+    for group, held in ((500_000, 2_000_000), (300, 1000), (1, 0)):
+        monkeypatch.setattr(perplexity, "GROUP", group)
+        monkeypatch.setattr(perplexity, "HELD", held)
+        kn = perplexity.model(docs)
+        assert kn.order == 5 and (len(kn.groups) > 1) == (group < 500_000)
+        assert np.abs(kn.units(asked) - whole.units(asked)).max() <= 5

@@ -1,28 +1,36 @@
 """Quality rules with n-gram perplexity (operator 3).
 
 Spark counts all byte n-grams of every language's whole texts.  The counts give an interpolated modified Kneser-Ney model,
-whose probabilities and back-off weights lie in arrays sorted by hash.  Every text is scored by it, and each language's
-documents outside a band around the language's usual log perplexity are rejected, beside those that fail fixed rules.
+whose probabilities and back-off weights lie in arrays sorted by hash.  The model is of the same order at every size: it
+is counted, built and kept in parts, as files in the shared folder, and whoever scores reads them group by group.  Every text
+is scored by it, and each language's documents outside a band around the language's usual log perplexity are rejected, beside those that fail fixed rules.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import shared_folder, stored
 from .exchange import PACKED, bucket_of, gather, partitions, scatter, shuffled
 from .textcore import U64, Words, as_bytes, chunks, mix
 
 #: Bytes of an n-gram.
 ORDER = 5
-#: N-grams of a model that may go to the executors; beyond it the order is lowered until they are no more than this.
-MAX_ENTRIES = 4_000_000
+#: N-grams of at most so many bytes stand in one model for all parts (no more than 65,536 pairs a language); longer ones are
+#: dealt by the two bytes before their last, which all n-grams and contexts that a byte's probability asks for share.
+LOW = 2
+#: Parts are read together up to so many n-grams, and kept in memory up to so many; the others are read again for every
+#: ROUND bytes of text.  None of these changes a result.
+GROUP, HELD, ROUND = 500_000, 2_000_000, 1 << 22
 #: Log probabilities are whole multiples of this, so that sums don't hang on their order.
 UNIT = 1.0 / (1 << 16)
 #: A band reaches this many quartile distances below the lower and above the upper quartile of log perplexity, which count
@@ -60,6 +68,10 @@ def grams(texts: list[bytes], langs: np.ndarray, order: int) -> tuple[np.ndarray
     return key, np.concatenate([[0], np.cumsum(lengths)])
 
 
+def _part_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return bucket_of(keys & LANG | keys >> U64(8) & U64(0xFFFF), n)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -82,18 +94,43 @@ def _count(batches: Iterable[pa.RecordBatch], order: int, n: int) -> Iterator[pa
                 held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
                 size = len(held[0][0])
                 if size > 1 << 20:
-                    yield from scatter(np.stack([held[0][0], held[0][1].astype(U64)], 1), bucket_of(held[0][0], n))
+                    yield from scatter(np.stack([held[0][0], held[0][1].astype(U64)], 1), _part_of(held[0][0], n))
                     held, size = [], 0
     if held:
         keys, counts = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        yield from scatter(np.stack([keys, counts.astype(U64)], 1), bucket_of(keys, n))
+        yield from scatter(np.stack([keys, counts.astype(U64)], 1), _part_of(keys, n))
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, order: int, first: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Grams and their counts by order down to first; those of lower orders have continuation counts."""
+    levels = {order: (keys, counts.astype(np.int64))}
+    for n in range(order - 1, first - 1, -1):
+        # continuation counts: different bytes before a gram
+        levels[n] = _summed(_last(levels[n + 1][0], n), np.ones(len(levels[n + 1][0]), np.int64))
+    return levels
+
+
+_ADDED = "part int, keys binary, counts binary, entries long, low_keys binary, low_counts binary, counted binary"
 
 
-def _add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add(batches: Iterable[pa.RecordBatch], order: int, n: int) -> Iterator[pa.RecordBatch]:
+    """A part's grams, its short ones, and (language, order, how many counts are 1, 2, 3, 4) of its long ones."""
     got = gather(batches, 2)
-    if len(got):
-        keys, counts = _summed(got[:, 0], got[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], names=["keys", "counts", "entries"])
+    if not len(got):
+        return
+    keys, counts = _summed(got[:, 0], got[:, 1])
+    parts = _part_of(keys, n)
+    for part in np.unique(parts).tolist():
+        k, c = keys[parts == part], counts[parts == part]
+        levels = _levels(k, c, order, min(order, LOW))
+        low = levels[min(order, LOW)]
+        rows = []
+        for m in range(LOW + 1, order + 1):
+            lang = (levels[m][0] >> U64(40)).astype(np.int64)
+            rows += [(x, m, *(np.count_nonzero(levels[m][1][lang == x] == i) for i in (1, 2, 3, 4))) for x in np.unique(lang).tolist()]
+        binary = [x.tobytes() for x in (k, c, low[0], low[1], np.array(rows, np.int64))]
+        columns = [pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in binary[:2]), pa.array([len(k)], pa.int64()), *(pa.array([x], pa.binary()) for x in binary[2:])]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _ADDED.split(", ")])
 
 
 # -- the model ------------------------------------------------------------------------------------------------------
@@ -102,9 +139,9 @@ def _add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Table:
     """Values by 64-bit key: hashes in order, with a directory over their leading bits."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        h = mix(keys)
-        order = np.argsort(h)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, hashed: bool = False):
+        h = keys if hashed else mix(keys)
+        order = np.argsort(h, kind="stable")
         self.hashes, self.values = h[order], values[order]
         self.bits = max(1, int(np.ceil(np.log2(max(2, len(keys))))))
         self.directory = np.searchsorted(self.hashes, np.arange(1 << self.bits, dtype=U64) << U64(64 - self.bits)).astype(np.int32)
@@ -130,9 +167,8 @@ class Table:
         return out, found
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    n = [float(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
+def _discounts(n: list[float]) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from how many counts are 1, 2, 3 and 4."""
     out = np.array([0.0, 0.5, 1.0, 1.5])
     if n[0] and n[1]:
         y = n[0] / (n[0] + 2 * n[1])
@@ -150,25 +186,31 @@ def _last(keys: np.ndarray, n: int) -> np.ndarray:
     return keys & LANG | keys & U64((1 << 8 * n) - 1)
 
 
+def _quantised(x: np.ndarray) -> np.ndarray:
+    return np.round(np.log(np.maximum(x, 1e-9)) / UNIT).astype(np.int32)
+
+
 class KneserNey:
-    """Interpolated modified Kneser-Ney over bytes, per language, of (key, count) of all grams of one order."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
-        self.order = order
-        levels = {order: (keys, counts.astype(np.int64))}
-        for n in range(order - 1, 0, -1):
-            # continuation counts: different bytes before a gram
-            levels[n] = _summed(_last(levels[n + 1][0], n), np.ones(len(levels[n + 1][0]), np.int64))
+    """Interpolated modified Kneser-Ney over bytes, per language, of (key, count) of all grams of one order.
+
+    Of a part of the grams only orders above LOW are built: low is the model of the others, and discounts holds those of all
+    parts by language and order.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: KneserNey | None = None, discounts: dict[tuple[int, int], np.ndarray] | None = None):
+        self.order, self.low, self.first = order, low, LOW + 1 if low else 1
+        levels = _levels(keys, counts, order, self.first)
         self.probability: dict[int, Table] = {}
         self.backoff: dict[int, Table] = {}
-        lower_keys, lower = np.zeros(0, U64), np.zeros(0)
-        for n in range(1, order + 1):
+        lower_keys, lower = low.top if low else (np.zeros(0, U64), np.zeros(0))
+        for n in range(self.first, order + 1):
             k, c = levels[n]
             lang = (k >> U64(40)).astype(np.int64)
             discount = np.zeros(len(k))
-            for x in np.unique(lang):
+            for x in np.unique(lang).tolist():
                 own = lang == x
-                discount[own] = _discounts(c[own])[np.minimum(c[own], 3)]
+                steps = discounts[x, n] if discounts else _discounts([float(np.count_nonzero(c[own] == i)) for i in (1, 2, 3, 4)])
+                discount[own] = steps[np.minimum(c[own], 3)]
             context = k & LANG | (k & MASK) >> U64(8)
             contexts, at = np.unique(context, return_inverse=True)
             total = np.bincount(at, c)
@@ -180,15 +222,32 @@ class KneserNey:
                 below = lower[where]
             p = (c - discount) / total[at] + gamma[at] * below
             lower_keys, lower = k, p
-            quantised = lambda x: np.round(np.log(np.maximum(x, 1e-9)) / UNIT).astype(np.int32)
-            self.probability[n] = Table(k, quantised(p))
-            self.backoff[n - 1] = Table(contexts, quantised(gamma))
+            self.probability[n] = Table(k, _quantised(p))
+            self.backoff[n - 1] = Table(contexts, _quantised(gamma))
+        #: grams of the highest order and their probabilities, for a model to be built upon this one
+        self.top = (lower_keys, lower)
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{f"{name}{n}{x}": getattr(t, x) for name in ("probability", "backoff") for n, t in getattr(self, name).items() for x in ("hashes", "values")})
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes], order: int, low: KneserNey) -> KneserNey:
+        """One model of some parts."""
+        self = cls.__new__(cls)
+        self.order, self.low, self.first = order, low, LOW + 1
+        files = [np.load(io.BytesIO(x)) for x in parts]
+        for name, back in (("probability", 0), ("backoff", 1)):
+            tables = {n - back: [np.concatenate([f[f"{name}{n - back}{x}"] for f in files]) for x in ("hashes", "values")] for n in range(self.first, order + 1)}
+            setattr(self, name, {n: Table(h, v, True) for n, (h, v) in tables.items()})
+        return self
 
     def units(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of each gram's last byte after the others, in UNITs."""
         out = np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
-        for n in range(self.order, 0, -1):
+        for n in range(self.order, self.first - 1, -1):
             grams_ = _last(keys[left], n)
             value, found = self.probability[n].find(grams_, 0)
             out[left[found]] += value[found]
@@ -196,27 +255,99 @@ class KneserNey:
             if not len(left):
                 return out
             out[left] += self.backoff[n - 1].find(grams_ & LANG | (grams_ & MASK) >> U64(8), 0)[0]
-        out[left] += round(np.log(1.0 / 256) / UNIT)
+        out[left] += self.low.units(keys[left]) if self.low else round(np.log(1.0 / 256) / UNIT)
         return out
 
 
-def model(docs: DataFrame, order: int = ORDER) -> KneserNey:
+class Parts:
+    """A model in the shared folder: low, and a file for each part with longer grams."""
+
+    def __init__(self, folder: str, order: int, low: KneserNey, n: int, entries: dict[int, int]):
+        self.folder, self.order, self.low, self.n = folder, order, low, n
+        self.groups: list[list[int]] = []
+        self.group_of = np.full(n, -1, np.int32)
+        self.held: set[int] = set()
+        self.models: dict[int, KneserNey] = {}
+        size = held = 0
+        for part, count in sorted(entries.items()):
+            if not self.groups or size + count > GROUP:
+                self.groups.append([])
+                size = 0
+            size, held = size + count, held + count
+            self.groups[-1].append(part)
+            self.group_of[part] = len(self.groups) - 1
+            if held <= HELD or len(self.groups) == 1:
+                self.held.add(len(self.groups) - 1)
+            else:
+                self.held.discard(len(self.groups) - 1)
+
+    def model(self, g: int) -> KneserNey:
+        if g in self.models:
+            return self.models[g]
+        fs, base = pafs.FileSystem.from_uri(self.folder)
+        parts = []
+        for part in self.groups[g]:
+            with fs.open_input_stream(f"{base}/{part}", compression=None) as stream:
+                parts.append(stream.read())
+        out = KneserNey.unpacked(parts, self.order, self.low)
+        if g in self.held:
+            self.models[g] = out
+        return out
+
+    def units(self, keys: np.ndarray) -> np.ndarray:
+        if not self.groups or not len(keys):
+            return self.low.units(keys)
+        if len(self.groups) == 1:
+            return self.model(0).units(keys)
+        group = self.group_of[_part_of(keys, self.n)]
+        order = np.argsort(group, kind="stable")
+        at = np.searchsorted(group[order], np.arange(len(self.groups) + 1))
+        out = np.zeros(len(keys), np.int64)
+        for g in range(len(self.groups)):
+            own = order[at[g] : at[g + 1]]
+            if len(own):
+                out[own] = self.model(g).units(keys[own])
+        return out
+
+
+def _build(batches: Iterable[pa.RecordBatch], folder: str, order: int, low: KneserNey, discounts: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Writes the file of each part."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    for batch in batches:
+        for part, keys, counts in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "counts")), strict=True):
+            data = KneserNey(np.frombuffer(keys, U64), np.frombuffer(counts, np.int64), order, low, discounts).packed()
+            temporary = f"{base}/_{uuid.uuid4().hex}"
+            with fs.open_output_stream(temporary, compression=None) as out:
+                out.write(data)
+            fs.move(temporary, f"{base}/{part}")
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
+
+
+def model(docs: DataFrame, order: int = ORDER) -> Parts:
     """The model of all texts of docs(lang, text)."""
-    n = partitions(docs.sparkSession)
-    while True:
-        packed = docs.select("lang", "text").mapInArrow(partial(_count, order=order, n=n), PACKED)
-        counted = stored(shuffled(packed, n).mapInArrow(_add, "keys binary, counts binary, entries long"), "grams")
-        entries = counted.agg(F.sum("entries")).first()[0] or 0
-        if entries <= MAX_ENTRIES or order == 2:
-            break
-        order -= 1
-    if entries > MAX_ENTRIES:
-        raise ValueError(f"{entries} byte pairs: too many languages for one model")
-    parts = counted.select("keys", "counts").collect()
-    keys = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["keys"], U64) for r in parts)])
-    counts = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["counts"], U64) for r in parts)])
-    by = np.argsort(keys)
-    return KneserNey(keys[by], counts[by], order)
+    spark = docs.sparkSession
+    n = partitions(spark)
+    packed = docs.select("lang", "text").mapInArrow(partial(_count, order=order, n=n), PACKED)
+    counted = stored(shuffled(packed, n).mapInArrow(partial(_add, order=order, n=n), _ADDED), "grams")
+    rows = counted.select("part", "entries", "low_keys", "low_counts", "counted").collect()
+    keys, counts = (np.concatenate([np.zeros(0, t), *(np.frombuffer(r[x], t) for r in rows)]) for x, t in (("low_keys", U64), ("low_counts", np.int64)))
+    low = KneserNey(*_summed(keys, counts), min(order, LOW))
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for r in rows:
+        for lang, m, *of in np.frombuffer(r["counted"], np.int64).reshape(-1, 6).tolist():
+            total[lang, m] = total.get((lang, m), 0) + np.array(of, float)
+    entries = {r["part"]: r["entries"] for r in rows} if order > LOW else {}
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().toString()
+    fs.mkdirs(path)
+    if entries:
+        discounts = {k: _discounts(v.tolist()) for k, v in total.items()}
+        built = counted.select("part", "keys", "counts").mapInArrow(partial(_build, folder=folder, order=order, low=low, discounts=discounts), "part int").collect()
+        if len(built) != len(entries):
+            raise RuntimeError(f"{len(built)} of {len(entries)} parts of the model were built")
+    low.top = None
+    return Parts(folder, order, low, n, entries)
 
 
 # -- the rules ------------------------------------------------------------------------------------------------------
@@ -253,7 +384,7 @@ def _again(text: bytes) -> int:
 _SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, units long"
 
 
-def _score(batches: Iterable[pa.RecordBatch], kn: KneserNey) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterable[pa.RecordBatch], kn: Parts) -> Iterator[pa.RecordBatch]:
     codes: dict[str | None, int] = {}
     names = [x.split()[0] for x in _SCORED.split(", ")]
     for batch in batches:
@@ -273,6 +404,7 @@ def _score(batches: Iterable[pa.RecordBatch], kn: KneserNey) -> Iterator[pa.Reco
             out[2, a:b] = symbols[ends] - symbols[words.begins]
             out[3, a:b] = [_again(t) for t in texts[a:b]]
             out[4, a:b] = [_repeated(words, windows, i) for i in range(b - a)]
+        for a, b in chunks(texts, ROUND) if len(kn.groups) > 1 else chunks(texts):
             keys, at = grams(texts[a:b], langs[a:b], kn.order)
             units = np.concatenate([[0], np.cumsum(kn.units(keys))])
             out[5, a:b] = units[at[1:]] - units[at[:-1]]
