@@ -70,3 +70,32 @@ def test_time_limit(spark):
     assert policy.limited(spark, 1.0, lambda: spark.range(1 << 40).selectExpr("sum(hash(id))").collect()) is None
     with pytest.raises(ZeroDivisionError):
         policy.limited(spark, 60, lambda: 1 / 0)
+
+
+def test_whole_trade_graph(spark):
+    """Components, resistances and CPM communities take in every edge and node of the derived graph."""
+    from thicket.sources import derived
+
+    edges = [(r.src, r.dst) for r in derived.trade(spark, DATA).collect()]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    parts = {x: top(x) for x in root}
+    run = lambda name: catalog.queries()[name](spark, DATA).collect()
+    assert {r.id: r.component for r in run("trade_components")} == parts
+    sizes = {c: list(parts.values()).count(c) for c in set(parts.values())}
+    most = min(sizes, key=lambda c: (-sizes[c], c))
+    assert {r.id for r in run("trade_largest_component")} == {x for x, c in parts.items() if c == most}
+    found = run("trade_resistance")
+    assert sorted((r.src, r.dst) for r in found) == sorted(edges)
+    # resistances of all edges add up to nodes less components
+    assert abs(sum(r.resistance for r in found) / (len(parts) - len(sizes)) - 1) < 0.1
+    comm = {r.id: r.comm for r in run("trade_cpm")}
+    assert set(comm) == set(parts) and 1 < len(set(comm.values())) < len(parts)

@@ -436,6 +436,27 @@ def effective_resistance(spark, d):
     return rounded(resistance.exact(edges.withColumn("graph_id", F.lit("karate"))), 6)
 
 
+@query()
+def trade_components(spark, d):
+    """Of the whole graph; connected_components has its SQL over few edges, as recursion takes no more."""
+    return components.component_labels(derived.trade(spark, d))
+
+
+@query()
+def trade_largest_component(spark, d):
+    return registry.largest_component(derived.trade(spark, d))
+
+
+@query()
+def trade_resistance(spark, d):
+    return rounded(resistance.sketched(derived.trade(spark, d)), 6)
+
+
+@query()
+def trade_cpm(spark, d):
+    return leiden.leiden_parallel(derived.trade(spark, d), 0.1, True)
+
+
 @query()
 def spectral_sparsify(spark, d):
     return rounded(S.sparsify(derived.trade(spark, d), "spectral", 0.4), 6)
