@@ -69,3 +69,30 @@ def test_redaction(spark):
         assert not any(x.split(":")[0] in ("hex", "access") for x in brute(got[i].text))
         if t and not secrets.all_spans(t)[1]:
             assert got[i].text == t
+
+
+def test_long_sums():
+    """Every part of a sum counts, however many there are, and so do constants that are added up again and again."""
+    parts = [f"{c}{i}" for i in range(60) for c in "aQz"]
+    text = "db_credential = " + " + ".join(f'"{p}"' for p in parts)
+    assert [text[a:b] for a, k, b in secrets.all_spans(text)[1]] == parts
+    assert secrets.redacted(text, "#") == "db_credential = " + " + ".join(['"#"'] * len(parts))
+    text = 'a0 = "Zx9q7"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(2000)) + "adminPwd = a2000"
+    assert [text[a:b] for a, k, b in secrets.lexed_spans(text)] == ["Zx9q7"]
+    text = 'b0 = "Zx9q"\n' + "".join(f'b{i + 1} = b{i} + "{i}k"\n' for i in range(3000)) + "adminPwd = b3000"
+    assert len(secrets.lexed_spans(text)) == 3001
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ('db_pwd = "correcthorsebattery"', ["correcthorsebattery"]),
+        ('passphrase = "qwertyuiopasdfgh"', ["qwertyuiopasdfgh"]),
+        ('user_credential = "8429107356284917"', ["8429107356284917"]),
+        ('pwd = "aaaaaaaaaaaaaaaaaaaa"', []),
+        ('cookie = "correcthorsebattery"', []),
+        ('a = "Qw8r"\nadminPwd = a + a + a', ["Qw8r"]),
+    ],
+)
+def test_one_kind_of_characters(text, found):
+    assert [text[a:b] for a, k, b in secrets.lexed_spans(text)] == found

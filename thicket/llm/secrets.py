@@ -40,6 +40,8 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("client", "id"): 0.5, ("connection", "string"): 0.6}
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|true|false|undefined|change_?me|example.*|your[_-].*|placeholder.*|\$\{.*\}|\$[A-Z_]+|%\(.*\).*|<.*>)$")
 THRESHOLD = 0.5
+#: A literal of one kind of characters counts for more if its name is so sensitive, and it so long and so random.
+STRONG, LONG, RANDOM = 0.9, 14, 3.0
 
 
 def name_score(name: str) -> float:
@@ -47,13 +49,19 @@ def name_score(name: str) -> float:
     return max([SENSITIVE.get(w, 0.0) for w in words] + [SENSITIVE_PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False)] + [0.0])
 
 
-def literal_score(text: str) -> float:
-    """0 to 1: bits of Shannon entropy a character, weighed by length and by how many kinds of characters there are."""
-    if len(text) < 8 or _PLACEHOLDER.match(text) or any(c.isspace() for c in text):
+def literal_score(text: str, counts: Counter | None = None, strong: bool = False) -> float:
+    """0 to 1: bits of Shannon entropy a character, weighed by length and by how many kinds of characters there are.
+
+    Of a long value, text may be its ends only, and counts are of all its characters.
+    """
+    counts = Counter(text) if counts is None else counts
+    size = sum(counts.values())
+    if size < 8 or _PLACEHOLDER.match(text) or any(c.isspace() for c in counts):
         return 0.0
-    bits = -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
-    kinds = sum(any(f(c) for c in text) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, bits / 3.5) * min(1.0, len(text) / 12) * (0.4 if kinds == 1 else 1.0)
+    bits = -sum(n / size * math.log2(n / size) for n in counts.values() if n / size)
+    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    one = 0.7 if strong and size >= LONG and bits >= RANDOM else 0.4
+    return min(1.0, bits / 3.5) * min(size, 12) / 12 * (one if kinds == 1 else 1.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,13 +76,50 @@ def _unquoted(start: int, end: int, text: str) -> tuple[int, int]:
     return (start + 1, end - 1) if text[start] in "\"'" else (start, end)
 
 
+class _Value:
+    """What a literal or sum stands for: its parts are spans and other values, which are shared and never copied."""
+
+    def __init__(self, text: str, parts: list[tuple[int, int] | _Value]):
+        self.parts = parts
+        self.seen = False
+        if len(parts) == 1 and isinstance(parts[0], _Value):
+            self.counts, self.head, self.tail = parts[0].counts, parts[0].head, parts[0].tail
+            return
+        self.counts: Counter = Counter()
+        self.head = self.tail = ""
+        for p in parts:
+            own = p if isinstance(p, _Value) else None
+            if own:
+                for c, n in own.counts.items():
+                    self.counts[c] += n
+            else:
+                self.counts.update(text[p[0] : p[1]])
+            if len(self.head) < 64:
+                self.head = (self.head + (own.head if own else text[p[0] : min(p[1], p[0] + 64)]))[:64]
+            self.tail = (own.tail if own else text[max(p[0], p[1] - 1) : p[1]]) or self.tail
+
+    def score(self, strong: bool) -> float:
+        return literal_score(self.head if sum(self.counts.values()) <= 64 else self.head + self.tail, self.counts, strong)
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """All spans, but for those of values that were asked before."""
+        todo: list[tuple[int, int] | _Value] = [self]
+        while todo:
+            p = todo.pop()
+            if not isinstance(p, _Value):
+                yield p
+            elif not p.seen:
+                p.seen = True
+                todo += p.parts
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals whose targets' names and own looks score THRESHOLD or more together."""
-    known: dict[str, list[tuple[int, int]]] = {}
+    known: dict[str, _Value] = {}
     out: dict[tuple[int, int], None] = {}
     for m in _PAIR.finditer(text):
         name, at = m["name"], m.start("lit")
-        pieces: list[tuple[int, int]] = []
+        pieces: list[tuple[int, int] | _Value] = []
 
         def add(start: int, end: int, pieces=pieces) -> bool:
             """Whether it is a literal or stands for one."""
@@ -82,7 +127,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
             if raw[0] in "\"'":
                 pieces.append(_unquoted(start, end, text))
             elif raw in known:
-                pieces.extend(known[raw])
+                pieces.append(known[raw])
             else:
                 return False
             return True
@@ -93,11 +138,10 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
                 end = more.end()
         else:
             pieces.append((at, m.end("lit")))
-        pieces = pieces[:64]
-        known[name] = pieces
+        known[name] = value = _Value(text, pieces)
         sensitive = name_score(name)
-        if sensitive and sensitive * literal_score("".join(text[a:b] for a, b in pieces)) >= THRESHOLD:
-            out |= dict.fromkeys(pieces)
+        if sensitive and sensitive * value.score(sensitive >= STRONG) >= THRESHOLD:
+            out |= dict.fromkeys(value.spans())
     return sorted((a, 3, b) for a, b in out if a < b)
 
 
