@@ -2,16 +2,20 @@
 
 Spark counts all byte n-grams of every language's whole texts.  The counts give an interpolated modified Kneser-Ney model,
 whose probabilities and back-off weights lie in arrays sorted by hash.  The model is of the same order at every size: it
-is counted, built and kept in parts, as files in the shared folder, and whoever scores reads them group by group.  Every text
-is scored by it, and each language's documents outside a band around the language's usual log perplexity are rejected, beside those that fail fixed rules.
+is counted, built and kept in parts, as files in the shared folder, and whoever scores reads them part by part.  A language
+has two models, each of the texts whose hash is even or odd, and a text is scored by the one that has not counted it.
+Documents outside a band around their language's usual log perplexity are rejected, beside those that fail fixed rules.
+
+Bytes and not words are the unit, since words are told apart by spaces in some languages only, and since a model of bytes
+knows no unknown words: in held-out text a rare word costs what its spelling costs.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +25,22 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stored
 from .exchange import PACKED, bucket_of, gather, partitions, scatter, shuffled
-from .textcore import U64, Words, as_bytes, chunks, mix
+from .textcore import CHUNK_BYTES, U64, Words, as_bytes, chunks, mix
 
 #: Bytes of an n-gram.
 ORDER = 5
-#: N-grams of at most so many bytes stand in one model for all parts (no more than 65,536 pairs a language); longer ones are
-#: dealt by the two bytes before their last, which all n-grams and contexts that a byte's probability asks for share.
+#: N-grams of at most so many bytes stand in one model for all parts (no more than 65,536 pairs a language and half);
+#: longer ones are dealt by the two bytes before their last, which all n-grams and contexts that a byte's probability asks
+#: for share.
 LOW = 2
-#: Parts are read together up to so many n-grams, and kept in memory up to so many; the others are read again for every
-#: ROUND bytes of text.  None of these changes a result.
-GROUP, HELD, ROUND = 500_000, 2_000_000, 1 << 22
+#: A worker keeps parts of so many n-grams in memory; others are read again for every ROUND bytes of text.  Neither
+#: changes a result.
+HELD, ROUND = 2_000_000, 1 << 24
 #: Log probabilities are whole multiples of this, so that sums don't hang on their order.
 UNIT = 1.0 / (1 << 16)
 #: A band reaches this many quartile distances below the lower and above the upper quartile of log perplexity, which count
 #: LEAST_SPREAD nats a word at least.
-BELOW, ABOVE, LEAST_SPREAD = 3.5, 3.5, 0.2
+BELOW, ABOVE, LEAST_SPREAD = 2.0, 3.5, 0.2
 LEAST_WORDS = 50
 
 
@@ -43,31 +48,62 @@ LEAST_WORDS = 50
 
 
 def language_code(lang: str | None) -> int:
-    """24 bits of a language's name; null is a language of its own."""
+    """24 bits of a language's name, of which the last is 0; null is a language of its own."""
     data = b"\0" if lang is None else lang.encode("utf-8", "surrogatepass")
     h = np.array([len(data)], U64)
     for b in data:
         h = mix(h ^ U64(b))
-    return int(h[0] >> U64(40))
+    return int(h[0] >> U64(40)) & ~1
+
+
+def half(text: bytes) -> int:
+    """Which of its language's two models counts a text; equal texts are in one half."""
+    return crc32(text) & 1
 
 
-def grams(texts: list[bytes], langs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every text, its language << 40 | the ``order`` bytes that end there; zeros stand before a text.
-    And where each text begins among them, with the end last."""
-    pad = b"\0" * (order - 1)
-    data = np.frombuffer(pad.join([b"", *texts]), np.uint8) if order > 1 else np.frombuffer(b"".join(texts), np.uint8)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(lengths + order - 1) - lengths
+def grams(pieces: list[tuple[bytes, bytes]], models: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of every piece, its model << 40 | the ``order`` bytes that end there; a piece is its bytes and the
+    order - 1 ones before them.  And where each piece begins among them, with the end last."""
+    before = order - 1
+    data = np.frombuffer(b"".join([x for lead, body in pieces for x in (lead, body)]), np.uint8)
+    lengths = np.fromiter((len(body) for _, body in pieces), np.int64, len(pieces))
+    ends = np.cumsum(lengths + before)
     key = np.zeros(len(data), U64)
     for k in range(order):
         key[k:] |= data[: len(data) - k].astype(U64) << U64(8 * k)
     own = np.ones(len(data), bool)
-    for k in range(order - 1):
-        own[starts - 1 - k] = False
-    key = key[own] | np.repeat(langs.astype(U64) << U64(40), lengths)
+    for k in range(before):
+        own[ends - lengths - before + k] = False
+    key = key[own] | np.repeat(models.astype(U64) << U64(40), lengths)
     return key, np.concatenate([[0], np.cumsum(lengths)])
 
 
+def pieces_of(texts: list[bytes], order: int) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
+    """Texts in groups of about CHUNK_BYTES bytes, as (their numbers, pieces); a longer text is in several pieces, each with
+    the bytes before it, and zeros stand before a text."""
+    numbers, pieces, size = [], [], 0
+    zeros = bytes(order - 1)
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), CHUNK_BYTES):
+            body = text[at : at + CHUNK_BYTES] if len(text) > CHUNK_BYTES else text
+            if size and size + len(body) > CHUNK_BYTES:
+                yield numbers, pieces
+                numbers, pieces, size = [], [], 0
+            numbers.append(i)
+            pieces.append(((zeros + text[max(0, at - order + 1) : at])[len(text[max(0, at - order + 1) : at]) :], body))
+            size += len(body) + order
+    if numbers:
+        yield numbers, pieces
+
+
+def _models(batch: pa.RecordBatch, texts: list[bytes], codes: dict[str | None, int], other: bool) -> np.ndarray:
+    """Of each text the model that counts it, or the other one of its language, which scores it."""
+    langs = batch.column("lang").to_pylist()
+    for x in set(langs) - codes.keys():
+        codes[x] = language_code(x)
+    return np.array([codes[x] | half(t) ^ other for x, t in zip(langs, texts, strict=True)], np.int64)
+
+
 def _part_of(keys: np.ndarray, n: int) -> np.ndarray:
     return bucket_of(keys & LANG | keys >> U64(8) & U64(0xFFFF), n)
 
@@ -84,16 +120,16 @@ def _count(batches: Iterable[pa.RecordBatch], order: int, n: int) -> Iterator[pa
     size, codes = 0, {}
     for batch in batches:
         texts = as_bytes(batch.column("text"))
-        langs = np.array([codes[x] if x in codes else codes.setdefault(x, language_code(x)) for x in batch.column("lang").to_pylist()], np.int64)
-        for a, b in chunks(texts):
-            keys = np.sort(grams(texts[a:b], langs[a:b], order)[0])
+        models = _models(batch, texts, codes, False)
+        for numbers, pieces in pieces_of(texts, order):
+            keys = np.sort(grams(pieces, models[numbers], order)[0])
             at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
             held.append((keys[at], np.diff(np.r_[at, len(keys)])))
             size += len(at)
-            if size > 1 << 21:
+            if size > 1 << 20:
                 held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
                 size = len(held[0][0])
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield from scatter(np.stack([held[0][0], held[0][1].astype(U64)], 1), _part_of(held[0][0], n))
                     held, size = [], 0
     if held:
@@ -137,34 +173,24 @@ def _add(batches: Iterable[pa.RecordBatch], order: int, n: int) -> Iterator[pa.R
 
 
 class Table:
-    """Values by 64-bit key: hashes in order, with a directory over their leading bits."""
+    """Values by 64-bit key, in the order of the keys' hashes."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, hashed: bool = False):
-        h = keys if hashed else mix(keys)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.values = h[order], values[order]
-        self.bits = max(1, int(np.ceil(np.log2(max(2, len(keys))))))
-        self.directory = np.searchsorted(self.hashes, np.arange(1 << self.bits, dtype=U64) << U64(64 - self.bits)).astype(np.int32)
+        if not hashed:
+            keys = mix(keys)
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], values[order]
+        self.hashes, self.values = keys, values
 
     def find(self, keys: np.ndarray, missing: int) -> tuple[np.ndarray, np.ndarray]:
         """(values, whether found)."""
-        out = np.full(len(keys), missing, self.values.dtype)
-        found = np.zeros(len(keys), bool)
         if not len(self.hashes):
-            return out, found
+            return np.full(len(keys), missing, self.values.dtype), np.zeros(len(keys), bool)
         h = mix(keys)
-        at = self.directory[(h >> U64(64 - self.bits)).astype(np.int64)].astype(np.int64)
-        left = np.arange(len(keys))
-        while len(left):
-            inside = at[left] < len(self.hashes)
-            left = left[inside]
-            there, sought = self.hashes[at[left]], h[left]
-            hit = there == sought
-            out[left[hit]] = self.values[at[left[hit]]]
-            found[left[hit]] = True
-            left = left[there < sought]
-            at[left] += 1
-        return out, found
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        found = self.hashes[at] == h
+        return np.where(found, self.values[at], self.values.dtype.type(missing)), found
 
 
 def _discounts(n: list[float]) -> np.ndarray:
@@ -227,20 +253,29 @@ class KneserNey:
         #: grams of the highest order and their probabilities, for a model to be built upon this one
         self.top = (lower_keys, lower)
 
+    def tables(self) -> list[Table]:
+        return [t for by in (self.probability, self.backoff) for _, t in sorted(by.items())]
+
     def packed(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, **{f"{name}{n}{x}": getattr(t, x) for name in ("probability", "backoff") for n, t in getattr(self, name).items() for x in ("hashes", "values")})
-        return out.getvalue()
+        """The tables, each as its length, hashes and values."""
+        return b"".join(x for t in self.tables() for x in (len(t.hashes).to_bytes(8, "little"), t.hashes.tobytes(), t.values.tobytes()))
 
     @classmethod
-    def unpacked(cls, parts: list[bytes], order: int, low: KneserNey) -> KneserNey:
-        """One model of some parts."""
+    def unpacked(cls, data: bytes, order: int, low: KneserNey) -> KneserNey:
+        """The part that packed() gave, upon low."""
         self = cls.__new__(cls)
         self.order, self.low, self.first = order, low, LOW + 1
-        files = [np.load(io.BytesIO(x)) for x in parts]
-        for name, back in (("probability", 0), ("backoff", 1)):
-            tables = {n - back: [np.concatenate([f[f"{name}{n - back}{x}"] for f in files]) for x in ("hashes", "values")] for n in range(self.first, order + 1)}
-            setattr(self, name, {n: Table(h, v, True) for n, (h, v) in tables.items()})
+        at = 0
+
+        def table() -> Table:
+            nonlocal at
+            n = int.from_bytes(data[at : at + 8], "little")
+            hashes, values = np.frombuffer(data, U64, n, at + 8), np.frombuffer(data, np.int32, n, at + 8 + 8 * n)
+            at += 8 + 12 * n
+            return Table(hashes, values, True)
+
+        self.probability = {n: table() for n in range(self.first, order + 1)}
+        self.backoff = {n - 1: table() for n in range(self.first, order + 1)}
         return self
 
     def units(self, keys: np.ndarray) -> np.ndarray:
@@ -259,54 +294,46 @@ class KneserNey:
         return out
 
 
+#: The parts that this worker keeps, of one model at a time.
+_kept: dict[str, dict[int, KneserNey]] = {}
+
+
 class Parts:
     """A model in the shared folder: low, and a file for each part with longer grams."""
 
-    def __init__(self, folder: str, order: int, low: KneserNey, n: int, entries: dict[int, int]):
+    def __init__(self, folder: str, order: int, low: KneserNey, n: int, entries: dict[int, int], held: int = HELD):
         self.folder, self.order, self.low, self.n = folder, order, low, n
-        self.groups: list[list[int]] = []
-        self.group_of = np.full(n, -1, np.int32)
-        self.held: set[int] = set()
-        self.models: dict[int, KneserNey] = {}
-        size = held = 0
-        for part, count in sorted(entries.items()):
-            if not self.groups or size + count > GROUP:
-                self.groups.append([])
-                size = 0
-            size, held = size + count, held + count
-            self.groups[-1].append(part)
-            self.group_of[part] = len(self.groups) - 1
-            if held <= HELD or len(self.groups) == 1:
-                self.held.add(len(self.groups) - 1)
-            else:
-                self.held.discard(len(self.groups) - 1)
-
-    def model(self, g: int) -> KneserNey:
-        if g in self.models:
-            return self.models[g]
+        self.parts = sorted(entries)
+        sizes = np.cumsum([entries[p] for p in self.parts])
+        self.held = {p for p, size in zip(self.parts, sizes.tolist(), strict=True) if size <= held}
+
+    def model(self, part: int) -> KneserNey:
+        if self.folder not in _kept:
+            _kept.clear()
+        kept = _kept.setdefault(self.folder, {})
+        if part in kept:
+            return kept[part]
         fs, base = pafs.FileSystem.from_uri(self.folder)
-        parts = []
-        for part in self.groups[g]:
-            with fs.open_input_stream(f"{base}/{part}", compression=None) as stream:
-                parts.append(stream.read())
-        out = KneserNey.unpacked(parts, self.order, self.low)
-        if g in self.held:
-            self.models[g] = out
+        with fs.open_input_stream(f"{base}/{part}", compression=None) as stream:
+            out = KneserNey.unpacked(stream.read(), self.order, self.low)
+        if part in self.held:
+            kept[part] = out
         return out
 
     def units(self, keys: np.ndarray) -> np.ndarray:
-        if not self.groups or not len(keys):
+        """Log probability of each of some distinct grams, in UNITs."""
+        if not self.parts or not len(keys):
             return self.low.units(keys)
-        if len(self.groups) == 1:
-            return self.model(0).units(keys)
-        group = self.group_of[_part_of(keys, self.n)]
-        order = np.argsort(group, kind="stable")
-        at = np.searchsorted(group[order], np.arange(len(self.groups) + 1))
+        own = _part_of(keys, self.n)
+        order = np.argsort(own, kind="stable")
+        at = np.searchsorted(own[order], np.arange(self.n + 1))
         out = np.zeros(len(keys), np.int64)
-        for g in range(len(self.groups)):
-            own = order[at[g] : at[g + 1]]
-            if len(own):
-                out[own] = self.model(g).units(keys[own])
+        known = set(self.parts)
+        for part in range(self.n):
+            some = order[at[part] : at[part + 1]]
+            if len(some):
+                # a part without a file has no longer gram
+                out[some] = (self.model(part) if part in known else self.low).units(keys[some])
         return out
 
 
@@ -323,7 +350,7 @@ def _build(batches: Iterable[pa.RecordBatch], folder: str, order: int, low: Knes
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
 
 
-def model(docs: DataFrame, order: int = ORDER) -> Parts:
+def model(docs: DataFrame, order: int = ORDER, held: int = HELD) -> Parts:
     """The model of all texts of docs(lang, text)."""
     spark = docs.sparkSession
     n = partitions(spark)
@@ -347,7 +374,7 @@ def model(docs: DataFrame, order: int = ORDER) -> Parts:
         if len(built) != len(entries):
             raise RuntimeError(f"{len(built)} of {len(entries)} parts of the model were built")
     low.top = None
-    return Parts(folder, order, low, n, entries)
+    return Parts(folder, order, low, n, entries, held)
 
 
 # -- the rules ------------------------------------------------------------------------------------------------------
@@ -384,30 +411,49 @@ def _again(text: bytes) -> int:
 _SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, units long"
 
 
+def _units(texts: list[bytes], models: np.ndarray, kn: Parts) -> np.ndarray:
+    """Log probability of every text, in UNITs: distinct grams are looked up once for ROUND bytes of text."""
+    out = np.zeros(len(texts), np.int64)
+    waiting: list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def look_up() -> None:
+        every = np.unique(np.concatenate([x[1] for x in waiting]))
+        units = kn.units(every)
+        for numbers, distinct, of, at in waiting:
+            sums = np.concatenate([[0], np.cumsum(units[np.searchsorted(every, distinct)][of])])
+            np.add.at(out, numbers, sums[at[1:]] - sums[at[:-1]])
+        waiting.clear()
+
+    for numbers, pieces in pieces_of(texts, kn.order):
+        keys, at = grams(pieces, models[numbers], kn.order)
+        distinct, of = np.unique(keys, return_inverse=True)
+        waiting.append((numbers, distinct, of.astype(np.int32), at))
+        size += len(keys)
+        if size >= ROUND:
+            look_up()
+            size = 0
+    if waiting:
+        look_up()
+    return out
+
+
 def _score(batches: Iterable[pa.RecordBatch], kn: Parts) -> Iterator[pa.RecordBatch]:
     codes: dict[str | None, int] = {}
     names = [x.split()[0] for x in _SCORED.split(", ")]
     for batch in batches:
         texts = as_bytes(batch.column("text"))
-        langs = np.array([codes[x] if x in codes else codes.setdefault(x, language_code(x)) for x in batch.column("lang").to_pylist()], np.int64)
         out = np.zeros((6, len(texts)), np.int64)
         for a, b in chunks(texts):
             words = Words(texts[a:b])
             windows = words.windows(3)
-            data = words.data
-            lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            chars = np.concatenate([[0], np.cumsum(lead[words.ends] - lead[words.starts])])
-            symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
-            ends = words.begins + [len(t) for t in texts[a:b]]
             out[0, a:b] = words.counts
-            out[1, a:b] = chars[words.first[1:]] - chars[words.first[:-1]]
-            out[2, a:b] = symbols[ends] - symbols[words.begins]
+            # leading bytes of characters in words, and symbols; what parts texts is neither
+            out[1, a:b] = words.sums(((words.data & 0xC0) != 0x80) & ~words.space())
+            out[2, a:b] = words.sums(_SYMBOL[words.data])
             out[3, a:b] = [_again(t) for t in texts[a:b]]
             out[4, a:b] = [_repeated(words, windows, i) for i in range(b - a)]
-        for a, b in chunks(texts, ROUND) if len(kn.groups) > 1 else chunks(texts):
-            keys, at = grams(texts[a:b], langs[a:b], kn.order)
-            units = np.concatenate([[0], np.cumsum(kn.units(keys))])
-            out[5, a:b] = units[at[1:]] - units[at[:-1]]
+        out[5] = _units(texts, _models(batch, texts, codes, True), kn)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(x) for x in out)], names=names)
 
 

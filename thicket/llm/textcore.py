@@ -21,7 +21,9 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Powers of the base, and of its inverse, up to this many bytes; longer texts are hashed in blocks of it.
+_BLOCK = 1 << 18
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,14 +37,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, U64)
+def _power_tables() -> list[np.ndarray]:
+    if not _powers:
+        for base in (_BASE, _INVERSE):
+            steps = np.full(_BLOCK, base, U64)
             steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            _powers.append(np.multiply.accumulate(steps))
+    return _powers
 
 
 class Words:
@@ -65,11 +66,36 @@ class Words:
         self.hashes = self._hash() if hashes else None
 
     def _hash(self) -> np.ndarray:
-        up, down = _power_tables(len(self.data))
-        sums = np.empty(len(self.data) + 1, U64)
-        sums[0] = 0
-        np.cumsum(_BYTE[self.data] * up, out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64))
+        """Sums over words of byte * base ** place, block by block; places count from the words' starts."""
+        up, down = _power_tables()
+        low, high = np.empty(len(self.starts), U64), np.empty(len(self.starts), U64)
+        before = U64(0)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(self.data), _BLOCK):
+                block = self.data[at : at + _BLOCK]
+                scale = U64(pow(_BASE, at, 1 << 64))
+                sums = np.empty(len(block) + 1, U64)
+                sums[0] = before
+                np.cumsum(_BYTE[block] * up[: len(block)], out=sums[1:])
+                sums[1:] *= scale
+                sums[1:] += before
+                for places, out in ((self.starts, low), (self.ends, high)):
+                    a, b = np.searchsorted(places, (at, at + _BLOCK))
+                    out[a:b] = sums[places[a:b] - at]
+                before = sums[-1]
+            # the data end with a separator, so that no word ends at their very end
+            back = np.empty(len(self.starts), U64)
+            for at in range(0, len(self.data), _BLOCK):
+                a, b = np.searchsorted(self.starts, (at, at + _BLOCK))
+                back[a:b] = down[self.starts[a:b] - at] * U64(pow(_INVERSE, at, 1 << 64))
+            return mix((high - low) * back + (self.ends - self.starts).astype(U64))
+
+    def space(self) -> np.ndarray:
+        return _SPACE[self.data]
+
+    def sums(self, of: np.ndarray) -> np.ndarray:
+        """Of each text, how many of its bytes are marked; what parts texts must not be."""
+        return np.add.reduceat(of, self.begins, dtype=np.int64) if len(self.texts) else np.zeros(0, np.int64)
 
     def of(self, values: np.ndarray, i: int) -> np.ndarray:
         return values[self.first[i] : self.first[i + 1]]
