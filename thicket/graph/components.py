@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each round rewires edges towards the least neighbour, keeps connectivity and ends in stars around the least id of each
-component after O(log^2 n) rounds, usually three to five.  Rounds use one join on the pre-aggregated least neighbour, so
-a hub's edges are never collected into one row or group.
+component after O(log^2 n) rounds, usually three to five.  Rounds join the pre-aggregated least neighbours; a hub's
+edges are dealt to many tasks and never collected into one row or group.
 """
 
 from __future__ import annotations
@@ -10,21 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranked import keyed_join
 from ..storage import stored
 
 MAX_ROUNDS = 64
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, m: int) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
-    return both.filter("dst > src").join(least, "src").select(F.col("low").alias("src"), "dst").filter("src <> dst")
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count("*").alias("count"))
+    return keyed_join(both.filter("dst > src"), least, "src", 2 * m, ["dst"]).select(F.col("low").alias("src"), "dst").filter("src <> dst")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, m: int) -> DataFrame:
     """edges have src < dst; each dst moves its smaller neighbours to the least of them."""
-    least = edges.groupBy("dst").agg(F.min("src").alias("low"))
-    moved = edges.join(least, "dst").select(F.col("low").alias("src"), F.col("src").alias("dst")).filter("src <> dst")
+    least = edges.groupBy("dst").agg(F.min("src").alias("low"), F.count("*").alias("count"))
+    moved = keyed_join(edges, least, "dst", m, ["src"]).select(F.col("low").alias("src"), F.col("src").alias("dst")).filter("src <> dst")
     return moved.unionByName(least.select(F.col("low").alias("src"), "dst")).distinct()
 
 
@@ -53,7 +54,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
         if sign == before or not sign[0]:
             break
         before = sign
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = stored(_small_star(_large_star(now, sign[0]), sign[0]), "edges")
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     stars = now.select(F.col("dst").alias("id"), F.col("src").alias("component"))

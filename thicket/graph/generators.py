@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ordered import numbered, running_total
+from ..functions.ranked import first_k
 from ..functions.rng import hash_integer, hash_uniform
 from ..operators.edges import canonical
 from ..sources.fixtures import edges_of
-from ..storage import stored
+from ..storage import once, stored
 
 
 def community_sizes(n: int, least: int, most: int, exponent: float, seed: int) -> list[int]:
@@ -132,13 +133,15 @@ def rewired_to_hubs(edges: DataFrame, labels: DataFrame, strength: float, share:
 
 def noise_edges(edges: DataFrame, nodes: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     """floor(m * ratio) edges between random nodes that are not in the graph; up to 20 candidates are drawn for each."""
+    edges = once(edges.select("src", "dst"), "edges")
     ids = stored(numbered(nodes.select("id").distinct(), ["id"], "at"), "ids")
     n, wanted = ids.count(), int(edges.count() * ratio)
     pick = lambda k: F.pmod(hash_integer(seed + k, "id"), F.lit(max(n, 1)))
     drawn = edges.sparkSession.range(20 * wanted).select(F.col("id").alias("draw"), pick(0).alias("a"), pick(1).alias("b"))
     ends = drawn.join(ids.select(F.col("at").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("at").alias("b"), F.col("id").alias("v")), "b")
     pairs = ends.filter("u <> v").groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.min("draw").alias("draw"))
-    return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").orderBy("draw").limit(wanted).select("src", "dst")
+    new = stored(pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"), "new")
+    return first_k(new, ["draw"], wanted).select("src", "dst")
 
 
 def with_noise(edges: DataFrame, noise: DataFrame) -> DataFrame:

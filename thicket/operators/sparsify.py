@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running_total
+from ..functions.ranked import first_k
 from ..functions.rng import hash_integer, hash_uniform
-from ..storage import stored
+from ..storage import once, stored
 from .degrees import graph_size, scored
 
 SCALE = 1_000_000_000
@@ -34,6 +35,7 @@ def _bernoulli(edges: DataFrame, p: Column, seed: int) -> DataFrame:
 def bernoulli(edges: DataFrame, alpha: float, seed: int = 42) -> DataFrame:
     """Each edge by itself with probability min(1, score / sum * ceil(alpha m)); clipping makes the expected count at most
     the budget."""
+    edges = once(edges.select("src", "dst"), "edges")
     n, m = graph_size(edges)
     q = budget(alpha, m)
     return _edge_columns(_bernoulli(scored(edges), F.col("score") / float(max(n, 1)) * float(q), seed))
@@ -41,6 +43,7 @@ def bernoulli(edges: DataFrame, alpha: float, seed: int = 42) -> DataFrame:
 
 def bernoulli_by_mean(edges: DataFrame, alpha: float, seed: int = 42) -> DataFrame:
     """Each edge with probability min(1, alpha * score / mean)."""
+    edges = once(edges.select("src", "dst"), "edges")
     n, m = graph_size(edges)
     budget(alpha, m)
     return _edge_columns(_bernoulli(scored(edges), F.lit(float(alpha)) * F.col("score") / (float(n) / max(m, 1)), seed))
@@ -50,33 +53,32 @@ def degree_sum(edges: DataFrame, alpha: float, seed: int = 42) -> DataFrame:
     """Each edge with probability min(1, (d_src + d_dst) / sum * ceil(alpha m)): hubs are favoured."""
     from .degrees import degrees
 
+    edges = once(edges.select("src", "dst"), "edges")
     total = degrees(edges).agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 1
     _, m = graph_size(edges)
     q = budget(alpha, m)
     return _edge_columns(_bernoulli(scored(edges), F.col("d_sum") / float(total) * float(q), seed))
 
 
-def _first(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """The first k rows.  Spark keeps k rows a task where k is small, else it sorts in ranges and takes whole partitions."""
-    return df.orderBy(*order).limit(k)
-
-
 def top_k(edges: DataFrame, alpha: float) -> DataFrame:
     """The ceil(alpha m) edges of the highest scores; of equal scores the least (src, dst)."""
+    edges = once(edges.select("src", "dst"), "edges")
     _, m = graph_size(edges)
     q = budget(alpha, m)
-    return _edge_columns(_first(scored(edges), [F.desc("score"), F.asc("src"), F.asc("dst")], q))
+    ordered = stored(scored(edges).select("src", "dst", (-F.col("score")).alias("minus")), "ordered")
+    return _edge_columns(first_k(ordered, ["minus", "src", "dst"], q))
 
 
 def uniform(edges: DataFrame, alpha: float, seed: int = 42) -> DataFrame:
     """Exactly ceil(alpha m) edges, each set as likely."""
-    m = edges.count()
-    return uniform_count(edges, budget(alpha, m), seed)
+    edges = once(edges.select("src", "dst"), "edges")
+    return uniform_count(edges, budget(alpha, edges.count()), seed)
 
 
 def uniform_count(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Exactly k edges, or all."""
-    return _edge_columns(_first(edges, [hash_integer(seed, "src", "dst").asc(), F.asc("src"), F.asc("dst")], k))
+    ordered = stored(edges.select("src", "dst", hash_integer(seed, "src", "dst").alias("h")), "ordered")
+    return _edge_columns(first_k(ordered, ["h", "src", "dst"], k))
 
 
 def with_replacement(edges: DataFrame, alpha: float, seed: int = 42) -> DataFrame:
@@ -85,6 +87,7 @@ def with_replacement(edges: DataFrame, alpha: float, seed: int = 42) -> DataFram
     Scores become whole numbers, so that their running total in the order of (src, dst) is exact.  A draw is a hash of its
     number; draws meet intervals of the running total through equal slices of it, not by comparing all with all.
     """
+    edges = once(edges.select("src", "dst"), "edges")
     n, m = graph_size(edges)
     q = budget(alpha, m)
     whole = scored(edges).select("src", "dst", "score", F.floor(F.col("score") * SCALE).alias("w"))
@@ -100,20 +103,32 @@ def with_replacement(edges: DataFrame, alpha: float, seed: int = 42) -> DataFram
 
 METHODS: dict[str, Callable[..., DataFrame]] = {"paper": with_replacement, "probabilistic_no_replace": bernoulli, "deterministic": lambda edges, alpha, seed=42: top_k(edges, alpha), "uniform_random": uniform, "degree_sampling": degree_sum, "bernoulli_by_mean": bernoulli_by_mean}
 
-#: Resparsification strength that stands for a retention in the spectral method; 1 keeps the graph.
+# The strength of resparsification that stands for a retention in the spectral method; 1 keeps the graph.
 EPSILON = {0.2: 3.0, 0.4: 1.5, 0.6: 0.8, 0.8: 0.3, 1.0: 0.0}
 
 
-def sparsify(edges: DataFrame, method: str, alpha: float, seed: int = 42) -> DataFrame:
-    """By a method's name; alpha 1 gives the graph itself but for sampling with replacement.  ValueError for other names."""
-    if method == "spectral":
-        from ..graph.resistance import spectral
+def epsilon_of(alpha: float) -> float:
+    """EPSILON between its entries by a straight line; ValueError unless 0 < alpha <= 1."""
+    budget(alpha, 1)
+    known = sorted(EPSILON)
+    low = max([a for a in known if a <= alpha], default=known[0])
+    high = min([a for a in known if a >= alpha], default=known[-1])
+    share = (alpha - low) / (high - low) if high > low else 0.0
+    return EPSILON[low] + share * (EPSILON[high] - EPSILON[low])
 
-        return edges.select("src", "dst", F.lit(1.0).alias("weight")) if alpha == 1 else spectral(edges, EPSILON[round(alpha, 1)], seed)
-    if method not in METHODS:
+
+def sparsify(edges: DataFrame, method: str, alpha: float, seed: int = 42) -> DataFrame:
+    """By a method's name; alpha 1 gives the graph itself but for sampling with replacement.  ValueError for other names and
+    retentions outside (0, 1]."""
+    if method != "spectral" and method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
+    budget(alpha, 1)
     if alpha == 1 and method != "paper":
         return edges.select("src", "dst", F.lit(1.0).alias("weight"))
+    if method == "spectral":
+        from ..graph.resistance import spectral
+
+        return spectral(edges, epsilon_of(alpha), seed)
     return METHODS[method](edges, alpha, seed)
 
 

@@ -26,6 +26,12 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, name: str = "t") -> DataFrame:
+    """df, stored if it would be computed anew wherever it is read: if its plan joins, groups, sorts or explodes."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return stored(df, name) if any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Generate", "Map", "Distinct")) else df
+
+
 def clear_stored(spark: SparkSession) -> None:
     """Deletes every folder that this process has made; call it when no result that reads them is needed any more."""
     while _made:
