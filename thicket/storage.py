@@ -11,13 +11,25 @@ _made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir).  Only where that is unset, as in
-    tests, it lies below the warehouse folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_thicket_shared"
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir).  Where that is unset it lies below the
+    warehouse folder on a single machine, as in tests; elsewhere RuntimeError, since executors may not share that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_thicket_shared"
     _made.append(f"{base.rstrip('/')}/thicket-{uuid.uuid4().hex}")
     return _made[-1]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI of its file system; it is made where it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().toString()
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """The rows of df, written to the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
