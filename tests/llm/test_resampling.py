@@ -39,13 +39,33 @@ def test_odd_rows(spark):
     assert resampling.resampled(frame(spark, []), some).collect() == []
 
 
-def test_kth_largest(spark):
-    rng = np.random.default_rng(1)
-    values = np.round(rng.normal(size=300), 2)
-    df = spark.createDataFrame([(float(v),) for v in values], "key double")
-    for k in (1, 2, 57, 300):
-        assert resampling.kth_largest(df, k, bins=7) == sorted(values)[-k]
-    assert resampling.kth_largest(df, 0) is None and resampling.kth_largest(df.limit(0), 3) is None
+def test_as_plain(spark):
+    """Weights by dictionaries of n-grams, and the documents kept as the k largest keys of a sorted list."""
+    rng = random.Random(4)
+    rows = [(i, None if i % 17 == 0 else " ".join(rng.choice("abcdefghij") * (1 + (i % 3 == 0)) for _ in range(rng.randint(0, 40))), None, None, None) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i == 6)) for i in range(0, 100)], LABELS)
+    from pyspark.sql import functions as F
+
+    fit = {r.doc_id: r.fit for r in spark.range(150).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2)) == 0).alias("fit")).collect()}
+    bins = lambda gram: int(resampling.Words([" ".join(gram).encode()]).hashes[0] >> np.uint64(64 - resampling.BITS)) if len(gram) == 1 else int(resampling.Words([" ".join(gram).encode()]).windows(2)[0] >> np.uint64(64 - resampling.BITS))
+    grams = {}
+    for i, t, *_ in rows:
+        w = (t or "").lower().split()
+        grams[i] = [bins(g) for g in [(x,) for x in w] + list(zip(w, w[1:]))]
+    raw, target = {}, {}
+    for i, own in grams.items():
+        for b in own:
+            raw[b] = raw.get(b, 0) + 1
+            if i < 100 and i % 3 == 0 and i != 6 and fit[i]:
+                target[b] = target.get(b, 0) + 1
+    share, s = sum(target.values()) / sum(raw.values()), resampling.SMOOTHING
+    weight = {i: resampling.LENGTH * sum(np.log((target.get(b, 0) + s) / (raw[b] * share + s)) for b in own) / max(1, len(own)) for i, own in grams.items()}
+    got = {r.doc_id: r for r in resampling.resampled(frame(spark, rows), labels).collect()}
+    assert all(abs(got[i].log_weight - weight[i]) < 1e-5 and got[i].n_grams == len(grams[i]) for i in grams)
+    held = [i for i in range(100) if not fit[i] and i != 6]
+    cut = resampling.threshold(np.array([weight[i] for i in held]), np.array([i % 3 == 0 for i in held]))
+    k = sum(w >= cut for w in weight.values())
+    assert {i for i in got if got[i].kept} == set(sorted(got, key=lambda i: -got[i].key)[:k]) and 0 < k < 150
 
 
 def test_threshold():

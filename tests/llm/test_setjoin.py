@@ -39,8 +39,8 @@ def brute(rows):
     return sorted(((rows[i][0], len(sets[i]), min(ids[find(i)]) if find(i) in ids else None) for i in range(len(rows))), key=str)
 
 
-def joined(df):
-    return sorted((tuple(r) for r in setjoin.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+def joined(df, **how):
+    return sorted((tuple(r) for r in setjoin.jaccard_components(df, **how).select("doc_id", "n_shingles", "component_id").collect()), key=str)
 
 
 def test_small_corpus(spark):
@@ -48,8 +48,8 @@ def test_small_corpus(spark):
     assert joined(frame(spark, rows)) == brute(rows)
 
 
-@pytest.mark.parametrize("cell,pivots,hot", [(4, 1, 3), (64, 16, 2)])
-def test_hard_families(spark, monkeypatch, cell, pivots, hot):
+@pytest.mark.parametrize("cell,pivots,hot", [(4, 1, 3), (64, 16, 2), (1, 2, 1000)])
+def test_hard_families(spark, cell, pivots, hot):
     """Many near copies around the threshold, with cells, pivots and hot tokens set small: no link may be lost."""
     rng = random.Random(7)
     rows = []
@@ -60,10 +60,17 @@ def test_hard_families(spark, monkeypatch, cell, pivots, hot):
             for _ in range(rng.choice((0, 1, 1, 2, 2, 3))):
                 t[rng.randrange(50)] = f"x{rng.randrange(6)}"
             rows.append((len(rows), " ".join(t), None, None, None))
-    monkeypatch.setattr(setjoin, "CELL", cell)
-    monkeypatch.setattr(setjoin, "PIVOTS", pivots)
-    monkeypatch.setattr(setjoin, "HOT", hot)
-    assert joined(frame(spark, rows)) == brute(rows)
+    assert joined(frame(spark, rows), cell=cell, pivots=pivots, hot=hot) == brute(rows)
+
+
+def test_buckets(spark, monkeypatch):
+    """Buckets grow with the input beyond the shuffle partitions."""
+    from thicket.llm import exchange
+
+    known, n = spark.range(1 << 20), exchange.partitions(spark)
+    assert exchange.buckets_for(known) == n and exchange.buckets_for(frame(spark)) == n * exchange.UNKNOWN
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 1 << 20)
+    assert exchange.buckets_for(known) == 3 * n
 
 
 def test_empty(spark):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stored
-from .exchange import PACKED, bucket_of, gather, partitions, scatter, shuffled
+from .exchange import PACKED, bucket_of, buckets_for, gathers, scatter, shuffled
 from .textcore import CHUNK_BYTES, U64, Words, as_bytes, chunks, mix
 
 #: Bytes of an n-gram.
@@ -151,13 +151,10 @@ _ADDED = "part int, keys binary, counts binary, entries long, low_keys binary, l
 
 def _add(batches: Iterable[pa.RecordBatch], order: int, n: int) -> Iterator[pa.RecordBatch]:
     """A part's grams, its short ones, and (language, order, how many counts are 1, 2, 3, 4) of its long ones."""
-    got = gather(batches, 2)
-    if not len(got):
-        return
-    keys, counts = _summed(got[:, 0], got[:, 1])
-    parts = _part_of(keys, n)
-    for part in np.unique(parts).tolist():
-        k, c = keys[parts == part], counts[parts == part]
+    for got in gathers(batches, 2):
+        k, c = _summed(got[:, 0], got[:, 1])
+        # a part is a bucket
+        part = int(_part_of(k[:1], n)[0])
         levels = _levels(k, c, order, min(order, LOW))
         low = levels[min(order, LOW)]
         rows = []
@@ -353,9 +350,9 @@ def _build(batches: Iterable[pa.RecordBatch], folder: str, order: int, low: Knes
 def model(docs: DataFrame, order: int = ORDER, held: int = HELD) -> Parts:
     """The model of all texts of docs(lang, text)."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = buckets_for(docs)
     packed = docs.select("lang", "text").mapInArrow(partial(_count, order=order, n=n), PACKED)
-    counted = stored(shuffled(packed, n).mapInArrow(partial(_add, order=order, n=n), _ADDED), "grams")
+    counted = stored(shuffled(packed).mapInArrow(partial(_add, order=order, n=n), _ADDED), "grams")
     rows = counted.select("part", "entries", "low_keys", "low_counts", "counted").collect()
     keys, counts = (np.concatenate([np.zeros(0, t), *(np.frombuffer(r[x], t) for r in rows)]) for x, t in (("low_keys", U64), ("low_counts", np.int64)))
     low = KneserNey(*_summed(keys, counts), min(order, LOW))

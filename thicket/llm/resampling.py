@@ -4,7 +4,7 @@ Hashed unigrams and bigrams of lower-cased words are counted over all documents
 of labelled good documents (the target model).  A document's log weight is the log ratio of the two models, averaged over
 its n-grams and scaled to a text of ``LENGTH`` n-grams, so that long texts don't outweigh short ones.  Documents are drawn
 without replacement with these weights by Gumbel top-k: log weight plus seeded Gumbel noise, the k largest stay.  k is the
-number of documents whose weight reaches the threshold that best parts good from bad in the labelled sample.
+number of documents whose weight reaches the threshold that best parts good from bad in the labelled sample; the target model counts one half of the sample's good documents and the threshold is chosen on the other.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranked import kth
 from ..storage import stored
-from .exchange import PACKED, gather, partitions, scatter, shuffled
+from .exchange import PACKED, gathers, scatter, shuffled
 from .textcore import U64, Words, word_chunks
 
 #: Hashed n-grams: both models are arrays of this many bins.
 BITS = 18
+#: Bins are summed in so many buckets.
+BUCKETS = 64
 #: Labelled rows that the target model and the threshold are fitted on, at most; the sample is by hash of the id.
 LABELLED = 20_000
 #: Counts added to a bin's observed and expected target counts, which shrinks rare bins' ratios to 1.
@@ -43,7 +46,7 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def _count(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records (bin, raw count, target count) of a task's documents."""
     size = 1 << BITS
     raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -57,18 +60,15 @@ def _count(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
                 x = x[of]
                 target += np.bincount(x[x >= 0], minlength=size)
     used = np.flatnonzero(raw)
-    # two 32-bit counts share a word; a task that could overflow them would have read 16 GB of text
-    records = np.stack([used.astype(U64), raw[used].astype(U64) << U64(32) | target[used].astype(U64)], 1)
-    yield from scatter(records, used % n)
+    yield from scatter(np.stack([used, raw[used], target[used]], 1).astype(U64), used % BUCKETS)
 
 
 def _add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = gather(batches, 2)
-    bins, at = np.unique(got[:, 0].astype(np.int64), return_inverse=True)
-    raw, target = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64)
-    np.add.at(raw, at, (got[:, 1] >> U64(32)).astype(np.int64))
-    np.add.at(target, at, (got[:, 1] & U64(0xFFFFFFFF)).astype(np.int64))
-    if len(bins):
+    for got in gathers(batches, 3):
+        bins, at = np.unique(got[:, 0].astype(np.int64), return_inverse=True)
+        raw, target = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64)
+        np.add.at(raw, at, got[:, 1].astype(np.int64))
+        np.add.at(target, at, got[:, 2].astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bins, raw, target)], names=["bins", "raw", "target"])
 
 
@@ -117,57 +117,36 @@ def _gumbel(seed: int):
     return -F.log(-F.log(u))
 
 
-def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float | None:
-    """The k-th largest of keys(key double, without null), by counting within ever smaller ranges; nothing is sorted."""
-    low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    if not n or k <= 0:
-        return None
-    k = min(k, n)
-    while low < high:
-        step = (high - low) / bins
-        if step == 0.0 or low + step == low:
-            break
-        inside = keys.filter((F.col("key") >= low) & (F.col("key") <= high))
-        at = F.least(F.lit(bins - 1), F.floor((F.col("key") - low) / step)).cast("int")
-        counts = inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy(F.desc("at")).collect()
-        for r in counts:
-            if k <= r["n"]:
-                low, high = r["low"], r["high"]
-                break
-            k -= r["n"]
-    return high
-
-
 def resampled(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_grams, log_weight, key, kept.
 
     labels(doc_id, quality, toxic) tell good documents (quality 1, not toxic) from bad (quality 0); rows with null ids or
     quality are not used, and an id with several labels counts by its worst.  Texts without words, or null, have weight 0.
-    Without labels of both kinds every document is kept.  Rows with equal keys share their fate, so repeated rows of one id
+    Half of the ids by hash fit the target model and the other half choose the threshold; without labels of both kinds
+    there every document is kept.  Rows with equal keys share their fate, so repeated rows of one id
     and text stay or go together.  Other columns are not read.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     told = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     told = told.agg((F.min("quality") >= 1).alias("fine"), (F.max(F.coalesce("toxic", F.lit(0))) < 1).alias("clean"))
     # the sample is bounded, so it may go to every executor; it is of ids that are among the documents
     some = told.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(LABELLED)
-    some = stored(some, "labelled")
-    good = some.filter("fine AND clean").select("doc_id", F.lit(True).alias("good"))
+    some = stored(some.withColumn("fit", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)) == 0), "labelled")
+    good = some.filter("fine AND clean AND fit").select("doc_id", F.lit(True).alias("good"))
     marked = rows.join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = shuffled(marked.mapInArrow(partial(_count, n=n), PACKED), n).mapInArrow(_add, "bins binary, raw binary, target binary")
+    counts = shuffled(marked.mapInArrow(_count, PACKED)).mapInArrow(_add, "bins binary, raw binary, target binary")
     raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for r in counts.collect():  # at most 2^BITS bins of 24 bytes
         bins = np.frombuffer(r["bins"], np.int64)
         raw[bins], target[bins] = np.frombuffer(r["raw"], np.int64), np.frombuffer(r["target"], np.int64)
     weighed = rows.mapInArrow(partial(_weigh, ratio=log_ratio(raw, target)), "doc_id long, n_grams long, log_weight double")
     weighed = stored(weighed.withColumn("key", F.col("log_weight") + _gumbel(seed)), "weighed")
-    sample = weighed.join(F.broadcast(some.filter("clean OR NOT fine")), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.first("fine").alias("fine")).collect()  # LABELLED rows at most
+    sample = weighed.join(F.broadcast(some.filter("NOT fit AND (clean OR NOT fine)")), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.first("fine").alias("fine")).collect()  # LABELLED rows at most
     cut = threshold(np.array([r["w"] for r in sample]), np.array([r["fine"] for r in sample], bool))
     k = weighed.filter(F.col("log_weight") >= cut).count()
-    least = kth_largest(weighed.select("key"), k)
-    return weighed.withColumn("kept", F.lit(False) if least is None else F.col("key") >= least)
+    last = kth(weighed.select((-F.col("key")).alias("minus")), ["minus"], k)
+    return weighed.withColumn("kept", F.lit(False) if last is None else F.col("key") >= -last[0])
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:

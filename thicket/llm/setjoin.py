@@ -31,16 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranked import keyed_join
 from ..graph.components import component_labels, near_labels
 from ..storage import stored
-from .exchange import PACKED, bucket_of, gather, partitions, runs, scatter, shuffled, signed
+from .exchange import PACKED, bucket_of, buckets_for, gathers, partitions, returned, runs, scatter, shuffled, signed
 from .textcore import U64, mix, word_chunks
 
 NULL_ID = -(1 << 63)
 #: A token that so many classes of one task hold is sent once for all of them.
 HOT = 64
 #: Pairs of (token, class) that a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Members in a cell of a group, members that a whole group is compared with, and queries that meet a cell at once.
 CELL, PIVOTS, ASKED = 64, 16, 256
 
@@ -67,12 +68,12 @@ def prefix_length(n: int, percent: int) -> int:
 # -- step 1 and 2 ---------------------------------------------------------------------------------------------------
 
 
-def _send(tokens: np.ndarray, classes: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+def _send(tokens: np.ndarray, classes: np.ndarray, n: int, hot_from: int) -> Iterator[pa.RecordBatch]:
     """Records (kind, token, class): kind 1 as it is; kind 2 for a token whose holders are credited here already."""
     order = np.argsort(tokens, kind="stable")
     tokens, classes = tokens[order], classes[order]
     at, ends = runs(tokens)
-    hot = np.flatnonzero(ends - at >= HOT)
+    hot = np.flatnonzero(ends - at >= hot_from)
     single = np.ones(len(tokens), bool)
     sent, credits = [], []
     for k in hot.tolist():
@@ -91,7 +92,7 @@ def _send(tokens: np.ndarray, classes: np.ndarray, n: int) -> Iterator[pa.Record
         yield from scatter(records, bucket_of(pairs[:, 0], n))
 
 
-def _shingle(batches: Iterable[pa.RecordBatch], width: int, percent: int, n: int) -> Iterator[pa.RecordBatch]:
+def _shingle(batches: Iterable[pa.RecordBatch], width: int, percent: int, n: int, hot: int) -> Iterator[pa.RecordBatch]:
     held, owners, size, seen = [], [], 0, set()
     turn = 0
     for batch in batches:
@@ -110,12 +111,13 @@ def _shingle(batches: Iterable[pa.RecordBatch], width: int, percent: int, n: int
                     owners.append(np.full(len(some), cls, U64))
                     size += len(some)
             if size >= HELD:
-                yield from _send(np.concatenate(held), np.concatenate(owners), n)
+                yield from _send(np.concatenate(held), np.concatenate(owners), n, hot)
                 held, owners, size, seen = [], [], 0, set()
         yield from scatter(docs, (np.arange(len(docs)) // 256 + turn) % n)
         turn += len(docs) // 256 + 1
     if size:
-        yield from _send(np.concatenate(held), np.concatenate(owners), n)
+        returned()
+        yield from _send(np.concatenate(held), np.concatenate(owners), n, hot)
 
 
 _FACTS = "kind int, a long, b long, c long"
@@ -127,7 +129,11 @@ def _facts(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordB
 
 def _credit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Facts: (0, doc_id, n, class); (1, class, leader, shared prefix tokens)."""
-    got = gather(batches, 3)
+    for got in gathers(batches, 3):
+        yield from _credited(got)
+
+
+def _credited(got: np.ndarray) -> Iterator[pa.RecordBatch]:
     kind = got[:, 0] & U64(255)
     docs = got[kind == 0]
     if len(docs):
@@ -168,14 +174,14 @@ def _credit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- step 3 ---------------------------------------------------------------------------------------------------------
 
 
-_SETS = "cls long, gid long, n long, tokens binary"
+_SETS = "cls long, gid long, members long, n long, tokens binary"
 
 
 def _tokens(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The token sets of the classes asked for; rows that only share a class's id, or repeat it, are passed over."""
     seen: set[int] = set()
     for batch in batches:
-        cls, gid = batch.column("cls").to_pylist(), batch.column("gid").to_pylist()
+        cls, gid, members = (batch.column(c).to_pylist() for c in ("cls", "gid", "members"))
         for a, b, words in word_chunks(batch, "text", lower=True):
             windows = words.windows(width)
             rows = []
@@ -183,9 +189,10 @@ def _tokens(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 tokens = words.shingles(i - a, windows, width)
                 if cls[i] not in seen and class_of(tokens) == cls[i]:
                     seen.add(cls[i])
-                    rows.append((cls[i], gid[i], len(tokens), tokens.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["cls", "gid", "n", "tokens"])
+                    rows.append((cls[i], gid[i], members[i], len(tokens), tokens.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["cls", "gid", "members", "n", "tokens"])
+    returned()
 
 
 def _overlaps(queries: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
@@ -209,7 +216,7 @@ def _links(overlap: np.ndarray, nq: np.ndarray, nm: np.ndarray, percent: int) ->
     return (overlap > 0) & (100 * overlap >= percent * (nq[:, None] + nm[None, :] - overlap))
 
 
-def _open_cells(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _open_cells(batches: Iterable[pa.RecordBatch], percent: int, size: int) -> Iterator[pa.RecordBatch]:
     """Cells come sorted, each with its queries first.  Yields links (u, v) that span what is linked within a cell."""
     cell, queries, names, clusters, block, parent = None, [], [], [], [], []
 
@@ -263,7 +270,7 @@ def _open_cells(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
                 clusters.append(cluster[i])
             else:
                 block.append((cls[i], cluster[i], tokens))
-                if len(block) >= 2 * CELL:
+                if len(block) >= 2 * size:
                     found += flush()
                     block = []
         if found:
@@ -272,9 +279,10 @@ def _open_cells(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
     found += flush()
     if found:
         yield batch_of(found)
+    returned()
 
 
-def _opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _opened(queries: DataFrame, members: DataFrame, percent: int, size: int) -> DataFrame:
     """Links between queries(gid, cells, parts, cls, cluster, tokens) and members (same columns) of the same group that are
     of different clusters.
 
@@ -291,7 +299,7 @@ def _opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         queries.select("gid", all_of("cells").alias("salt"), one_of("parts").alias("part"), F.lit(True).alias("query"), "cls", "cluster", "tokens")
     )
     rows = rows.repartition(partitions(members.sparkSession), "gid", "salt", "part").sortWithinPartitions("gid", "salt", "part", F.desc("query"), "cls")
-    return rows.mapInArrow(partial(_open_cells, percent=percent), "u long, v long")
+    return rows.mapInArrow(partial(_open_cells, percent=percent, size=size), "u long, v long")
 
 
 # -- steps 4 and 5 --------------------------------------------------------------------------------------------------
@@ -322,19 +330,16 @@ def _unions(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 def _cluster_credit(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Records (cluster, how many of its tokens here other clusters hold too)."""
-    got = gather(batches, 2)
-    if not len(got):
-        return
-    got = got[np.lexsort((got[:, 1], got[:, 0]))]
-    got = got[np.r_[True, (got[1:] != got[:-1]).any(1)]]
-    at, ends = runs(got[:, 0])
-    clusters, count = np.unique(got[np.repeat(ends - at > 1, ends - at), 1], return_counts=True)
-    yield from scatter(np.stack([clusters, count.astype(U64)], 1), bucket_of(clusters, n))
+    for got in gathers(batches, 2):
+        got = got[np.lexsort((got[:, 1], got[:, 0]))]
+        got = got[np.r_[True, (got[1:] != got[:-1]).any(1)]]
+        at, ends = runs(got[:, 0])
+        clusters, count = np.unique(got[np.repeat(ends - at > 1, ends - at), 1], return_counts=True)
+        yield from scatter(np.stack([clusters, count.astype(U64)], 1), bucket_of(clusters, n))
 
 
 def _cluster_sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = gather(batches, 2)
-    if len(got):
+    for got in gathers(batches, 2):
         clusters, at = np.unique(got[:, 0], return_inverse=True)
         yield pa.RecordBatch.from_arrays([signed(clusters), pa.array(np.bincount(at, got[:, 1].astype(np.float64)).astype(np.int64))], names=["cluster", "shared"])
 
@@ -360,68 +365,61 @@ def _members(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
 
 def _spread(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """From tokens back to classes: (class, cluster, group, sizes, token, clusters that hold it), of tokens in two or more."""
-    got = gather(batches, 5)
-    if not len(got):
-        return
-    got = got[np.lexsort((got[:, 2], got[:, 0]))]
-    at, ends = runs(got[:, 0])
-    new = np.r_[True, (got[1:, [0, 2]] != got[:-1, [0, 2]]).any(1)]
-    df = np.repeat(np.add.reduceat(new.astype(np.int64), at), ends - at)
-    pick = df > 1
-    out = np.column_stack([got[pick][:, [1, 2, 3, 4, 0]], df[pick].astype(U64)])
-    yield from scatter(out, bucket_of(out[:, 0], n))
+    for got in gathers(batches, 5):
+        got = got[np.lexsort((got[:, 2], got[:, 0]))]
+        at, ends = runs(got[:, 0])
+        new = np.r_[True, (got[1:, [0, 2]] != got[:-1, [0, 2]]).any(1)]
+        df = np.repeat(np.add.reduceat(new.astype(np.int64), at), ends - at)
+        pick = df > 1
+        out = np.column_stack([got[pick][:, [1, 2, 3, 4, 0]], df[pick].astype(U64)])
+        yield from scatter(out, bucket_of(out[:, 0], n))
 
 
 def _rarest(batches: Iterable[pa.RecordBatch], percent: int, n: int) -> Iterator[pa.RecordBatch]:
     """Of each class that shares enough tokens, the rarest: (token, class, cluster, group, sizes)."""
-    got = gather(batches, 6)
-    if not len(got):
-        return
-    got = got[np.lexsort((got[:, 4], got[:, 5], got[:, 0]))]
-    at, ends = runs(got[:, 0])
-    size = (got[at, 3] & U64(0xFFFFFFFF)).astype(np.int64)
-    shared = ends - at
-    length = shared - ceil_share(size, percent) + 1
-    rank = np.arange(len(got)) - np.repeat(at, shared)
-    out = got[rank < np.repeat(length, shared)][:, [4, 0, 1, 2, 3]]
-    yield from scatter(out, bucket_of(out[:, 0], n))
+    for got in gathers(batches, 6):
+        got = got[np.lexsort((got[:, 4], got[:, 5], got[:, 0]))]
+        at, ends = runs(got[:, 0])
+        size = (got[at, 3] & U64(0xFFFFFFFF)).astype(np.int64)
+        shared = ends - at
+        length = shared - ceil_share(size, percent) + 1
+        rank = np.arange(len(got)) - np.repeat(at, shared)
+        out = got[rank < np.repeat(length, shared)][:, [4, 0, 1, 2, 3]]
+        yield from scatter(out, bucket_of(out[:, 0], n))
 
 
 def _ask(batches: Iterable[pa.RecordBatch], percent: int, n: int) -> Iterator[pa.RecordBatch]:
     """Queries as records (class, group): of two groups that hold a rare token the smaller one's classes ask the larger one, and the
     classes of a group ask their own, where a class of another cluster has the token."""
-    got = gather(batches, 5)
-    if not len(got):
-        return
-    got = got[np.lexsort((got[:, 3], got[:, 0]))]
-    asked, size = [], 0
-    for a, b in zip(*(x.tolist() for x in runs(got[:, 0])), strict=True):
-        cluster = got[a:b, 2]
-        if b - a < 2 or (cluster == cluster[0]).all():
-            continue
-        cls, group, sizes = got[a:b, 1], got[a:b, 3], got[a:b, 4]
-        members, count = sizes >> U64(32), (sizes & U64(0xFFFFFFFF)).astype(np.int64)
-        need = ceil_share(count, percent)
-        for lo, hi in zip(*(x.tolist() for x in runs(group)), strict=True):
-            g, same = group[lo], cluster[lo:hi]
-            other = cluster != same[0] if (same == same[0]).all() else np.ones(b - a, bool)
-            ask = other & ((group == g) | (members < members[lo]) | ((members == members[lo]) & (group > g)))
-            ask &= (count >= need[lo:hi].min()) & (need <= count[lo:hi].max())
-            if ask.any():
-                asked.append(np.column_stack([cls[ask], np.full(int(ask.sum()), g, U64)]))
-                size += len(asked[-1])
-        if size > HELD:
-            asked = [np.unique(np.concatenate(asked), axis=0)]
-            size = 0
-    if asked:
-        pairs = np.unique(np.concatenate(asked), axis=0)
-        yield from scatter(pairs, bucket_of(pairs[:, 0], n))
+    for got in gathers(batches, 5):
+        got = got[np.lexsort((got[:, 3], got[:, 0]))]
+        asked, size = [], 0
+        for a, b in zip(*(x.tolist() for x in runs(got[:, 0])), strict=True):
+            cluster = got[a:b, 2]
+            if b - a < 2 or (cluster == cluster[0]).all():
+                continue
+            cls, group, sizes = got[a:b, 1], got[a:b, 3], got[a:b, 4]
+            members, count = sizes >> U64(32), (sizes & U64(0xFFFFFFFF)).astype(np.int64)
+            need = ceil_share(count, percent)
+            for lo, hi in zip(*(x.tolist() for x in runs(group)), strict=True):
+                g, same = group[lo], cluster[lo:hi]
+                other = cluster != same[0] if (same == same[0]).all() else np.ones(b - a, bool)
+                ask = other & ((group == g) | (members < members[lo]) | ((members == members[lo]) & (group > g)))
+                ask &= (count >= need[lo:hi].min()) & (need <= count[lo:hi].max())
+                if ask.any():
+                    asked.append(np.column_stack([cls[ask], np.full(int(ask.sum()), g, U64)]))
+                    size += len(asked[-1])
+            if size > HELD:
+                asked = [np.unique(np.concatenate(asked), axis=0)]
+                size = 0
+        if asked:
+            pairs = np.unique(np.concatenate(asked), axis=0)
+            yield from scatter(pairs, bucket_of(pairs[:, 0], n))
 
 
 def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each query once, though several tokens ask for it."""
-    got = gather(batches, 2)
-    if len(got):
+    for got in gathers(batches, 2):
         pairs = np.unique(got, axis=0)
         yield pa.RecordBatch.from_arrays([signed(pairs[:, 0]), signed(pairs[:, 1])], names=["cls", "gid"])
 
@@ -429,7 +427,13 @@ def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- the operator ---------------------------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def _of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows(cls, gid, ...) with the columns of their groups(gid, count, ...); rows whose group is not there go."""
+    groups = stored(groups, "groups")
+    return keyed_join(rows, groups, "gid", groups.agg(F.sum("count")).first()[0] or 0, ["cls"])
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, hot: int = HOT, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id.
 
     Words are the runs of ``[^\\x20\\x09-\\x0D]`` after A-Z are lower-cased; a document's set has its distinct
@@ -437,14 +441,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     Two documents link when 100 * intersection >= percent * union and neither set is empty; component_id is the least
     doc_id in the component, a document's own if it is alone.  Repeated rows and ids stay one row each; a row with a
     null doc_id is kept, links like others, and its component_id is null only if the component has no other id.
-    Other columns, whatever their names, are ignored.
+    Other columns, whatever their names, are ignored.  hot, cell and pivots change how work is dealt, not the result.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = buckets_for(rows)
 
-    packed = rows.mapInArrow(partial(_shingle, width=width, percent=percent, n=n), PACKED)
-    facts = stored(shuffled(packed, n).mapInArrow(_credit, _FACTS), "facts")
+    packed = rows.mapInArrow(partial(_shingle, width=width, percent=percent, n=n, hot=hot), PACKED)
+    facts = stored(shuffled(packed).mapInArrow(_credit, _FACTS), "facts")
     known = facts.filter("kind = 0").select(F.when(F.col("a") != NULL_ID, F.col("a")).alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("cls"))
     # some_id is a row that has the class's text; it is NULL_ID only if no copy has an id
     classes = known.groupBy("cls").agg(F.min("doc_id").alias("least"), F.coalesce(F.max("doc_id"), F.lit(NULL_ID)).alias("some_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
@@ -455,35 +458,37 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     survivors = best.join(classes.filter("n > 0"), "cls").filter(F.col("shared") >= need).select("cls", (-F.col("best.minus")).alias("gid"), F.col("some_id").alias("doc_id"))
     survivors = stored(survivors, "survivors")
     # the leader within a task may have a lesser leader
-    above = survivors.select(F.col("cls").alias("gid"), F.col("gid").alias("top")).filter("gid <> top")
-    survivors = survivors.join(above, "gid", "left").select("cls", F.coalesce("top", "gid").alias("gid"), "doc_id")
-    sets = stored(rows.join(survivors, "doc_id").select("cls", "gid", "text").mapInArrow(partial(_tokens, width=width), _SETS), "sets")
-
-    sizes = sets.groupBy("gid").agg(F.count("*").alias("count")).filter("count > 1")
-    cells = sizes.select("gid", "count", F.ceil(F.col("count") / CELL).cast("long").alias("cells"), F.lit(1).cast("long").alias("parts"))
-    grouped = sets.join(cells, "gid").withColumn("cluster", F.col("cls"))
-    chosen = (F.col("cls") == F.col("gid")) | (F.pmod(F.xxhash64("cls", F.lit(7)), F.col("count")) < PIVOTS)
-    links = stored(_opened(grouped.filter(chosen), grouped, percent), "links")
+    above = survivors.filter("cls <> gid").select(F.col("cls").alias("gid"), F.col("gid").alias("top"))
+    followed = _of_groups(survivors, survivors.groupBy("gid").agg(F.count("*").alias("count")).join(above, "gid", "left"))
+    survivors = stored(followed.select("cls", F.coalesce("top", "gid").alias("gid"), "doc_id"), "survivors")
+    sizes = survivors.groupBy("gid").agg(F.count("*").alias("count"))
+    told = _of_groups(survivors, sizes).select("cls", "gid", "doc_id", F.col("count").alias("members"))
+    sets = stored(rows.join(told, "doc_id").select("cls", "gid", "members", "text").mapInArrow(partial(_tokens, width=width), _SETS), "sets")
+
+    cells = F.ceil(F.col("members") / cell).cast("long")
+    grouped = sets.filter("members > 1").select("gid", "cls", "tokens", "members", cells.alias("cells"), F.lit(1).cast("long").alias("parts"), F.col("cls").alias("cluster"))
+    chosen = (F.col("cls") == F.col("gid")) | (F.pmod(F.xxhash64("cls", F.lit(7)), F.col("members")) < pivots)
+    links = stored(_opened(grouped.filter(chosen), grouped, percent, cell), "links")
     near = near_labels(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
     own = sets.select("cls", "n").distinct().join(near.select(F.col("id").alias("cls"), F.col("component").alias("cluster")), "cls", "left")
     own = stored(own.select("cls", "n", F.coalesce("cluster", "cls").alias("cluster")), "own")
     unions = sets.join(own.select("cls", "cluster"), "cls").select("cluster", "tokens").mapInArrow(partial(_unions, n=n), PACKED)
-    shared = shuffled(shuffled(unions, n).mapInArrow(partial(_cluster_credit, n=n), PACKED), n).mapInArrow(_cluster_sum, "cluster long, shared long")
+    shared = shuffled(shuffled(unions).mapInArrow(partial(_cluster_credit, n=n), PACKED)).mapInArrow(_cluster_sum, "cluster long, shared long")
     wide = own.groupBy("cluster").agg(F.min("n").alias("least"))
     open_ = wide.join(shared, "cluster").filter(F.col("shared") >= F.ceil(F.col("least") * percent / 100.0)).select("cluster")
     left = sets.join(own.join(open_, "cluster").select("cls", "cluster"), "cls")
-    left = stored(left.select("cls", "cluster", "gid", "tokens"), "open")
-    counts = left.groupBy("gid").agg(F.count("*").alias("members"))
-    packed = left.join(counts, "gid").select("cls", "cluster", "gid", "members", "tokens").mapInArrow(partial(_members, n=n), PACKED)
-    packed = shuffled(shuffled(packed, n).mapInArrow(partial(_spread, n=n), PACKED), n).mapInArrow(partial(_rarest, percent=percent, n=n), PACKED)
-    packed = shuffled(packed, n).mapInArrow(partial(_ask, percent=percent, n=n), PACKED)
-    asked = stored(shuffled(packed, n).mapInArrow(_asked, "cls long, gid long"), "asked")
-    groups = asked.groupBy("gid").agg(F.ceil(F.count("*") / ASKED).cast("long").alias("parts"))
-    groups = groups.join(counts.select("gid", F.ceil(F.col("members") / CELL).cast("long").alias("cells")), "gid")
-    members = left.join(groups, "gid")
-    queries = asked.join(left.drop("gid"), "cls").join(groups, "gid")
-    more = stored(_opened(queries, members, percent), "more")
+    left = stored(left.select("cls", "cluster", "gid", "members", "tokens"), "open")
+    packed = left.select("cls", "cluster", "gid", "members", "tokens").mapInArrow(partial(_members, n=n), PACKED)
+    packed = shuffled(shuffled(packed).mapInArrow(partial(_spread, n=n), PACKED)).mapInArrow(partial(_rarest, percent=percent, n=n), PACKED)
+    packed = shuffled(packed).mapInArrow(partial(_ask, percent=percent, n=n), PACKED)
+    asked = stored(shuffled(packed).mapInArrow(_asked, "cls long, gid long"), "asked")
+    parts = asked.groupBy("gid").agg(F.ceil(F.count("*") / ASKED).cast("long").alias("parts"))
+    counts = left.groupBy("gid").agg(F.count("*").alias("count"))
+    groups = stored(counts.join(parts, "gid").select("gid", (F.col("count") + F.col("parts") * ASKED).alias("count"), F.ceil(F.col("count") / cell).cast("long").alias("cells"), "parts"), "asked_groups")
+    members = _of_groups(left, groups)
+    queries = _of_groups(asked.join(left.drop("gid"), "cls"), groups)
+    more = stored(_opened(queries, members, percent, cell), "more")
 
     final = component_labels(links.unionByName(more).select(F.col("u").alias("src"), F.col("v").alias("dst")))
     every = classes.filter("n > 0").join(final.select(F.col("id").alias("cls"), "component"), "cls", "left")
