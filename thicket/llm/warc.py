@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and reader (operator 5).
 
 Records are range-sorted by page_id and written by one task per range into gzip files (a member per record) that roll
-over by compressed size.  Headers and digests are computed anew.  A file is written under a temporary name and renamed
-when it is complete; the files of a run count only once its manifest is renamed into place.
+over by compressed size.  The ranges' borders come from exact counts of bytes, so they are the same however the input is
+partitioned.  Headers and digests are computed anew.  Tasks write under temporary names that no other attempt shares; when
+all are done, the files of the attempts that counted are renamed, then the manifest is, and what is left over is deleted.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from functools import partial
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
+from ..storage import qualified, shared_folder, stored
 from .exchange import partitions
 
 #: A fixed date keeps reruns equal byte for byte.
@@ -28,8 +28,11 @@ DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
 #: Smaller payloads are never revisits.
 LEAST_REVISIT = 1000
+#: Ranges of ids that bytes are counted in, and parts that a range is cut into if it holds more than a shard's share.
+BIN_BITS, PART_BITS = 14, 6
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "file string, shard int, roll int, records long, bytes long, sha256 string"
+_TEMPORARY = "_temporary"
 
 
 def _id(page_id: int | None, no: int) -> str:
@@ -72,8 +75,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 class _Roller:
     """The files of one shard."""
 
-    def __init__(self, folder: str, shard: int, limit: int):
-        self.fs, self.folder = pafs.FileSystem.from_uri(folder)
+    def __init__(self, fs: pafs.FileSystem, folder: str, shard: int, limit: int):
+        self.fs, self.folder = fs, folder
         self.shard, self.limit, self.roll, self.out, self.rows = shard, limit, 0, None, []
 
     def write(self, member: bytes) -> None:
@@ -81,8 +84,8 @@ class _Roller:
             self.close()
         if self.out is None:
             self.name = f"part-{self.shard:06d}-{self.roll:05d}.warc.gz"
-            self.temporary = f"{self.folder}/_temporary-{uuid.uuid4().hex}-{self.name}"
-            self.out = self.fs.open_output_stream(self.temporary, compression=None)
+            self.temporary = f"{uuid.uuid4().hex}-{self.name}"
+            self.out = self.fs.open_output_stream(f"{self.folder}/{_TEMPORARY}/{self.temporary}", compression=None)
             self.size, self.records, self.digest = 0, 0, hashlib.sha256()
         self.out.write(member)
         self.digest.update(member)
@@ -91,18 +94,29 @@ class _Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.folder}/{self.name}")
-            self.rows.append((self.name, self.shard, self.roll, self.records, self.size, self.digest.hexdigest()))
+            self.rows.append((self.name, self.shard, self.roll, self.records, self.size, self.digest.hexdigest(), self.temporary))
             self.out, self.roll = None, self.roll + 1
 
 
 def _write(batches: Iterable[pa.RecordBatch], folder: str, limit: int) -> Iterator[pa.RecordBatch]:
-    roller = _Roller(folder, TaskContext.get().partitionId(), limit)
+    fs, base = pafs.FileSystem.from_uri(folder)
+    roller: _Roller | None = None
     current, begun, refs, done, no = None, False, {}, set(), 0
+
+    def rows_of(roller: _Roller) -> pa.RecordBatch:
+        roller.close()
+        columns = list(zip(*roller.rows, strict=True)) or [()] * 7
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "shard", "roll", "records", "bytes", "sha256", "temporary"])
+
     for batch in batches:
         urls, payloads = batch.column("url"), batch.column("html").cast(pa.binary())
-        pages, kinds, keys, winners = (batch.column(c).to_pylist() for c in ("page_id", "kind", "digest", "winner"))
+        shards, pages, kinds, keys, winners = (batch.column(c).to_pylist() for c in ("shard", "page_id", "kind", "digest", "winner"))
         for i in range(batch.num_rows):
+            if roller is None or shards[i] != roller.shard:
+                if roller is not None:
+                    yield rows_of(roller)
+                roller = _Roller(fs, base, shards[i], limit)
             if not begun or pages[i] != current:
                 current, begun, refs, done, no = pages[i], True, {}, set(), 0
             if kinds[i] == 0:
@@ -117,10 +131,62 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, limit: int) -> Iterat
                 done.add(key)
             roller.write(zlib.compress(record(current, urls[i].as_py(), payload, refers, revisit, no), 6, 31))
             no += 1
-    roller.close()
-    columns = list(zip(*roller.rows, strict=True)) or [()] * 6
-    types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "shard", "roll", "records", "bytes", "sha256"])
+    if roller is not None:
+        yield rows_of(roller)
+
+
+def _commit(batches: Iterable[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Gives files their names; a file that an earlier attempt of this task has renamed stays."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    for batch in batches:
+        for name, temporary in zip(batch.column("file").to_pylist(), batch.column("temporary").to_pylist(), strict=True):
+            old, new = f"{base}/{_TEMPORARY}/{temporary}", f"{base}/{name}"
+            there = fs.get_file_info([old, new])
+            if there[0].type == pafs.FileType.File:
+                if there[1].type == pafs.FileType.File:
+                    fs.delete_file(new)
+                fs.move(old, new)
+            elif there[1].type != pafs.FileType.File:
+                raise FileNotFoundError(old)
+        yield pa.RecordBatch.from_arrays([batch.column("file")], names=["file"])
+
+
+def _with_shards(rows: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
+    """rows(page_id, ...) with ``shard``: ranges of page_id with about as many bytes of sizes(page_id, bytes) each.
+
+    Bytes are summed in ranges of ids, 2^BIN_BITS at most, and ranges that hold more than a shard's share again in parts of
+    them.  Ids that differ in their last bit only are in one shard; a null id is in the first.
+    """
+    spark = rows.sparkSession
+    half = F.shiftright("page_id", 1)
+    low, high, total = sizes.agg(F.min(half), F.max(half), F.sum("bytes")).first()
+    if low is None:
+        return rows.withColumn("shard", F.lit(0))
+    top = bits = max(0, (high - low).bit_length() - BIN_BITS)
+    share = max(1, total // shards)
+    known = sizes.filter("page_id IS NOT NULL").select((half - F.lit(low)).alias("at"), "bytes")
+
+    def counted(df: DataFrame, shift: int) -> list[tuple[int, int, int]]:
+        return [(r["bin"] << shift, shift, r["bytes"]) for r in df.groupBy(F.shiftright("at", shift).alias("bin")).agg(F.sum("bytes").alias("bytes")).collect()]
+
+    ranges, large = [], counted(known, bits)
+    while True:
+        ranges += [x for x in large if x[2] <= share or not x[1]]
+        large = [x for x in large if x[2] > share and x[1]]  # no more than there are shards
+        if not large:
+            break
+        marks = spark.createDataFrame([(a >> bits,) for a, _, _ in large], "mark long")
+        known = known.join(F.broadcast(marks), F.shiftright("at", bits) == F.col("mark"), "left_semi")
+        bits = max(0, bits - PART_BITS)
+        large = counted(known, bits)
+    table, before = [], 0
+    for a, shift, size in sorted(ranges):
+        table.append((a >> top, a, a + (1 << shift), min(shards - 1, before * shards // total)))
+        before += size
+    told = spark.createDataFrame(table, "_bin long, _from long, _to long, shard int")
+    at = half - F.lit(low)
+    placed = rows.withColumn("_at", at).join(F.broadcast(told), (F.shiftright("_at", top) == F.col("_bin")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")), "left")
+    return placed.select(*rows.columns, F.coalesce("shard", F.lit(0)).alias("shard"))
 
 
 def _rename(spark: SparkSession, old: str, new: str) -> None:
@@ -135,7 +201,8 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll_by
 
     The payload is the html in UTF-8, empty for null.  Of records with equal payloads of LEAST_REVISIT bytes or more the
     one with the largest page_id is a response and the others revisit it; if that page_id is repeated, the first of its
-    rows by url is.  A null page_id counts as the smallest.  The same rows in the same input files give the same bytes.
+    rows by url is.  A null page_id counts as the smallest.  The same rows give the same files, however they are partitioned.
+    All rows of one page_id are written by one task; a record is held in memory whole.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -145,12 +212,18 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll_by
     every = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("winner")).unionByName(
         refs.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "winner")
     )
-    ordered = every.repartitionByRange(shards or partitions(spark), "page_id").sortWithinPartitions("page_id", "kind", "url", "digest", F.xxhash64("html"))
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(fs_path)
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    ordered.mapInArrow(partial(_write, folder=uri, limit=roll_bytes), MANIFEST).write.parquet(f"{folder}/_temporary-manifest")
+    shards = shards or partitions(spark)
+    sizes = stored(rows.select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + F.lit(500)).cast("long").alias("bytes")), "sizes")
+    placed = _with_shards(every, sizes, shards).repartitionById(shards, "shard")
+    ordered = placed.sortWithinPartitions("shard", "page_id", "kind", "url", "digest", F.xxhash64("html"))
+    uri = qualified(spark, folder)
+    qualified(spark, f"{folder}/{_TEMPORARY}")
+    ordered.mapInArrow(partial(_write, folder=uri, limit=roll_bytes), f"{MANIFEST}, temporary string").write.parquet(f"{folder}/_temporary-manifest")
+    files = spark.read.parquet(f"{folder}/_temporary-manifest")
+    files.repartition(partitions(spark), "file").mapInArrow(partial(_commit, folder=uri), "file string").write.format("noop").mode("overwrite").save()
     _rename(spark, f"{folder}/_temporary-manifest", f"{folder}/manifest")
+    left = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_TEMPORARY}")
+    left.getFileSystem(spark._jsc.hadoopConfiguration()).delete(left, True)
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -211,7 +284,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the files in folder's manifest, checked: page_id, url, payload_bytes, payload_digest (hex SHA-1),
     record_type, refers_to."""
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file")
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    uri = qualified(spark, folder)
     return files.repartition(partitions(spark), "file").mapInArrow(partial(_read, folder=uri), _READ)
 
 
