@@ -25,6 +25,31 @@ def test_round_trip(spark):
         assert r.formatted_chars == sum(len("".join(t.segments(x[2] or "", x[3] or ""))) for x in own)
 
 
+def test_read_from_the_text_alone():
+    """The formatted text reads back in pieces of any size, and no mark begins within a text."""
+    import re
+
+    t = chat.Template()
+    turns = [("user", "#### a"), ("assistant", "</turn>\n### user: b"), ("a:b", "\\\\#<"), ("assistant", "")]
+    for _, text in turns:
+        assert not re.search(r"(?<!\\)(?:\\\\)*(?:###|</turn>)", t.escape(text))
+    segments = [(x, k == 1 and role == "assistant") for role, text in turns for k, x in enumerate(t.segments(role, text))]
+    whole = None
+    for size in (1, 2, 5, 1000):
+        reader = chat._Reader(1, t.pattern())
+        for x, flag in segments:
+            for i in range(0, len(x), size):
+                reader.add(x[i : i + size], flag and size == 1000, True)
+        row = reader.row()
+        assert row[1] == 4 and (whole is None or row[2] == whole)
+        whole = row[2]
+    assert row[3] == len(turns[1][1]) and whole == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+    broken = chat._Reader(1, t.pattern())
+    broken.add("### user: a</turn>", False, True)
+    with pytest.raises(ValueError):
+        broken.row()
+
+
 def test_states(spark):
     good = ["system", "user", "assistant", "user", "assistant"]
     cases = {1: good, 2: ["user", "assistant"], 3: ["assistant", "user"], 4: ["user", "user"], 5: ["system", "assistant"], 6: ["user", "tool"]}

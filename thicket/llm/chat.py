@@ -26,8 +26,8 @@ class Template:
     opening: str = "### "
     role_end: str = ": "
     closing: str = "</turn>\n"
-    #: strings that are escaped within texts; those of roles get ':' escaped too
-    controls: tuple[str, ...] = ("###", "</turn>")
+    #: characters that are escaped within texts, so that none of the marks can begin there; in roles ':' is, too
+    controls: tuple[str, ...] = ("#", "<")
     learnt: frozenset[str] = frozenset({"assistant"})
     #: state -> the roles that may come next; the state is the last role
     follows: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
@@ -42,8 +42,9 @@ class Template:
         return f"{self.opening}{self.escape(role, (':',))}{self.role_end}", self.escape(text), self.closing
 
     def pattern(self) -> re.Pattern[str]:
-        held = r"((?:[^\\]|\\.)*?)"
-        return re.compile(re.escape(self.opening) + held + re.escape(self.role_end) + held + re.escape(self.closing), re.DOTALL)
+        """A turn; it can't end before an unescaped closing, nor its role before an unescaped ':'."""
+        held = lambda more: rf"((?:[^\\{re.escape(''.join(self.controls) + more)}]|\\.)*+)"
+        return re.compile(re.escape(self.opening) + held(":") + re.escape(self.role_end) + held("") + re.escape(self.closing), re.DOTALL)
 
 
 def unescape(text: str) -> str:
@@ -75,8 +76,8 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     A turn is ``valid`` if the state machine allows its role after the one before it; turns that it doesn't allow are
     formatted too, so that callers may choose to drop their conversations.  Null roles and texts are empty strings, a
     null turn comes first, equal turns go by role and text, rows with a null conv_id are one conversation, and other
-    columns are not read.  Turns stream through a task, so a conversation of any length needs little memory; its order
-    binds it to one task.
+    columns are not read.  Turns stream through a task, so a conversation of any length needs little memory beyond
+    its longest turn; its order binds it to one task.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     sorted_ = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -86,41 +87,61 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
-def _read_back(batches: Iterable[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
-    pattern, begun = template.pattern(), False
-    conv, turns, n, chars, loss, loss_chars, valid, parts, learnt = None, hashlib.sha256(), 0, 0, hashlib.sha256(), 0, True, [], ""
+class _Reader:
+    """Reads a conversation's formatted text as it comes, whatever pieces it comes in; it holds one turn at a time."""
+
+    def __init__(self, conv: int | None, pattern: re.Pattern[str]):
+        self.conv, self.pattern = conv, pattern
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.chars = self.loss_chars = self.size = 0
+        self.valid = True
+        self.text: list[str] = []
+        self.learnt: list[tuple[int, int]] = []
+
+    def add(self, text: str, flag: bool, valid: bool) -> None:
+        if flag:
+            self.learnt.append((self.size, self.size + len(text)))
+        self.text.append(text)
+        self.size, self.chars = self.size + len(text), self.chars + len(text)
+        self.valid = self.valid and valid
+        if "\n" in text:
+            self.read()
+
+    def read(self) -> None:
+        joined, at = "".join(self.text), 0
+        while found := self.pattern.match(joined, at):
+            at = found.end()
+            self.n += 1
+            self.turns.update(f"{unescape(found[1])}\n{unescape(found[2])}\n".encode("utf-8", "surrogatepass"))
+        # a learnt piece counts when the turn that it is in is complete
+        for a, b in self.learnt:
+            if b <= at:
+                plain = unescape(joined[a:b])
+                self.loss.update(plain.encode("utf-8", "surrogatepass"))
+                self.loss_chars += len(plain)
+        self.learnt = [(a - at, b - at) for a, b in self.learnt if b > at]
+        self.text, self.size = [joined[at:]], len(joined) - at
+
+    def row(self) -> tuple:
+        self.read()
+        if self.size:
+            raise ValueError(f"conversation {self.conv}, after {self.n} turns: the formatted text doesn't read back")
+        return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid
 
-    def row() -> tuple:
-        return conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid
 
+def _read_back(batches: Iterable[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
+    pattern, reader = template.pattern(), None
     for batch in batches:
         done: list[tuple] = []
         for c, no, part, text, flag, ok in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if no == 0 and part == 0:
-                if begun:
-                    done.append(row())
-                conv, turns, n, chars, loss, loss_chars, valid, begun = c, hashlib.sha256(), 0, 0, hashlib.sha256(), 0, True, True
-            if part == 0:
-                parts, learnt = [], ""
-            parts.append(text)
-            chars += len(text)
-            valid = valid and ok
-            if flag:
-                learnt += text
-            if part == 2:
-                found = pattern.fullmatch("".join(parts))
-                if found is None:
-                    raise ValueError(f"conversation {c}, turn {no}: the formatted text doesn't read back")
-                n += 1
-                turns.update(f"{unescape(found[1])}\n{unescape(found[2])}\n".encode("utf-8", "surrogatepass"))
-                if learnt:
-                    plain = unescape(learnt)
-                    loss.update(plain.encode("utf-8", "surrogatepass"))
-                    loss_chars += len(plain)
-        columns = list(zip(*done, strict=True)) or [()] * 7
-        yield _backed(columns)
-    if begun:
-        yield _backed([[x] for x in row()])
+            if reader is None or no == 0 and part == 0:
+                if reader is not None:
+                    done.append(reader.row())
+                reader = _Reader(c, pattern)
+            reader.add(text, flag, ok)
+        yield _backed(list(zip(*done, strict=True)) or [()] * 7)
+    if reader is not None:
+        yield _backed([[x] for x in reader.row()])
 
 
 def _backed(columns: list) -> pa.RecordBatch:
