@@ -2,14 +2,14 @@
 
 Words are what is left between ASCII spaces and punctuation after A-Z are lower-cased.  A benchmark item of L words is
 sought in every window of L words of every text; both are bags of five-word shingles, weighted by how few items hold a
-shingle.  Windows that could reach the similarity at all, because enough of the item's weight is somewhere in the text,
-get a 64-bit SimHash.  The index holds every item under each of its four 16-bit blocks and all their neighbours within a
-quarter of the radius, so every item within the radius of a window's SimHash is found; those are then compared exactly.
+shingle.  A window of whose weight too little is in shingles of the benchmark can't reach the similarity with any item and
+is passed over.  The others get a 64-bit SimHash.  The index holds every item of a length under each of six blocks of its
+fingerprint and all their neighbours; the blocks' radii are such that every item within the radius of a window's SimHash is
+found.  Only items that it finds are compared, exactly, with the window.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import combinations
@@ -17,13 +17,15 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textcore import U64, Words, as_bytes, chunks, in_sorted
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
-BLOCKS, BLOCK_BITS = 4, 16
+#: Where the blocks of a fingerprint begin, and where the last one ends.
+BLOCKS = (0, 11, 22, 33, 44, 54, 64)
 #: Items of so many bytes are sought at a time; a larger benchmark takes several passes over the texts.
 ITEM_BYTES = 8 << 20
 _PLAIN = bytes(32 if x < 48 or 58 <= x < 65 or 91 <= x < 97 or 123 <= x < 128 else x for x in range(256))
@@ -38,7 +40,7 @@ def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Of the running sums of weighted bits: row i of the result is the sum over the first i shingles."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
     sums = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum((2 * bits - 1) * weights[:, None], axis=0, out=sums[1:])
+    np.cumsum((2 * bits - 1) * weights[:, None].astype(np.int32), axis=0, out=sums[1:])
     return sums
 
 
@@ -47,128 +49,123 @@ def packed(sums: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Benchmark items for search; ``items`` are (item_id, text) pairs."""
+    """Benchmark items for search; ``items`` are (item_id, text) pairs.  All in arrays, so that it is sent as it is."""
 
     def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY, radius: int = RADIUS):
         self.similarity, self.radius = similarity, radius
-        self.ids, self.bags, self.lengths, self.whole = [], [], [], {}
-        ordered: list[np.ndarray] = []
         words = Words([plain(t) for _, t in items], lower=True)
         windows = words.windows(WIDTH)
+        ids, lengths, ordered, self.whole = [], [], [], {}
         for i, (item, _) in enumerate(items):
             n = int(words.counts[i])
             if n >= WIDTH:
-                a = words.first[i]
-                self.ids.append(item)
-                self.lengths.append(n)
-                ordered.append(windows[a : a + n - WIDTH + 1])
-                self.bags.append(Counter(ordered[-1].tolist()))
+                ids.append(item)
+                lengths.append(n)
+                ordered.append(windows[words.first[i] : words.first[i] + n - WIDTH + 1])
             elif n:
                 # too few words for a shingle: only a text with just these words is the item
                 self.whole.setdefault(bytes(words.of(words.hashes, i).tobytes()), []).append(item)
-        held = Counter(s for bag in self.bags for s in bag)
-        top = log(1 + len(self.bags)) or 1.0
-        #: whole numbers, so that sums are exact; a shingle that one item or none holds weighs UNIT
+        self.ids, self.lengths = ids, np.array(lengths, np.int64)
+        bags = [np.unique(x, return_counts=True) for x in ordered]
+        #: distinct shingles of each item, in order, and how often it has them
+        self.cut = np.cumsum([0, *(len(x) for x, _ in bags)])
+        self.shingles, self.counts = (np.concatenate([np.zeros(0, t), *(x[k] for x in bags)]).astype(t) for k, t in ((0, U64), (1, np.int64)))
+        self.known, held = np.unique(self.shingles, return_counts=True)
+        #: whole numbers, so that sums are exact; a shingle that one item or none holds weighs unit
         self.unit = 64
-        self.weight = {s: max(1, round(self.unit * log(1 + len(self.bags) / n) / top)) for s, n in held.items()}
-        self.known = np.array(sorted(self.weight), U64)
-        self.known_weight = np.array([self.weight[s] for s in self.known.tolist()], np.int32)
+        top = log(1 + len(ids)) or 1.0
+        self.known_weight = np.array([max(1, round(self.unit * log(1 + len(ids) / n) / top)) for n in held.tolist()], np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> U64(44)).astype(np.int64)] = True
-        self.holders: dict[int, list[int]] = {}
-        for j, bag in enumerate(self.bags):
-            for s in bag:
-                self.holders.setdefault(s, []).append(j)
-        self.total = [sum(self.weight[s] * c for s, c in bag.items()) for bag in self.bags]
-        self.prints = np.array([packed(simhash(x, self.weights(x)))[-1] for x in ordered], U64) if ordered else np.zeros(0, U64)
-        self._by_block()
-
-    def _by_block(self) -> None:
-        near = [0]
-        for k in range(1, self.radius // BLOCKS + 1):
-            near += [sum(1 << b for b in c) for c in combinations(range(BLOCK_BITS), k)]
-        #: (length, block) -> for each value of the block, a row of bits: which items of that length are near
-        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.of_length: dict[int, np.ndarray] = {}
-        for n in set(self.lengths):
-            self.of_length[n] = np.flatnonzero(np.array(self.lengths) == n)
-        self.near = np.array(near, np.int64)
+        self.weight = self.weights(self.shingles)[0]
+        sums = np.concatenate([[0], np.cumsum(self.weight * self.counts)])
+        self.total = sums[self.cut[1:]] - sums[self.cut[:-1]]
+        self.prints = np.array([packed(simhash(x, self.weights(x)[0]))[-1] for x in ordered], U64) if ordered else np.zeros(0, U64)
+        self.of_length = {n: np.flatnonzero(self.lengths == n) for n in np.unique(self.lengths).tolist()}
+        self.least = {n: int(self.total[j].min()) for n, j in self.of_length.items()}
+        # radii of the blocks, each one more, add up to more than the radius: a fingerprint within it is near in some block
+        each, more = divmod(radius + 1, len(BLOCKS) - 1)
+        self.radii = [each - (k >= more) for k in range(len(BLOCKS) - 1)]
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
+
+    def table(self, n: int, b: int) -> np.ndarray:
+        """For each value of block b a row of bits: which items of n words are near."""
+        if (n, b) not in self.tables:
+            items, bits = self.of_length[n], BLOCKS[b + 1] - BLOCKS[b]
+            near = np.array([sum(1 << x for x in c) for k in range(self.radii[b] + 1) for c in combinations(range(bits), k)], np.int64)
+            table = np.zeros((1 << bits, (len(items) + 7) // 8), np.uint8)
+            for k, v in enumerate(self.block(self.prints[items], b).tolist()):
+                table[v ^ near, k >> 3] |= np.uint8(1 << (k & 7))
+            self.tables[n, b] = table
+        return self.tables[n, b]
+
+    @staticmethod
+    def block(prints: np.ndarray, b: int) -> np.ndarray:
+        return ((prints >> U64(BLOCKS[b])) & U64((1 << BLOCKS[b + 1] - BLOCKS[b]) - 1)).astype(np.int64)
 
     def candidates(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all items of n words within the radius of the windows' fingerprints."""
         items = self.of_length[n]
-        maybe = np.zeros((len(prints), len(items)), bool)
-        for b in range(BLOCKS):
-            if (n, b) not in self.tables:
-                values = ((self.prints[items] >> U64(BLOCK_BITS * b)) & U64(0xFFFF)).astype(np.int64)
-                table = np.zeros((1 << BLOCK_BITS, (len(items) + 7) // 8), np.uint8)
-                for k, v in enumerate(values.tolist()):
-                    table[v ^ self.near, k >> 3] |= np.uint8(1 << (k & 7))
-                self.tables[n, b] = table
-            rows = self.tables[n, b][((prints >> U64(BLOCK_BITS * b)) & U64(0xFFFF)).astype(np.int64)]
-            maybe |= np.unpackbits(rows, axis=1, bitorder="little")[:, : len(items)].astype(bool)
-        w, k = np.nonzero(maybe)
+        rows = np.zeros((len(prints), (len(items) + 7) // 8), np.uint8)
+        for b in range(len(BLOCKS) - 1):
+            if self.radii[b] >= 0:
+                rows |= self.table(n, b)[self.block(prints, b)]
+        w, k = np.nonzero(np.unpackbits(rows, axis=1, bitorder="little")[:, : len(items)])
         close = np.bitwise_count(prints[w] ^ self.prints[items[k]]) <= self.radius
         return w[close], items[k[close]]
 
-    def weights(self, shingles: np.ndarray) -> np.ndarray:
-        out = np.full(len(shingles), self.unit, np.int32)
+    def weights(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of shingles, and which of them the benchmark has."""
+        out, same = np.full(len(shingles), self.unit, np.int64), np.zeros(len(shingles), bool)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
             same = self.known[at] == shingles
             out[same] = self.known_weight[at[same]]
-        return out
-
-    def compare(self, shingles: list[int], j: int) -> float:
-        """Weighted Jaccard similarity of a window's bag and an item's."""
-        bag = Counter(shingles)
-        weight = self.weight
-        total = sum(weight.get(s, self.unit) * c for s, c in bag.items())
-        both = sum(weight[s] * min(c, bag[s]) for s, c in self.bags[j].items() if s in bag)
-        return both / (total + self.total[j] - both)
-
-    def search(self, text: bytes, words: Words, i: int, windows: np.ndarray, hit: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item_id, similarity, first word, end word) of the items in a text, each at its best window."""
+        return out, same
+
+    def compare(self, shingles: np.ndarray, total: int, j: int) -> float:
+        """Weighted Jaccard similarity of an item's bag and a window's, whose weight is total."""
+        own = slice(self.cut[j], self.cut[j + 1])
+        window = np.sort(shingles)
+        there = np.searchsorted(window, self.shingles[own], "right") - np.searchsorted(window, self.shingles[own])
+        both = int((self.weight[own] * np.minimum(there, self.counts[own])).sum())
+        return both / (total + int(self.total[j]) - both)
+
+    def search(self, words: Words, i: int, windows: np.ndarray, hit: bool) -> list[tuple[int, float, int, int]]:
+        """(item_id, similarity, first word, end word) of the items in a text, each at the first of its best windows."""
         a, n = int(words.first[i]), int(words.counts[i])
-        out = []
         if n < WIDTH:
-            return [(item, 1.0, 0, n) for item in self.whole.get(words.of(words.hashes, i).tobytes(), [])] if n and self.whole else out
-        if not len(hit):
-            return out
+            return [(item, 1.0, 0, n) for item in self.whole.get(words.of(words.hashes, i).tobytes(), [])] if n and self.whole else []
+        if not hit:
+            return []
         shingles = windows[a : a + n - WIDTH + 1]
-        present: Counter[int] = Counter()
-        for s in set(shingles[hit].tolist()):
-            for j in self.holders[s]:
-                present[j] += self.weight[s] * self.bags[j][s]
-        asked: dict[int, set[int]] = {}
-        for j, weight in present.items():
-            if weight >= self.similarity * self.total[j]:
-                asked.setdefault(self.lengths[j], set()).add(j)
-        if not asked:
-            return out
-        for length, items in asked.items():
+        weights, known = self.weights(shingles)
+        every, ours = (np.concatenate([[0], np.cumsum(x)]) for x in (weights, weights * known))
+        out = []
+        for length, items in self.of_length.items():
+            # what a window and an item share is no more than the benchmark's shingles in the window, nor than the item
+            least = self.similarity * self.least[length]
+            if ours[-1] < least:
+                continue
             size = min(length, n) - WIDTH + 1
-            own = np.unique(np.concatenate([np.array(list(self.bags[j]), U64) for j in items]))
-            of_items = in_sorted(shingles, own)
-            # windows where shingles of these items make up enough of the window
-            held = np.concatenate([[0], np.cumsum(of_items)])
-            starts = np.arange(len(shingles) - size + 1)
-            starts = starts[(held[starts + size] - held[starts]) * self.unit >= self.similarity * min(self.total[j] for j in items)]
+            held, total = ours[size:] - ours[:-size], every[size:] - every[:-size]
+            starts = np.flatnonzero((held >= least) & (held >= self.similarity * total))
+            if not len(starts):
+                continue
             best: dict[int, tuple[float, int]] = {}
-            for block in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * size) + 1) if len(starts) else ():
+            for block in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * size) + 1):
                 for k in range(0, len(block), 4096):
                     some = block[k : k + 4096]
                     low = int(some[0])
-                    part = shingles[low : int(some[-1]) + size]
-                    sums = simhash(part, self.weights(part))
+                    part = slice(low, int(some[-1]) + size)
+                    sums = simhash(shingles[part], weights[part])
                     prints = packed(sums[some - low + size] - sums[some - low])
                     for w, j in zip(*(x.tolist() for x in self.candidates(length, prints)), strict=True):
-                        if j in items:
-                            at = int(some[w])
-                            x = self.compare(shingles[at : at + size].tolist(), j)
-                            if x >= self.similarity and x > best.get(j, (0.0, 0))[0]:
-                                best[j] = (x, at)
-            out += [(self.ids[j], x, at, at + size + WIDTH - 1) for j, (x, at) in best.items()]
+                        at = int(some[w])
+                        x = self.compare(shingles[at : at + size], int(total[at]), j)
+                        if x >= self.similarity and x > best.get(j, (0.0, 0))[0]:
+                            best[j] = (x, at)
+            out += [(self.ids[j], x, at, at + size + WIDTH - 1) for j, (x, at) in sorted(best.items())]
         return out
 
     def scan(self, texts: list[bytes]) -> Iterator[list[tuple[int, float, int, int]]]:
@@ -179,8 +176,7 @@ class Index:
             hits = hits[in_sorted(windows[hits], self.known)]
             at = np.searchsorted(hits, words.first)
             for i in range(b - a):
-                own = hits[at[i] : at[i + 1]] - words.first[i]
-                yield self.search(texts[a + i], words, i, windows, own[own <= words.counts[i] - WIDTH])
+                yield self.search(words, i, windows, bool(at[i + 1] > at[i]))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -200,8 +196,14 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 _FOUND = "doc_id long, item_id long, similarity double, start_word long, end_word long"
 
 
-def _find(batches: Iterable[pa.RecordBatch], items: list[tuple[int, bytes]], similarity: float, radius: int) -> Iterator[pa.RecordBatch]:
-    index = Index(items, similarity, radius)
+def _indexes(benchmark: DataFrame, similarity: float, radius: int) -> Iterator[Broadcast]:
+    """An index for each ITEM_BYTES of items, sent to each executor once; workers keep it, with its tables, between tasks."""
+    for items in _blocks(benchmark):
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(items, similarity, radius))
+
+
+def _find(batches: Iterable[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    index = held.value
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         rows = [(d, *x) for d, found in zip(ids, index.scan(as_bytes(batch.column("text"))), strict=True) for x in found]
@@ -219,21 +221,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     out = docs.sparkSession.createDataFrame([], _FOUND)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for items in _blocks(benchmark):
-        out = out.unionByName(rows.mapInArrow(partial(_find, items=items, similarity=similarity, radius=radius), _FOUND))
+    for held in _indexes(benchmark, similarity, radius):
+        out = out.unionByName(rows.mapInArrow(partial(_find, held=held), _FOUND))
     return out
 
 
-def _drop(batches: Iterable[pa.RecordBatch], items: list[tuple[int, bytes]], similarity: float, radius: int) -> Iterator[pa.RecordBatch]:
-    index = Index(items, similarity, radius)
+def _drop(batches: Iterable[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    index = held.value
     for batch in batches:
         yield batch.filter(pa.array([not x for x in index.scan(as_bytes(batch.column("text")))], pa.bool_()))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """docs without the rows whose text holds an item; all columns stay."""
-    for items in _blocks(benchmark):
-        docs = docs.mapInArrow(partial(_drop, items=items, similarity=similarity, radius=radius), docs.schema)
+    """docs without the rows whose text holds an item; all columns stay, and so do rows with a null id or text."""
+    for held in _indexes(benchmark, similarity, radius):
+        docs = docs.mapInArrow(partial(_drop, held=held), docs.schema)
     return docs
-
-
