@@ -51,6 +51,13 @@ def test_base(spark):
         ('pwd = "changeme"', []),
         ("pwd = ${PWD_FROM_VAULT}", []),
         ("the key: it was found in the garden", []),
+        ('privateKey = """\n  aZ9kLq83mN2p\n  Xw7vTq5rYb1c\n"""', ["aZ9kLq83mN2p", "Xw7vTq5rYb1c"]),
+        ("auth_token = '''s8Jd72hQpZ1x'''", ["s8Jd72hQpZ1x"]),
+        ("db_pwd = `s8Jd72hQpZ1x`", ["s8Jd72hQpZ1x"]),
+        ("data:\n  privateKey: |\n    aZ9kLq83mN2p\n    Xw7v=Tq5rYb1c\n\n  title: x", ["aZ9kLq83mN2p", "Xw7v=Tq5rYb1c"]),
+        ('def f():\n    k = "s8Jd72hQpZ1x"\ndef g():\n    pass\nadmin_pwd = k', []),
+        ('k = "s8Jd72hQpZ1x"\ndef f():\n    admin_pwd = k', ["s8Jd72hQpZ1x"]),
+        ('k = "s8Jd72hQpZ1x"\nk = "plain words"\nadmin_pwd = k', []),
     ],
 )
 def test_lexer(text, found):
@@ -58,6 +65,41 @@ def test_lexer(text, found):
     assert [text[a:b] for a, k, b in every if k == 3] == found
 
 
+def test_lexer_on_labelled_lines():
+    """Credentials that no fixed pattern finds, among settings that look like them: each is found, and nothing else."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n)) + rng.choice("A7") + rng.choice("b9")
+    true = ["dbPwd = '{}'", 'client_credential: "{}"', "SIGNING_KEY={}", "private_key => '{}'", 'x = "{}"\n{} = x']
+    false = ["title = '{}'", 'path: "/usr/share/{}"', "count = 12345678", "color: '#a1b2c3'", "pwd = ${{VAULT_{}}}", "monkey = '{}'"]
+    for _ in range(200):
+        secret, lines = word(rng.randint(12, 24)), []
+        lines += [rng.choice(false).format(word(12)) for _ in range(3)]
+        lines.insert(rng.randrange(4), rng.choice(true).format(secret, "adminPwd"))
+        text = "\n".join(lines)
+        base, every = secrets.all_spans(text)
+        assert not [x for x in base if x[1] == 0] and [text[a:b] for a, k, b in every if k == 3] == [secret]
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        text = "".join(f"token = abcdef{i}\nsetting_{i}: value\nadminPwd = 'Zx9qLm{i}Rt'\n" for i in range(n))
+        began = time.process_time()
+        base, every = secrets.all_spans(text)
+        took.append(time.process_time() - began)
+        assert len(base) == n and len(every) == 2 * n
+    assert took[1] < 9 * took[0]
+    # blocks within blocks, and quotes that never end
+    deep = "".join(" " * (i % 300) + f"k{i}: |\n" for i in range(6000)) + "x = \"\"\"" * 6000
+    began = time.process_time()
+    secrets.all_spans(deep)
+    assert time.process_time() - began < 20
+
+
 def test_redaction(spark):
     rows = [(i, t, None, None, None if t is None else len(t)) for i, t in enumerate(TEXTS)]
     df = frame(spark, rows)

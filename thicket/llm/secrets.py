@@ -1,8 +1,10 @@
 """Secret scan (operator 9): fixed patterns plus assignment-aware lexing.
 
 Base spans come from three patterns.  The lexer reads source and configuration syntax into name-literal pairs, follows
-names that stand for literals (``k = "..."`` then ``password = k``), joins literals that are added up, and scores each
-literal by how sensitive its target's name is and by how random the literal looks.
+names that stand for literals (``k = "..."`` then ``password = k``), joins literals that are added up, takes literals in
+triple quotes and YAML blocks line by line, and scores each literal by how sensitive its target's name is and by how random
+the literal looks.  A name that is set anew stands for its new value from there on, and one that is set in an indented
+block stands for it only as long as lines are indented as far.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 # a name begins where no other one goes on and is never given back in part: long runs of letters take one step a character
 _NAME = r"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)"""
-_LITERAL = r"""(?P<lit>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s,;#"'(){}\[\]<>]+)"""
+_LITERAL = r"""(?P<lit>"{3}(?:[^"\\]|\\.|"(?!""))*"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3}|`[^`\n]*`|[|>][+-]?(?=[ \t]*\n)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s,;#"'(){}\[\]<>]+)"""
 _PAIR = re.compile(_NAME + r"[ \t]*(?P<op>:=|=>|=(?!=)|:(?!//))[ \t]*" + _LITERAL, _FLAGS)
+_LINE = re.compile(r"\n(?P<indent>[ \t]*)(?P<body>[^\n]*)")
 _PLUS = re.compile(r"""[ \t]*[+.][ \t]*("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_]*)""", _FLAGS)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How sensitive a word in a name is.
@@ -73,7 +76,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _unquoted(start: int, end: int, text: str) -> tuple[int, int]:
-    return (start + 1, end - 1) if text[start] in "\"'" else (start, end)
+    quote = 3 if end - start >= 6 and text.startswith(('"""', "'''"), start) else 1
+    return start + quote, end - quote
+
+
+def _lines(start: int, end: int, text: str) -> list[tuple[int, int]]:
+    """Spans of the lines of a literal without the spaces around them; a literal of one line is a span as it is."""
+    if "\n" not in text[start:end]:
+        return [(start, end)]
+    out = []
+    for line in text[start:end].split("\n"):
+        if bare := line.strip():
+            out.append((start + line.index(bare), start + line.index(bare) + len(bare)))
+        start += len(line) + 1
+    return out
+
+
+def _indent(text: str, at: int) -> tuple[int, int]:
+    """Where the line of a place begins, and how far it is indented."""
+    begin = text.rfind("\n", 0, at) + 1
+    return begin, len(text[begin:at]) - len(text[begin:at].lstrip(" \t"))
+
+
+def _block(text: str, at: int, indent: int) -> tuple[list[tuple[int, int]], int]:
+    """Lines that follow a place and are indented further, or empty; and where they end."""
+    spans = []
+    at = text.find("\n", at)
+    while at >= 0 and (m := _LINE.match(text, at)) and (not m["body"].strip() or len(m["indent"]) > indent):
+        if m["body"].strip():
+            spans.append((m.start("body"), m.start("body") + len(m["body"].rstrip())))
+        at = m.end() if m.end() < len(text) else -1
+    return spans, at if at >= 0 else len(text)
 
 
 class _Value:
@@ -113,21 +146,49 @@ class _Value:
                 todo += p.parts
 
 
+class _Scopes:
+    """What names stand for: each block, known by its indentation, sees its own names and those of blocks around it."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, dict[str, _Value]]] = [(0, {})]
+
+    def at(self, indent: int) -> None:
+        while len(self.stack) > 1 and self.stack[-1][0] > indent:
+            self.stack.pop()
+        if self.stack[-1][0] < indent:
+            self.stack.append((indent, {}))
+
+    def get(self, name: str) -> _Value | None:
+        return next((names[name] for _, names in reversed(self.stack) if name in names), None)
+
+    def set(self, name: str, value: _Value) -> None:
+        self.stack[-1][1][name] = value
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals whose targets' names and own looks score THRESHOLD or more together."""
-    known: dict[str, _Value] = {}
+    known = _Scopes()
     out: dict[tuple[int, int], None] = {}
+    line, indent, past = -1, 0, 0
     for m in _PAIR.finditer(text):
         name, at = m["name"], m.start("lit")
+        if m.start() < past:  # within a block of text
+            continue
+        if text.find("\n", max(line, 0), m.start()) >= 0 or line < 0:
+            line, indent = _indent(text, m.start())
+            known.at(indent)
+        line = m.start()
         pieces: list[tuple[int, int] | _Value] = []
 
         def add(start: int, end: int, pieces=pieces) -> bool:
             """Whether it is a literal or stands for one."""
             raw = text[start:end]
-            if raw[0] in "\"'":
-                pieces.append(_unquoted(start, end, text))
-            elif raw in known:
-                pieces.append(known[raw])
+            if raw[0] in "\"'`":
+                pieces.extend(_lines(*_unquoted(start, end, text), text))
+            elif raw[0] in "|>":
+                return False
+            elif (value := known.get(raw)) is not None:
+                pieces.append(value)
             else:
                 return False
             return True
@@ -136,9 +197,12 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
             end = m.end("lit")
             while (more := _PLUS.match(text, end)) and add(more.start(1), more.end(1)):
                 end = more.end()
+        elif text[at] in "|>":
+            pieces, past = _block(text, m.end("lit"), indent)
         else:
             pieces.append((at, m.end("lit")))
-        known[name] = value = _Value(text, pieces)
+        value = _Value(text, pieces)
+        known.set(name, value)
         sensitive = name_score(name)
         if sensitive and sensitive * value.score(sensitive >= STRONG) >= THRESHOLD:
             out |= dict.fromkeys(value.spans())
@@ -150,7 +214,12 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     base = base_spans(text)
     if "=" not in text and ":" not in text:
         return base, base
-    more = [s for s in lexed_spans(text) if not any(a <= s[0] and s[2] <= b for a, _, b in base)]
+    more, far, k = [], -1, 0
+    for s in lexed_spans(text):
+        while k < len(base) and base[k][0] <= s[0]:
+            far, k = max(far, base[k][2]), k + 1
+        if s[2] > far:
+            more.append(s)
     return base, sorted(base + more)
 
 
