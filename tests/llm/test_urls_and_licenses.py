@@ -53,12 +53,15 @@ def test_licenses(spark):
     texts = [
         mit, filler(50) + " " + mit.upper() + " " + filler(5000), " ".join(w for i, w in enumerate(words) if i % 10), " ".join(words[: len(words) // 2]), filler(300), "", None,
         "Released under the\nMIT license!", "mit of the released " + filler(30) + " license under", "This work is licensed under the GNU General Public License, version 3. " * 2,
+        licenses.TEXTS["BSD-2-Clause"], licenses.TEXTS["BSD-3-Clause"], "Licensed under CC BY-NC 4.0. " + filler(40) + " Released under the MIT License.", licenses.TEXTS["LGPL-3.0"],
     ]
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(0, mit, None, None, None)]
     got = {}
     for r in licenses.scan_licenses(frame(spark, rows)).collect():
         got.setdefault(r.doc_id, []).append((r.license, round(r.coverage, 2), r.start_word, r.end_word))
-    assert set(got) == {0, 1, 2, 7, 9}
+    assert set(got) == {0, 1, 2, 7, 9, 10, 11, 12, 13}
+    assert [x[:2] for k in (10, 11, 13) for x in got[k]] == [("BSD-2-Clause", 1.0), ("BSD-3-Clause", 1.0), ("LGPL-3.0", 1.0)]
+    assert sorted(x[0] for x in got[12]) == ["CC-BY-NC-4.0-notice", "MIT-notice"]
     n = len(licenses.plain(mit.encode()).split())
     assert got[0] == [("MIT", 1.0, 0, n)] * 2 and got[1][0][:3] == ("MIT", 1.0, 50)
     assert got[2][0][0] == "MIT" and 0.85 < got[2][0][1] < 0.95
@@ -66,6 +69,19 @@ def test_licenses(spark):
     assert [x[0] for x in got[9]] == ["GPL-3.0-notice"]
 
 
+def test_no_license_is_missed_or_confused():
+    """Every template is found as itself; every notice, in a text, too."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    names = list(licenses.TEMPLATES)
+    for name, found in zip(names, scanner.scan([f"one two {licenses.TEMPLATES[k]} three".encode() for k in names]), strict=True):
+        assert [(x[0], x[1]) for x in found] == [(name.partition("/")[0], 1.0)]
+
+
+def test_no_rows(spark):
+    assert licenses.scan_licenses(frame(spark, [])).collect() == []
+    assert licenses.scan_licenses(frame(spark), {"none": "", "dots": "..."}).collect() == []
+
+
 def test_repeated_licenses(spark):
     """Licenses that stand many times near each other, with other text around each, whole or with some words lost."""
     rng = random.Random(7)
@@ -80,7 +96,7 @@ def test_repeated_licenses(spark):
     got = {(r.doc_id, r.license): r for r in licenses.scan_licenses(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
     assert set(got) == {(0, "MIT"), (1, "Apache-2.0"), (2, "CC-BY-4.0-notice")}
     assert got[0, "MIT"][2:] == (1.0, 20, 20 + len(licenses.plain(" ".join(mit).encode()).split())) and got[1, "Apache-2.0"].coverage >= 0.85
-    assert got[2, "CC-BY-4.0-notice"][2:] == (1.0, 3, 3 + len(licenses.plain(notice.encode()).split()))
+    assert got[2, "CC-BY-4.0-notice"][2:] == (1.0, 6, 3 + len(licenses.plain(notice.encode()).split()))
 
 
 def test_common():
