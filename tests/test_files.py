@@ -92,3 +92,47 @@ def test_sinks(spark, tmp_path):
     table = sinks.latex_table(summary(rows, ["dataset"], ["q"]), "dataset", ["q"], "100 %")
     assert r"$1.500 \pm 0.707$" in table and r"100 \%" in table and "3.000" in table
     assert mean_std(None, None) == "--" and seconds(0.25) == "250ms" and scientific(0.0) == "0" and "10^{-5}" in scientific(2e-5)
+
+
+def test_archives_and_registry(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "Yale4.zip", "w") as z:
+        z.writestr("readme.html", "9 9\n")
+        z.writestr("socfb-Yale4.mtx", "%%MatrixMarket\n4 4 3\n1 2\n2 3\n3 1\n")
+    with zipfile.ZipFile(tmp_path / "dolphins.zip", "w") as z:
+        z.writestr("dolphins.edges", "".join(f"{a},{b}\n" for part in (range(5), range(5, 10)) for a in part for b in part if a < b) + "4,5\n")
+    with tarfile.open(tmp_path / "cora.tgz", "w:gz") as t:
+        for name, text in (("cora/cora.content", "p3\t0\tNets\np1\t1\tArt\np2\t0\tNets\n"), ("cora/cora.cites", "p1\tp3\np3\tp1\np2\tp2\np9\tp1\n")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            t.addfile(info, io.BytesIO(text.encode()))
+    edges, nodes, labels = registry.load(spark, "Yale4", str(tmp_path))
+    assert sorted(map(tuple, edges.collect())) == [(0, 1), (0, 2), (1, 2)] and nodes.count() == 4 and labels is None
+    edges, nodes, labels = registry.load(spark, "cora", str(tmp_path))
+    assert sorted(map(tuple, edges.collect())) == [(0, 1)] and {r.id: r.comm for r in labels.collect()} == {0: 1, 1: 0, 2: 1}
+    edges, nodes, labels = registry.load(spark, "dolphins", str(tmp_path))
+    comm = {r.id: r.comm for r in labels.collect()}
+    assert edges.count() == 21 and len({comm[i] for i in range(5)}) == 1 and comm[0] != comm[9]
+    for name in ("nonsense", "polblogs"):
+        with pytest.raises(ValueError):
+            registry.load(spark, name, str(tmp_path))
+    assert registry.lookup("dblp", "x").path == "x/com-DBLP.txt.gz" and registry.has_labels("dblp") and not registry.has_labels("jazz")
+    assert len(registry.FACEBOOK) == len(set(registry.FACEBOOK)) == 82
+
+
+def test_p_value_and_tables(spark):
+    from thicket.operators.summaries import correlation_p, mean_std, pearson
+    from thicket.sources import sinks
+
+    assert abs(correlation_p(0.576, 12) - 0.05) < 1e-3 and correlation_p(0.0, 9) == 1.0 and correlation_p(1.0, 9) == 0.0 and correlation_p(0.5, 2) is None
+    rows = spark.createDataFrame([(a, b, float(a * b + a)) for a in range(4) for b in "xyz" for b in (ord(b) - 119,)], "a long, b long, v double")
+    one = pearson(rows, "a", "v").first()
+    assert one.r > 0.5 and 0 < one.p < 0.05 and one.n == 12
+    assert pearson(rows.filter("a = 1 AND b = 1"), "a", "v").first()[:2] == (None, None)
+    table = sinks.wide_latex(mean_std(rows, ["a", "b"], ["v"]).filter("a + b < 6"), "a", "b", "v", "x_y")
+    assert table.count("&") == 3 * 5 and "--" in table and r"x\_y" in table
+    with pytest.raises(ValueError):
+        sinks.latex_table(spark.range(1001).selectExpr("id", "id AS v_mean", "id AS v_std"), "id", ["v"], "c")

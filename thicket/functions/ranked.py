@@ -61,13 +61,13 @@ def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, spread:
     """rows joined with table(key, count, ...), whose count is about how many rows a key has and total the sum of them.
 
     Keys that have more than one of SHARES parts of all rows are SHARES at most: they are broadcast, and their rows are dealt
-    by the columns spread.  So no key's rows meet in one task.  Columns of the two but the key must differ.
+    by it and the columns spread.  So no key's rows meet in one task.  Columns of the two but the key must differ.
     """
     limit = max(least, total // SHARES)
     columns = [c for c in table.columns if c != key]
     hot = table.filter(F.col("count") > limit).select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_{c}") for c in columns))
     told = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    told = told.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*spread)))
+    told = told.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(key, *spread)))
     both = told.join(table.filter(F.col("count") <= limit).withColumnRenamed(key, "_key"), "_key", "left")
     out = both.select(*rows.columns, *(F.when(F.col("_hot").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns))
     return out.filter("count IS NOT NULL")

@@ -59,3 +59,12 @@ def component_labels(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     stars = now.select(F.col("dst").alias("id"), F.col("src").alias("component"))
     return ids.join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def graph_counts(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """One row: n, m, components, connected; with nodes(id), isolated ones count."""
+    parts = component_labels(edges).select("component").distinct().agg(F.count("*").alias("c"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    alone = (nodes.select("id").distinct().join(ends, "id", "left_anti") if nodes is not None else ends.filter(F.lit(False))).agg(F.count("*").alias("a"))
+    one = ends.agg(F.count("*").alias("n0")).crossJoin(alone).crossJoin(parts).crossJoin(edges.agg(F.count("*").alias("m")))  # of one row each
+    return one.select((F.col("n0") + F.col("a")).alias("n"), "m", (F.col("c") + F.col("a")).alias("components"), (F.col("c") + F.col("a") <= 1).alias("connected"))

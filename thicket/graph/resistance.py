@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import hash_integer, hash_uniform
-from ..storage import stored
+from ..storage import once, stored
 
 #: Nodes of a graph whose Laplacian one task inverts.
 MAX_DENSE = 3000
@@ -85,6 +86,8 @@ def sketched(edges: DataFrame, columns: int = 48, seed: int = 42, rounds: int =
         beta = [a / b if b else 0.0 for a, b in zip(rho, now, strict=True)]
         state = stored(moved.select("id", "d", *(at(c, k) for c in "xr" for k in names), *((at("r", k) / F.col("d") + beta[k] * at("p", k)).alias(f"p{k}") for k in names)), "cg")
         now = rho
+    else:
+        warnings.warn(f"the resistances have not settled in {rounds} rounds", stacklevel=2)
     solution = state.select("id", *(at("x", k) for k in names))
     a = solution.select(F.col("id").alias("src"), *(at("x", k).alias(f"u{k}") for k in names))
     b = solution.select(F.col("id").alias("dst"), *(at("x", k).alias(f"v{k}") for k in names))
@@ -92,12 +95,11 @@ def sketched(edges: DataFrame, columns: int = 48, seed: int = 42, rounds: int =
     return edges.join(a, "src").join(b, "dst").select("src", "dst", distance.alias("resistance"))
 
 
-def spectral(edges: DataFrame, epsilon: float, seed: int = 42, columns: int = 48) -> DataFrame:
-    """Each edge with probability min(1, 4 R ln n / epsilon^2); weight 1 / p.  Resistances are exact for few nodes."""
+def spectral(edges: DataFrame, epsilon: float, seed: int = 42, columns: int = 48, dense: bool = False) -> DataFrame:
+    """Each edge with probability min(1, 4 R ln n / epsilon^2); weight 1 / p.  dense: resistances are exact, of MAX_DENSE nodes
+    at most; else they are sketched."""
+    edges = once(edges.select("src", "dst"), "edges")
     n = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count()
-    if n <= MAX_DENSE:
-        own = exact(edges.select(F.lit("g").alias("graph_id"), "src", "dst")).drop("graph_id")
-    else:
-        own = sketched(edges, columns, seed)
+    own = exact(edges.select(F.lit("g").alias("graph_id"), "src", "dst")).drop("graph_id") if dense else sketched(edges, columns, seed)
     p = F.least(F.lit(1.0), F.col("resistance") * (4.0 * math.log(max(n, 2)) / epsilon**2))
     return own.withColumn("p", p).filter(hash_uniform(seed, "src", "dst") < F.col("p")).select("src", "dst", (1.0 / F.col("p")).alias("weight"))

@@ -88,3 +88,9 @@ def status(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     marked = edges.select("src", "dst").join(a.select("src", "dst", F.lit(True).alias("a")), ["src", "dst"], "left").join(b.select("src", "dst", F.lit(True).alias("b")), ["src", "dst"], "left")
     kind = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "only_a").when(F.col("b"), "only_b").otherwise("neither")
     return marked.select("src", "dst", kind.alias("status"))
+
+
+def is_subset(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether each edge of a is one of b's, and how many are not."""
+    missing = a.select("src", "dst").join(b.select("src", "dst"), ["src", "dst"], "left_anti").agg(F.count("*").alias("missing"))
+    return missing.select((F.col("missing") == 0).alias("subset"), "missing")

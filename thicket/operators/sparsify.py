@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from ..functions.ranked import first_k
 from ..functions.rng import hash_integer, hash_uniform
 from ..storage import once, stored
 from .degrees import graph_size, scored
+from .edges import symmetric
 
 SCALE = 1_000_000_000
 
@@ -81,6 +83,13 @@ def uniform_count(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return _edge_columns(first_k(ordered, ["h", "src", "dst"], k))
 
 
+def random_sparsify(edges: DataFrame, directed_edges: int, seed: int = 42) -> tuple[DataFrame, float]:
+    """(both directions of directed_edges // 2 edges drawn uniformly, seconds that drawing and storing them took)."""
+    began = time.perf_counter()
+    kept = stored(symmetric(uniform_count(edges, directed_edges // 2, seed).select("src", "dst")), "random")
+    return kept, time.perf_counter() - began
+
+
 def with_replacement(edges: DataFrame, alpha: float, seed: int = 42) -> DataFrame:
     """q = ceil(alpha m) draws with probability p = score / sum; edges drawn with their draws k and weight k / (q p).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,41 @@ def prediction_errors(trials: DataFrame, predicted: str, seen: str) -> DataFrame
     return trials.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max(F.abs(e)).alias("max_error"), (F.avg(same) * 100.0).alias("sign_percent"))
 
 
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_share(b, a, 1.0 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d, out = 1e-300, 1.0, 0.0, 1.0
+    for i in range(400):
+        m = i // 2
+        top = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1.0 / (1.0 + top * d or tiny)
+        c = 1.0 + top / c or tiny
+        out *= c * d
+        if abs(c * d - 1.0) < 1e-14:
+            break
+    return front * (out - 1.0)
+
+
+def correlation_p(r: float | None, n: int) -> float | None:
+    """Two-sided p-value of a correlation of n pairs under Student's t; null below three pairs."""
+    if r is None or n < 3:
+        return None
+    if abs(r) >= 1:
+        return 0.0
+    t2 = r * r * (n - 2) / (1 - r * r)
+    return _beta_share((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
 def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: r, null without variance, and n."""
+    """One row: r, null without variance, p, its two-sided p-value, and n."""
     varied = (F.coalesce(F.var_pop(x), F.lit(0.0)) > 0) & (F.coalesce(F.var_pop(y), F.lit(0.0)) > 0)
     cov, spread = F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))
-    return rows.agg(F.when(varied, F.try_divide(cov, spread)).alias("r"), F.count("*").alias("n"))
+    one = rows.agg(F.when(varied, F.try_divide(cov, spread)).alias("r"), F.count("*").alias("n"))
+    return one.select("r", F.udf(correlation_p, "double")("r", "n").alias("p"), "n")  # of one row
 
 
 def across(rows: DataFrame, value: str) -> DataFrame:
@@ -57,6 +89,9 @@ def speedups(trials: DataFrame, sparsify: str = "t_sparsify", sparse: str = "t_l
     return trials.withColumn("t_pipeline", total).withColumn("speedup", ratio(F.col(original), total)).withColumn("speedup_leiden", ratio(F.col(original), F.col(sparse))).withColumn("sparsify_share", F.coalesce(F.try_divide(F.col(sparsify), total), F.lit(0.0)))
 
 
+# The bounds of notes and buckets.
+
+
 def quality_note(dq: Column) -> Column:
     return F.when(dq > 0, "improved").when(dq < -0.01, "degraded").otherwise("maintained")
 

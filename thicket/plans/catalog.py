@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import title
+from ..functions.text import scientific, title
 from ..graph import components, generators, leiden, resistance
 from ..operators import agreement, degrees, edges as E, sparsify as S, statistics as T, summaries as M
-from ..sources import derived, fixtures, registry
+from ..sources import derived, files, fixtures, registry, sinks
+from ..storage import shared_folder, stored
 from . import experiments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,7 +377,7 @@ def prediction_errors(spark, d):
 
 @query(TRADE + "," + TRIALS + "SELECT round(corr(alpha, m_sparse), 9) AS r, count(*) AS n FROM trials")
 def pearson(spark, d):
-    return rounded(M.pearson(_trials(spark, d), "alpha", "m_sparse"))
+    return rounded(M.pearson(_trials(spark, d), "alpha", "m_sparse").select("r", "n"))
 
 
 @query(TRADE + "," + TRIALS + "SELECT round(avg(df), 9) AS mean, round(stddev_pop(df), 9) AS std, round(min(df), 9) AS least, round(max(df), 9) AS greatest, count(*) FILTER (WHERE df > 0) AS positive, count(*) AS n FROM trials")
@@ -426,6 +427,242 @@ def median_score(spark, d):
     return rounded(degrees.scored(derived.trade(spark, d)).agg(F.median("score").alias("median_score")))
 
 
+# -- labels that lack, tables of trials, set tests ------------------------------------------------------------------
+
+
+def _some_labels(spark: SparkSession, d: str) -> DataFrame:
+    return derived.trade_nodes(spark, d).filter("region <> 1").select("id", F.col("region").alias("comm"))
+
+
+_SOME = "told AS (SELECT id, region AS comm FROM places WHERE region <> 1), marked AS (SELECT e.src, e.dst, a.comm AS a, b.comm AS b FROM edges e LEFT JOIN told a ON e.src = a.id LEFT JOIN told b ON e.dst = b.id)"
+
+
+@query(TRADE + "," + _SOME + "SELECT src, dst, a AS comm_src, b AS comm_dst, a IS NOT DISTINCT FROM b AS is_intra FROM marked")
+def classify_equal(spark, d):
+    return T.classified(derived.trade(spark, d), _some_labels(spark, d), "equal")
+
+
+@query(TRADE + "," + _SOME + "SELECT src, dst, coalesce(a, -1) AS comm_src, coalesce(b, -1) AS comm_dst, coalesce(a, -1) = coalesce(b, -1) AS is_intra FROM marked")
+def classify_sentinel(spark, d):
+    return T.classified(derived.trade(spark, d), _some_labels(spark, d), "sentinel")
+
+
+@query(TRADE + "," + TERMS + "SELECT CASE WHEN (SELECT count(*) FROM places ANTI JOIN labels USING (id)) = 0 THEN round(f - g, 9) END AS q FROM terms")
+def label_modularity(spark, d):
+    edges, labels = _trade(spark, d)
+    return rounded(T.label_modularity(edges, labels, derived.trade_nodes(spark, d)))
+
+
+@query(TRADE + "SELECT NULL::DOUBLE AS q")
+def label_modularity_unlabelled(spark, d):
+    return T.label_modularity(derived.trade(spark, d), _some_labels(spark, d), derived.trade_nodes(spark, d))
+
+
+@query(TRADE + ", k AS (SELECT count(DISTINCT comm) AS n FROM labels) SELECT n AS communities FROM k")
+def community_count(spark, d):
+    return derived.trade_labels(spark, d).agg(F.countDistinct("comm").alias("communities"))
+
+
+@query(TRADE + "SELECT src, dst, 1.0::DOUBLE AS weight FROM edges")
+def topology(spark, d):
+    edges = derived.trade(spark, d)
+    return E.topology(edges.withColumn("weight", F.lit(7.0)))
+
+
+@query(TRADE + "SELECT src, dst, 1.0::DOUBLE AS weight FROM edges")
+def full_retention(spark, d):
+    return S.sparsify(derived.trade(spark, d), "deterministic", 1.0)
+
+
+@query(TRADE + "," + TRIALS + "SELECT alpha, seed, m_sparse FROM trials WHERE abs(alpha - 0.6::DOUBLE) <= 1e-8 + 1e-5 * 0.6::DOUBLE")
+def trials_at_alpha(spark, d):
+    return E.at_alpha(_trials(spark, d), 0.6).select("alpha", "seed", "m_sparse")
+
+
+@query(TRADE + "," + TRIALS + "SELECT alpha, m, round(avg(m_sparse), 6) AS m_sparse_mean, round(stddev_samp(m_sparse), 6) AS m_sparse_std FROM trials GROUP BY alpha, m")
+def summary_with_baseline(spark, d):
+    trials = stored(_trials(spark, d), "trials")
+    return rounded(M.with_baseline(M.mean_std(trials, ["alpha"], ["m_sparse"]), trials, "alpha", ["m"]), 6)
+
+
+_TIMES = "t AS (SELECT alpha, seed, m_sparse / 1000.0::DOUBLE AS a, m_sparse / 500.0::DOUBLE AS b, m / 250.0::DOUBLE AS c FROM trials)"
+
+
+@query(TRADE + "," + TRIALS + "," + _TIMES + "SELECT alpha, seed, round(a + b, 9) AS t_pipeline, round(c / (a + b), 9) AS speedup, round(c / b, 9) AS speedup_leiden, round(a / (a + b), 9) AS sparsify_share FROM t")
+def pipeline_speedups(spark, d):
+    t = _trials(spark, d).select("alpha", "seed", (F.col("m_sparse") / 1000.0).alias("t_sparsify"), (F.col("m_sparse") / 500.0).alias("t_leiden_sparse"), (F.col("m") / 250.0).alias("t_leiden_orig"))
+    return rounded(M.speedups(t).select("alpha", "seed", "t_pipeline", "speedup", "speedup_leiden", "sparsify_share"))
+
+
+@query(TRADE + "," + TOP + "SELECT count(*) = 0 AS subset, count(*) AS missing FROM (SELECT src, dst FROM top EXCEPT SELECT src, dst FROM edges)")
+def subset_test(spark, d):
+    edges = derived.trade(spark, d)
+    return E.is_subset(S.top_k(edges, 0.5), edges)
+
+
+@query(TRADE.replace("WITH", "WITH RECURSIVE", 1) + "," + _FEW + "," + _REACH + "SELECT (SELECT count(*) FROM comp) AS n, (SELECT count(*) FROM few) AS m, count(DISTINCT component) AS components, count(DISTINCT component) <= 1 AS connected FROM comp")
+def few_graph_counts(spark, d):
+    """The counts of few edges, as recursion takes no more; trade_graph_counts has those of all."""
+    return components.graph_counts(stored(_few(spark, d), "few"))
+
+
+@query(TRADE + "SELECT src, dst FROM (SELECT src, dst FROM edges ORDER BY " + H60.format(keys="src, dst", seed=42) + ", src, dst LIMIT (SELECT (2 * m)::BIGINT // 6 FROM size)) UNION ALL SELECT dst, src FROM (SELECT src, dst FROM edges ORDER BY " + H60.format(keys="src, dst", seed=42) + ", src, dst LIMIT (SELECT (2 * m)::BIGINT // 6 FROM size))")
+def random_both_directions(spark, d):
+    edges = stored(derived.trade(spark, d), "edges")
+    return S.random_sparsify(edges, 2 * edges.count() // 3)[0]
+
+
+# -- files: what is written is read back ----------------------------------------------------------------------------
+
+
+def _written(lines: DataFrame, ordered: bool = False) -> str:
+    """A folder with the lines of lines(value), or lines(at, value) in their order in one file."""
+    path = f"{shared_folder(lines.sparkSession)}/lines"
+    (lines.coalesce(1).sortWithinPartitions("at").select("value") if ordered else lines.select("value")).write.text(path)
+    return path
+
+
+def _edge_lines(spark: SparkSession, d: str, separator: str, comment: str) -> DataFrame:
+    pairs = derived.trade_pairs(spark, d)
+    lines = pairs.select(F.concat_ws(separator, F.col("src").cast("string"), F.col("dst").cast("string"), F.lit("extra")).alias("value"))
+    more = spark.createDataFrame([(f"{comment} comment 1 2",), ("",), ("   ",), ("no numbers",), (separator.join(("999999999", "999999999")),)], "value string")
+    return lines.unionByName(more)
+
+
+_DENSE = "ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT id FROM deg UNION SELECT 999999999)), dense AS (SELECT least(a.new_id, b.new_id) AS src, greatest(a.new_id, b.new_id) AS dst FROM edges e JOIN ids a ON e.src = a.id JOIN ids b ON e.dst = b.id)"
+
+
+@query(TRADE + "," + _DENSE + "SELECT src, dst FROM dense")
+def read_edge_list(spark, d):
+    return files.read_snap(spark, _written(_edge_lines(spark, d, "\t", "#")))[0]
+
+
+@query(TRADE + "," + _DENSE + "SELECT src, dst FROM dense")
+def read_network_file(spark, d):
+    return files.read_network_repository(spark, _written(_edge_lines(spark, d, " ", "%")))[0]
+
+
+@query(TRADE + "," + _DENSE + "SELECT src, dst FROM dense")
+def read_classic_file(spark, d):
+    return files.read_classic(spark, _written(_edge_lines(spark, d, " , ", "%")))[0]
+
+
+@query(TRADE + "SELECT src, dst FROM edges")
+def read_bare_file(spark, d):
+    path = f"{shared_folder(spark)}/edges"
+    sinks.write_edges(derived.trade(spark, d), path)
+    return files.read_bare(spark, path)
+
+
+@query(TRADE + "SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges")
+def write_both_directions(spark, d):
+    path = f"{shared_folder(spark)}/edges"
+    sinks.write_edges(derived.trade(spark, d), path, both=True)
+    return files.read_bare(spark, path)
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    return E.dense_ids(derived.trade_nodes(spark, d))
+
+
+_PLACE_IDS = "pids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id, region, nation FROM places)"
+
+
+@query(TRADE + "," + _PLACE_IDS + "SELECT new_id AS id, CASE WHEN id % 10 = 1 THEN region ELSE nation END AS comm FROM pids")
+def read_label_file(spark, d):
+    """Of two lines of a node the last counts."""
+    nodes = derived.trade_nodes(spark, d)
+    lines = nodes.select(F.lit(0).alias("k"), "id", F.concat_ws(" ", "id", "region").alias("value")).unionByName(nodes.filter("id % 10 = 2").select(F.lit(1).alias("k"), "id", F.concat_ws("\t", "id", "nation").alias("value")))
+    lines = lines.withColumn("at", F.struct("k", "id")).select("at", "value")
+    return files.read_node_labels(spark, _written(lines, True), _ids(spark, d))
+
+
+@query(TRADE + "," + _PLACE_IDS + "SELECT new_id AS id, region + 2 AS comm FROM pids")
+def read_community_file(spark, d):
+    nodes = derived.trade_nodes(spark, d)
+    lines = nodes.groupBy((F.col("region") + 2).alias("at")).agg(F.concat_ws("\t", F.sort_array(F.collect_list(F.col("id").cast("string")))).alias("value"))
+    more = spark.createDataFrame([(0, "# two lines before"), (1, " ")], "at long, value string")
+    return files.read_communities(spark, _written(lines.unionByName(more), True), _ids(spark, d))
+
+
+_PAPERS = "papers AS (SELECT id, row_number() OVER (ORDER BY id DESC) - 1 AS new_id, 'n' || nation AS class FROM places), classes AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS comm FROM (SELECT DISTINCT class FROM papers))"
+
+
+def _citations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes = derived.trade_nodes(spark, d)
+    content = nodes.select((-F.col("id")).alias("at"), F.concat_ws("\t", F.concat(F.lit("p"), "id"), F.lit("0"), F.lit("1"), F.concat(F.lit("n"), "nation")).alias("value"))
+    cites = derived.trade_pairs(spark, d).select(F.concat_ws("\t", F.concat(F.lit("p"), "src"), F.concat(F.lit("p"), "dst")).alias("value"))
+    return files.read_citations(spark, _written(content, True), _written(cites.unionByName(spark.createDataFrame([("p11\tunknown",), ("p11\tp11",)], "value string"))))
+
+
+@query(TRADE + "," + _PAPERS + "SELECT least(a.new_id, b.new_id) AS src, greatest(a.new_id, b.new_id) AS dst FROM edges e JOIN papers a ON e.src = a.id JOIN papers b ON e.dst = b.id")
+def read_citation_edges(spark, d):
+    return _citations(spark, d)[0]
+
+
+@query(TRADE + "," + _PAPERS + "SELECT new_id AS id, comm FROM papers JOIN classes USING (class)")
+def read_citation_labels(spark, d):
+    return _citations(spark, d)[1]
+
+
+@query(TRADE + ", known AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM places WHERE region <> 1) SELECT least(a.new_id, b.new_id) AS src, greatest(a.new_id, b.new_id) AS dst FROM edges e JOIN known a ON e.src = a.id JOIN known b ON e.dst = b.id")
+def read_labelled_graph(spark, d):
+    labels = _some_labels(spark, d).select(F.concat_ws(" ", "id", "comm").alias("value"))
+    return files.read_labelled(spark, _written(_edge_lines(spark, d, " ", "#")), _written(labels))[0]
+
+
+@query(TRADE + "," + TRIALS + "SELECT alpha, seed, m_sparse FROM trials")
+def trials_as_csv(spark, d):
+    path = f"{shared_folder(spark)}/trials"
+    sinks.write_table(_trials(spark, d).select("alpha", "seed", "m_sparse"), path)
+    return sinks.read_trials(spark, path, "alpha double, seed long, m_sparse long")
+
+
+@query(TRADE + "," + TRIALS + "SELECT 'trade' AS dataset, alpha, seed, m_sparse FROM trials WHERE alpha < 0.5 UNION ALL SELECT 'other', alpha, seed, m_sparse FROM trials WHERE alpha > 0.5")
+def trials_appended(spark, d):
+    path = f"{shared_folder(spark)}/trials"
+    trials = stored(_trials(spark, d).select("alpha", "seed", "m_sparse"), "trials")
+    for name, condition in (("trade", "alpha < 0.5"), ("other", "alpha > 0.5")):
+        sinks.append_trials(trials.filter(condition).withColumn("dataset", F.lit(name)), path)
+    return spark.read.schema("alpha double, seed long, m_sparse long, dataset string").parquet(path)
+
+
+@query("SELECT unnest(['0', '0.12', '$1.50 \\times 10^{-5}$']) AS cell, unnest([1, 2, 3])::BIGINT AS at")
+def table_cells(spark, d):
+    rows = [(scientific(x, 2) if x != 0.12 else scientific(x, 1), i + 1) for i, x in enumerate((0.0, 0.12, 1.5e-5))]
+    return spark.createDataFrame(rows, "cell string, at long")
+
+
+# -- grids ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 0.3::DOUBLE + 0.7::DOUBLE * a / 14 AS alpha, floor((0.3::DOUBLE + 0.7::DOUBLE * a / 14) * 100000)::BIGINT + r AS seed FROM range(15) t(a), range(10) u(r)")
+def prediction_grid(spark, d):
+    return spark.createDataFrame(experiments.prediction_grid(), "alpha double, seed long")
+
+
+@query("SELECT n::BIGINT AS n, k.kind, mu::DOUBLE AS mu, h::DOUBLE AS strength, alpha::DOUBLE AS retention, rep::BIGINT AS replicate FROM (VALUES (1000, 10), (10000, 3)) s(n, reps), (VALUES ('standard', 1.0), ('modified', 1.0), ('modified', 2.0), ('modified', 4.0)) k(kind, h), (VALUES (0.1), (0.2), (0.3), (0.4), (0.5)) m(mu), (VALUES (0.5), (0.8)) a(alpha), range(10) r(rep) WHERE rep < reps")
+def community_grid(spark, d):
+    return spark.createDataFrame(experiments.community_grid(), "n long, kind string, mu double, strength double, retention double, replicate long, seed long").drop("seed")
+
+
+@query("SELECT dataset, alpha::DOUBLE AS alpha, run::BIGINT AS seed FROM (VALUES ('karate'), ('dolphins'), ('football'), ('polbooks'), ('email-Eu-core')) d(dataset), (VALUES (0.5), (0.8)) a(alpha), range(10) r(run)")
+def recovery_grid(spark, d):
+    return spark.createDataFrame(experiments.recovery_grid(), "dataset string, alpha double, seed long")
+
+
+@query("SELECT dataset, method, alpha::DOUBLE AS alpha, run::BIGINT AS seed FROM (VALUES ('com-DBLP'), ('com-Amazon')) d(dataset), (VALUES ('paper'), ('uniform_random'), ('degree_sampling'), ('spectral')) m(method), (VALUES (0.2), (0.4), (0.6), (0.8), (1.0)) a(alpha), range(3) r(run)")
+def scaling_grid(spark, d):
+    return spark.createDataFrame(experiments.scaling_grid(("com-DBLP", "com-Amazon")), "dataset string, method string, alpha double, seed long")
+
+
+@query("SELECT unnest(['email-Eu-core', 'com-DBLP', 'cora', 'dolphins']) AS name, unnest(['snap', 'snap', 'citation', 'classic']) AS reader, true AS labels UNION ALL SELECT unnest(['wiki-Vote', 'Yale4', 'human-ppi', 'power']), unnest(['snap', 'network', 'network', 'classic']), false")
+def dataset_registry(spark, d):
+    names = ("email-Eu-core", "dblp", "cora", "dolphins", "wiki-Vote", "Yale4", "human-ppi", "power")
+    rows = [(registry.lookup(n).path.rpartition("/")[2].partition(".")[0], registry.lookup(n).reader, registry.has_labels(n)) for n in names]
+    return spark.createDataFrame(rows, "name string, reader string, labels boolean")
+
+
 # -- without SQL: iterative algorithms and generated graphs ---------------------------------------------------------
 
 
@@ -442,6 +679,42 @@ def trade_components(spark, d):
     return components.component_labels(derived.trade(spark, d))
 
 
+@query()
+def trade_graph_counts(spark, d):
+    return components.graph_counts(stored(derived.trade(spark, d), "edges"), derived.trade_nodes(spark, d))
+
+
+@query()
+def karate_fiedler(spark, d):
+    edges, _ = fixtures.karate(spark)
+    return rounded(resistance.fiedler(edges.withColumn("graph_id", F.lit("karate"))), 9)
+
+
+@query()
+def prediction_trial(spark, d):
+    edges, labels = fixtures.karate(spark)
+    return rounded(spark.createDataFrame([experiments.theory_trial(edges, labels, 0.5, 1, detect=True)]))
+
+
+@query()
+def planted_trial(spark, d):
+    return rounded(spark.createDataFrame([experiments.planted_trial(spark, 400, 0.3, 2.0, 0.5, 1)]))
+
+
+@query()
+def recovery_trial(spark, d):
+    edges, labels = fixtures.karate(spark)
+    return rounded(spark.createDataFrame([experiments.recovery_trial(edges, labels, experiments.detected(edges), 0.8, 1, "karate")]))
+
+
+@query()
+def scaling_trial(spark, d):
+    """Without its times, which no two runs share."""
+    edges, _ = fixtures.karate(spark)
+    row = experiments.scaling_trial(edges, experiments.detected(edges), 1.0, "deterministic", 0.6, 1, "karate")
+    return rounded(spark.createDataFrame([{k: v for k, v in row.items() if not k.startswith("t_") and k != "speedup"}]))
+
+
 @query()
 def trade_largest_component(spark, d):
     return registry.largest_component(derived.trade(spark, d))

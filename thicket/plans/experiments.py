@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import product
+from zlib import crc32
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph.components import component_labels
+from ..graph.generators import planted_power_law, rewired_to_hubs
 from ..graph.leiden import leiden_parallel, leiden_small
+from ..graph.resistance import spectral
 from ..operators.agreement import ari, nmi
 from ..operators.degrees import graph_size, scored
 from ..operators.sparsify import sparsify
 from ..operators.statistics import classified, hub_bridge, modularity_terms, observed, preservation, reconstruction, separation, theory
+from ..operators.edges import induced
 from ..sources import fixtures
+from ..sources.registry import largest_component
 from ..storage import stored
+from .policy import limited
 
 
 def sampled_trials(edges: DataFrame, labels: DataFrame, alphas: Iterable[float], seeds: Iterable[int]) -> DataFrame:
@@ -35,23 +43,29 @@ def sampled_trials(edges: DataFrame, labels: DataFrame, alphas: Iterable[float],
     return trials.join(F.broadcast(f0)).select("alpha", "seed", "m", "m_sparse", "intra", "inter", f.alias("f"), (f - F.col("f0")).alias("df"))
 
 
-def detected(edges: DataFrame, resolution: float = 1.0, cpm: bool = False, seed: int = 0, small: int = 200_000) -> DataFrame:
-    """(id, comm): the sequential method up to ``small`` edges, the parallel one beyond."""
-    if edges.count() <= small:
-        return leiden_small(edges.select(F.lit("g").alias("graph_id"), "src", "dst"), resolution, cpm, seed).select("id", "comm")
-    return leiden_parallel(edges, resolution, cpm, seed)
+def detected(edges: DataFrame, resolution: float = 1.0, cpm: bool = False, seed: int = 0, parallel: bool = False) -> DataFrame:
+    """(id, comm): by the sequential method, in one task, or by the parallel one, for graphs of any size."""
+    if parallel:
+        return leiden_parallel(edges, resolution, cpm, seed)
+    return leiden_small(edges.select(F.lit("g").alias("graph_id"), "src", "dst"), resolution, cpm, seed).select("id", "comm")
 
 
 def _first(df: DataFrame, prefix: str = "") -> dict:
     return {prefix + k: v for k, v in df.first().asDict().items()}
 
 
-def theory_trial(edges: DataFrame, labels: DataFrame, alpha: float, seed: int, method: str = "paper") -> dict:
-    """Predictions, what sampling did, and the changes of q: one row of the prediction experiment."""
+def theory_trial(edges: DataFrame, labels: DataFrame, alpha: float, seed: int, method: str = "paper", detect: bool = False) -> dict:
+    """Predictions, what sampling did, and the changes of q: one row of the prediction experiment.  detect: communities are
+    also found on both graphs, and their q on the original one compared."""
     edges, labels = stored(edges, "edges"), stored(labels, "labels")
     sparse = stored(sparsify(edges, method, alpha, seed), "sparse")
     t, o, r = _first(theory(edges, labels)), _first(observed(edges, sparse, labels)), _first(reconstruction(edges, sparse, labels))
-    return {"retention": alpha, "seed": seed, **t, **o, **r, "ratio_prediction_error": abs(o["ratio"] - t["ratio_predicted"]), "f_prediction_error": abs(r["df"] - t["f_improvement"])}
+    q = {}
+    if detect:
+        before, after = (stored(detected(g, seed=seed), "found") for g in (edges, sparse))
+        q = {"q_leiden_original": modularity_terms(edges, before).first()["q"], "q_leiden_sparse": modularity_terms(edges, after).first()["q"]}
+        q["dq_leiden"] = q["q_leiden_sparse"] - q["q_leiden_original"]
+    return {"retention": alpha, "seed": seed, **t, **o, **r, **q, "ratio_prediction_error": abs(o["ratio"] - t["ratio_predicted"]), "f_prediction_error": abs(r["df"] - t["f_improvement"])}
 
 
 def recovery_trial(edges: DataFrame, truth: DataFrame, baseline: DataFrame, alpha: float, seed: int, dataset: str, method: str = "paper") -> dict:
@@ -91,10 +105,90 @@ def community_trial(edges: DataFrame, labels: DataFrame, alpha: float, seed: int
 def citation_row(edges: DataFrame, baseline: DataFrame, method: str, alpha: float, seed: int) -> dict:
     """One method at one retention against the original partition."""
     sparse = stored(sparsify(edges, method, alpha, seed), "sparse")
-    found = stored(detected(sparse, seed=seed), "found")
+    return _citation_row(edges, sparse, baseline, detected(sparse, seed=seed), method, f"r={alpha}")
+
+
+def planted_trial(spark: SparkSession, n: int, mu: float, strength: float, retention: float, seed: int, rewired: bool = True) -> dict:
+    """community_trial of a planted graph, rewired to hubs or not, cut to its largest component; ValueError without edges."""
+    edges, labels = planted_power_law(spark, n, mu, seed=seed)
+    edges = stored(rewired_to_hubs(edges, labels, strength, seed=seed) if rewired else edges, "planted")
+    edges = stored(induced(edges, largest_component(edges)), "largest")
+    if not edges.limit(1).count():
+        raise ValueError("the planted graph has no edges")
+    return {"n": n, "mu": mu, "strength": strength, **community_trial(edges, labels, retention, seed)}
+
+
+def _citation_row(edges: DataFrame, sparse: DataFrame, baseline: DataFrame, found: DataFrame, method: str, param: str) -> dict:
+    found = stored(found, "found")
     kept = preservation(edges, sparse, baseline, empty_rate=1.0).first()
     parts = component_labels(sparse).select("component").distinct().count()
-    return {"method": method, "param": f"r={alpha}", "edges": sparse.count(), "edge_pct": 100.0 * sparse.count() / edges.count(), "cc": parts, "communities": found.select("comm").distinct().count(), "modularity": modularity_terms(sparse, found).first()["q"], "nmi": nmi(baseline, found).first()[0], "ari": ari(baseline, found).first()[0], "intra_pct": 100 * kept["intra_rate"], "inter_pct": 100 * kept["inter_rate"], "ratio": kept["ratio"]}
+    m, all_m = sparse.count(), edges.count()
+    return {"method": method, "param": param, "edges": m, "edge_pct": 100.0 * m / all_m, "cc": parts, "communities": found.select("comm").distinct().count(), "modularity": modularity_terms(sparse, found).first()["q"], "nmi": nmi(baseline, found).first()[0], "ari": ari(baseline, found).first()[0], "intra_pct": 100 * kept["intra_rate"], "inter_pct": 100 * kept["inter_rate"], "ratio": kept["ratio"]}
+
+
+def prediction_grid(alphas: int = 15, runs: int = 10) -> list[tuple[float, int]]:
+    """(alpha, seed): alphas evenly from 0.3 to 1, seeds floor(1e5 alpha) + run."""
+    steps = [0.3 + 0.7 * i / max(1, alphas - 1) for i in range(alphas)]
+    return [(a, int(a * 100_000) + run) for a in steps for run in range(runs)]
+
+
+def community_grid(sizes: dict[int, int] | None = None) -> list[dict]:
+    """Configurations of planted graphs by nodes and replicates: five mixings and two retentions, each as it is and rewired to
+    hubs with three strengths.  Its seed is the same for both kinds of a strength, and differs by retention."""
+    out = []
+    for n, replicates in (sizes or {1_000: 10, 10_000: 3}).items():
+        for kind, strengths in (("standard", (1.0,)), ("modified", (1.0, 2.0, 4.0))):
+            for mu, h, alpha, rep in product((0.1, 0.2, 0.3, 0.4, 0.5), strengths, (0.5, 0.8), range(replicates)):
+                out.append({"n": n, "kind": kind, "mu": mu, "strength": h, "retention": alpha, "replicate": rep, "seed": crc32(f"{n}|{mu}|{h}|{alpha}|{rep}".encode()) & 0x7FFFFFFF})
+    return out
+
+
+def recovery_grid(datasets: Iterable[str] = ("karate", "dolphins", "football", "polbooks", "email-Eu-core"), alphas: Iterable[float] = (0.5, 0.8), runs: int = 10) -> list[tuple[str, float, int]]:
+    """(dataset, alpha, seed)."""
+    return list(product(datasets, alphas, range(runs)))
+
+
+def scaling_grid(datasets: Iterable[str], methods: Iterable[str] = ("paper", "uniform_random", "degree_sampling", "spectral"), alphas: Iterable[float] = (0.2, 0.4, 0.6, 0.8, 1.0), runs: int = 3) -> list[tuple[str, str, float, int]]:
+    """(dataset, method, alpha, seed)."""
+    return list(product(datasets, methods, alphas, range(runs)))
+
+
+def citation_grid(edges: DataFrame, seed: int = 42, retentions: Iterable[float] = (0.9, 0.75, 0.5), epsilons: Iterable[float] = (0.75, 1.0, 1.5), resolutions: Iterable[float] = (0.1, 0.01, 0.001)) -> DataFrame:
+    """A row for each method and retention, and each strength of the spectral method, against the original partition; then a
+    sweep of CPM resolutions on the sparse graph with the best modularity."""
+    edges = stored(edges.select("src", "dst"), "edges")
+    baseline = stored(detected(edges, seed=seed), "baseline")
+    rows, kept = [], {}
+    for method, alpha in product(("paper", "probabilistic_no_replace", "deterministic"), retentions):
+        kept[method, f"r={alpha}"] = stored(sparsify(edges, method, alpha, seed), "sparse")
+    for epsilon in epsilons:
+        kept["spectral", f"eps={epsilon}"] = stored(spectral(edges, epsilon, seed), "sparse")
+    for (method, param), sparse in kept.items():
+        rows.append(_citation_row(edges, sparse, baseline, detected(sparse, seed=seed), method, param))
+    best = max(rows, key=lambda r: r["modularity"])
+    for gamma in resolutions:
+        sparse = kept[best["method"], best["param"]]
+        rows.append(_citation_row(edges, sparse, baseline, detected(sparse, gamma, True, seed), f"{best['method']}+cpm", f"{best['param']} gamma={gamma}"))
+    return edges.sparkSession.createDataFrame(rows)
+
+
+def run_datasets(spark: SparkSession, load: Callable[[str], tuple[DataFrame, DataFrame]], names: Iterable[str], trial: Callable[..., dict], grid: Iterable[tuple], seconds: float = 3600) -> DataFrame:
+    """Rows of trial(edges, labels, *arguments) for every dataset and entry of the grid, with ``dataset``; a dataset that takes
+    longer than that, or whose files can't be read, gives no rows."""
+    rows: list[dict] = []
+    grid = list(grid)
+    for name in names:
+
+        def one(name=name) -> list[dict]:
+            edges, labels = load(name)
+            edges, labels = stored(edges, "edges"), stored(labels, "labels")
+            return [{"dataset": name, **trial(edges, labels, *arguments)} for arguments in grid]
+
+        try:
+            rows += limited(spark, seconds, one) or []
+        except (ValueError, AnalysisException):
+            continue
+    return spark.createDataFrame(rows) if rows else spark.createDataFrame([], "dataset string")
 
 
 def run_grid(trial, grid: Iterable[tuple], spark: SparkSession) -> DataFrame:

@@ -1,13 +1,20 @@
 """Readers of edge lists, labels and communities.
 
 Lines that don't parse are passed over, as are blank lines and comments; ids become long.  Paths are anything that
-Spark reads, gzip included.
+Spark reads, gzip included, and zip and tar archives: of those the members are read whose names end in one of the endings
+that a reader asks for.
 """
 
 from __future__ import annotations
 
+import io
 import re
+import tarfile
+import zipfile
+from collections.abc import Iterable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +26,49 @@ def sniffed() -> Column:
     return F.when(F.contains(F.col("line"), F.lit(",")), F.split("line", r"\s*,\s*")).when(F.contains(F.col("line"), F.lit("\t")), F.split("line", r"\t+")).otherwise(F.split("line", r"\s+"))
 
 
-def _lines(spark: SparkSession, path: str, comment: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "[\r\n]+$", "")).alias("line"))
+def _members(content: bytes, endings: tuple[str, ...]) -> Iterator[Iterable[bytes]]:
+    """The lines of each member of a zip or tar archive, by name."""
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for name in sorted(n for n in archive.namelist() if n.endswith(endings)):
+                with archive.open(name) as lines:
+                    yield lines
+    else:
+        with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+            for member in sorted((m for m in archive.getmembers() if m.isfile() and m.name.endswith(endings)), key=lambda m: m.name):
+                yield archive.extractfile(member)
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch], endings: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column("content").to_pylist():
+            lines: list[str] = []
+            for member in _members(content, endings):
+                for line in member:
+                    lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
+                    if len(lines) >= 65536:
+                        yield pa.RecordBatch.from_arrays([pa.array(lines)], names=["value"])
+                        lines = []
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+
+def raw_lines(spark: SparkSession, path: str, endings: tuple[str, ...] = ("",)) -> DataFrame:
+    """(value) of a text file's lines, or of an archive's members; an archive is unpacked by one task, and may have 2 GB."""
+    if not path.endswith((".zip", ".tgz", ".tar", ".tar.gz")):
+        return spark.read.text(path)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(partial(_unpacked, endings=endings), "value string")
+
+
+def _lines(spark: SparkSession, path: str, comment: str, endings: tuple[str, ...] = ("",)) -> DataFrame:
+    lines = raw_lines(spark, path, endings).select(F.trim(F.regexp_replace("value", "[\r\n]+$", "")).alias("line"))
     return lines.filter((F.col("line") != "") & ~F.substring("line", 1, 1).isin(*comment)) if comment else lines.filter("line <> ''")
 
 
-def read_pairs(spark: SparkSession, path: str, comment: str = "#", separator: str = r"\s+", sniff: bool = False) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, comment: str = "#", separator: str = r"\s+", sniff: bool = False, endings: tuple[str, ...] = ("",)) -> DataFrame:
     """(src, dst) as they stand in the file, repeats and loops included.  comment: characters that begin a comment; of a
     line only the first two fields are read."""
     parts = sniffed() if sniff else F.split("line", separator)
-    fields = _lines(spark, path, comment).select(parts.alias("f")).select(F.try_element_at("f", F.lit(1)).alias("a"), F.try_element_at("f", F.lit(2)).alias("b"))
+    fields = _lines(spark, path, comment, endings).select(parts.alias("f")).select(F.try_element_at("f", F.lit(1)).alias("a"), F.try_element_at("f", F.lit(2)).alias("b"))
     return fields.select(F.expr("try_cast(a AS long)").alias("src"), F.expr("try_cast(b AS long)").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
 
 
@@ -49,30 +89,30 @@ def read_snap(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_network_repository(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """.edges and .mtx files; a size line of .mtx reads as an edge, and as a self-loop it only adds its id."""
-    return dense_graph(read_pairs(spark, path, "%#"))
+    return dense_graph(read_pairs(spark, path, "%#", endings=(".edges", ".mtx")))
 
 
 def read_classic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return dense_graph(read_pairs(spark, path, "%#", sniff=True))
+    return dense_graph(read_pairs(spark, path, "%#", sniff=True, endings=(".edges", ".mtx", ".txt", ".csv")))
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def _numbered_lines(spark: SparkSession, path: str, endings: tuple[str, ...] = ("",)) -> DataFrame:
     """(line_no, line) in file order: a single file's rows come in order of their blocks."""
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    raw = raw_lines(spark, path, endings).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
     return numbered(raw, ["at"], "line_no").select("line_no", F.regexp_replace("line", "\r$", "").alias("line"))
 
 
-def read_citations(spark: SparkSession, content: str, cites: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, labels, ids) of a .content and a .cites file: ids are numbered as they stand in content, the last column's
+def read_citations(spark: SparkSession, content: str, cites: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, labels, ids) of a .content and a .cites file, or of an archive that holds both: ids are numbered as they stand in content, the last column's
     classes by name; citations with an unknown end go."""
-    fields = _numbered_lines(spark, content).filter("trim(line) <> ''").select("line_no", F.split("line", "\t").alias("f"))
+    fields = _numbered_lines(spark, content, (".content",)).filter("trim(line) <> ''").select("line_no", F.split("line", "\t").alias("f"))
     known = fields.select("line_no", F.col("f")[0].alias("name"), F.element_at("f", -1).alias("class"))
     known = known.groupBy("name").agg(F.min("line_no").alias("line_no"), F.min_by("class", "line_no").alias("class"))
     ids = numbered(known, ["line_no"], "new_id")
     classes = ids.select("class").distinct()
     classes = numbered(classes, ["class"], "comm")
     labels = ids.join(F.broadcast(classes), "class").select(F.col("new_id").alias("id"), "comm")
-    pair = _lines(spark, cites, "").select(F.split("line", r"\s+").alias("f")).filter("size(f) >= 2").select(F.col("f")[0].alias("a"), F.col("f")[1].alias("b"))
+    pair = _lines(spark, cites or content, "", (".cites",)).select(F.split("line", r"\s+").alias("f")).filter("size(f) >= 2").select(F.col("f")[0].alias("a"), F.col("f")[1].alias("b"))
     a, b = ids.select(F.col("name").alias("a"), F.col("new_id").alias("src")), ids.select(F.col("name").alias("b"), F.col("new_id").alias("dst"))
     return canonical(pair.join(a, "a").join(b, "b").select("src", "dst")), labels, ids.select(F.col("name").alias("id"), "new_id")
 

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import escaped, mean_std
 from ..operators.edges import symmetric
 
 
+#: Rows of a LaTeX table.
+MAX_ROWS = 1000
+
+
+def read_trials(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that write_table wrote as CSV; lines that don't fit the schema fail."""
+    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
+
+
 def write_edges(edges: DataFrame, path: str, both: bool = False) -> None:
     """``src dst`` lines; both: each edge in both directions, without weights."""
     rows = symmetric(edges.select("src", "dst")) if both else edges
@@ -25,9 +34,24 @@ def append_trials(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("dataset").parquet(path)
 
 
-def latex_table(summary: DataFrame, key: str, metrics: list[str], caption: str, digits: int = 3) -> str:
-    """A LaTeX table of ``metric_mean`` and ``metric_std`` columns, a row a key.  The summary must be small: it is collected."""
-    rows = summary.orderBy(key).limit(1000).collect()
+def latex_table(summary: DataFrame, key: str, metrics: list[str], caption: str, digits: int = 3, order: str | None = None) -> str:
+    """A LaTeX table of ``metric_mean`` and ``metric_std`` columns, a row a key, in order of order, largest first, or of the
+    key.  The summary is collected: ValueError if it has more than MAX_ROWS rows."""
+    rows = summary.orderBy(*([F.desc(order)] if order else []), key).limit(MAX_ROWS + 1).collect()
+    if len(rows) > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} rows")
     head = " & ".join(escaped(x) for x in (key, *metrics))
     body = "\n".join(" & ".join([escaped(str(r[key])), *(mean_std(r[f"{m}_mean"], r[f"{m}_std"], digits) for m in metrics)]) + r" \\" for r in rows)
     return f"\\begin{{table}}\n\\caption{{{escaped(caption)}}}\n\\begin{{tabular}}{{l{'r' * len(metrics)}}}\n\\toprule\n{head} \\\\\n\\midrule\n{body}\n\\bottomrule\n\\end{{tabular}}\n\\end{{table}}\n"
+
+
+def wide_latex(summary: DataFrame, key: str, across: str, metric: str, caption: str, digits: int = 3) -> str:
+    """A LaTeX table of one metric's means and deviations: a row a key, a column for each value of across; MAX_ROWS cells."""
+    rows = summary.select(key, across, f"{metric}_mean", f"{metric}_std").limit(MAX_ROWS + 1).collect()
+    if len(rows) > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} cells")
+    cells = {(r[0], r[1]): mean_std(r[2], r[3], digits) for r in rows}
+    columns, keys = sorted({c for _, c in cells}), sorted({k for k, _ in cells})
+    body = "\n".join(" & ".join([escaped(str(k)), *(cells.get((k, c), "--") for c in columns)]) + r" \\" for k in keys)
+    head = " & ".join([escaped(key), *(escaped(str(c)) for c in columns)])
+    return f"\\begin{{table}}\n\\caption{{{escaped(caption)}}}\n\\begin{{tabular}}{{l{'r' * len(columns)}}}\n\\toprule\n{head} \\\\\n\\midrule\n{body}\n\\bottomrule\n\\end{{tabular}}\n\\end{{table}}\n"
