@@ -493,6 +493,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, hot:
     final = component_labels(links.unionByName(more).select(F.col("u").alias("src"), F.col("v").alias("dst")))
     every = classes.filter("n > 0").join(final.select(F.col("id").alias("cls"), "component"), "cls", "left")
     every = every.select("cls", F.coalesce("component", "cls").alias("comp"), "least", "copies")
-    comps = every.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).filter("rows > 1")
-    linked = every.join(comps, "comp").select("cls", "component_id")
+    comps = stored(every.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows"), F.count("*").alias("count")).filter("rows > 1"), "comps")
+    linked = keyed_join(every, comps, "comp", comps.agg(F.sum("count")).first()[0] or 0, ["cls"]).select("cls", "component_id")
     return known.join(linked, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
