@@ -1,11 +1,16 @@
 import os
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+from corpus import documents, frame  # noqa: E402
+
 DATA = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 def test_stages(spark):
     import corpus_pipeline as P
 
@@ -25,3 +30,29 @@ def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Each stage by itself on nulls, repeated rows, empty and long texts and columns of clashing names, and on no rows: what it
+    drops and masks is what was planted, and nothing else."""
+    import corpus_pipeline as P
+
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = documents() + [(5001, f"before {item} after", "en", "s0", 3), (5002, 'x y password = "hunter22"', "en", "s0", 3)]
+    docs = frame(spark, rows)
+    for some in (docs, docs.limit(0)):
+        out = {name: stage(spark, some, str(tmp_path)) for name, stage in P.STAGES}
+        assert all(out[k].columns == docs.columns for k in list(out)[:-1])
+        kept = {k: sorted(((r.doc_id, r.text) for r in df.collect()), key=str) for k, df in out.items() if k != "mix"}
+        if some is not docs:
+            assert not any(kept.values()) and out["mix"].count() == 0
+            continue
+        every = sorted(((r[0], r[1]) for r in rows), key=str)
+        assert kept["quality"] == every  # no labels, so nothing is rejected
+        assert kept["benchmark"] == [r for r in every if r[0] != 5001]
+        assert kept["secrets"] == sorted(((i, t if i != 5002 else 'x y password = "[SECRET]"') for i, t in every), key=str)
+        gone = {r.doc_id for r in P.jaccard_components(docs).filter("doc_id <> component_id").collect()}
+        assert gone and kept["near_duplicates"] == [r for r in every if r[0] not in gone]
+        assert all(1 <= r.copies <= 3 for r in out["mix"].collect())
