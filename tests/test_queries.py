@@ -89,10 +89,10 @@ def test_whole_trade_graph(spark):
         root[b] = a
     parts = {x: top(x) for x in root}
     run = lambda name: catalog.queries()[name](spark, DATA).collect()
-    assert {r.id: r.component for r in run("trade_components")} == parts
+    assert {r.id: r.component for r in run("connected_components")} == parts
     sizes = {c: list(parts.values()).count(c) for c in set(parts.values())}
     most = min(sizes, key=lambda c: (-sizes[c], c))
-    assert {r.id for r in run("trade_largest_component")} == {x for x, c in parts.items() if c == most}
+    assert {r.id for r in run("largest_component")} == {x for x, c in parts.items() if c == most}
     found = run("trade_resistance")
     assert sorted((r.src, r.dst) for r in found) == sorted(edges)
     # resistances of all edges add up to nodes less components

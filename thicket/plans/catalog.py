@@ -279,26 +279,23 @@ def ari(spark, d):
     return rounded(agreement.ari(*_two(spark, d)))
 
 
-_FEW = f"few AS (SELECT src, dst FROM scored, size WHERE {UNIFORM} < least(1.0, score / n * ceil(0.02::DOUBLE * m)))"
-_REACH = """
-ways AS (SELECT src AS a, dst AS b FROM few UNION ALL SELECT dst, src FROM few),
-reach(id, root) AS (SELECT DISTINCT a, a FROM ways UNION SELECT b, root FROM reach JOIN ways ON id = a WHERE root < b),
-comp AS (SELECT id, min(root) AS component FROM reach GROUP BY id)
+_COMPONENTS = """
+ways AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges),
+comp(id, component) USING KEY (id) AS (
+  SELECT DISTINCT a, a FROM ways
+  UNION SELECT w.b, min(c.component) FROM comp c JOIN ways w ON c.id = w.a JOIN recurring.comp r ON r.id = w.b WHERE c.component < r.component GROUP BY w.b)
 """
+RECURSIVE = TRADE.replace("WITH", "WITH RECURSIVE", 1) + "," + _COMPONENTS
 
 
-def _few(spark: SparkSession, d: str) -> DataFrame:
-    return S.bernoulli(derived.trade(spark, d), 0.02)
-
-
-@query(TRADE.replace("WITH", "WITH RECURSIVE", 1) + "," + _FEW + "," + _REACH + "SELECT id, component FROM comp")
+@query(RECURSIVE + "SELECT id, component FROM comp")
 def connected_components(spark, d):
-    return components.component_labels(_few(spark, d))
+    return components.component_labels(derived.trade(spark, d))
 
 
-@query(TRADE.replace("WITH", "WITH RECURSIVE", 1) + "," + _FEW + "," + _REACH + "SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
+@query(RECURSIVE + "SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 def largest_component(spark, d):
-    return registry.largest_component(_few(spark, d))
+    return registry.largest_component(derived.trade(spark, d))
 
 
 @query(TRADE + "SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM deg")
@@ -500,10 +497,9 @@ def subset_test(spark, d):
     return E.is_subset(S.top_k(edges, 0.5), edges)
 
 
-@query(TRADE.replace("WITH", "WITH RECURSIVE", 1) + "," + _FEW + "," + _REACH + "SELECT (SELECT count(*) FROM comp) AS n, (SELECT count(*) FROM few) AS m, count(DISTINCT component) AS components, count(DISTINCT component) <= 1 AS connected FROM comp")
-def few_graph_counts(spark, d):
-    """The counts of few edges, as recursion takes no more; trade_graph_counts has those of all."""
-    return components.graph_counts(stored(_few(spark, d), "few"))
+@query(RECURSIVE + ", parts AS (SELECT count(*) + (SELECT count(*) FROM places ANTI JOIN deg USING (id)) AS components FROM comp WHERE id = component) SELECT (SELECT count(*) FROM places) AS n, (SELECT count(*) FROM edges) AS m, components, components <= 1 AS connected FROM parts")
+def graph_counts(spark, d):
+    return components.graph_counts(stored(derived.trade(spark, d), "edges"), derived.trade_nodes(spark, d))
 
 
 @query(TRADE + "SELECT src, dst FROM (SELECT src, dst FROM edges ORDER BY " + H60.format(keys="src, dst", seed=42) + ", src, dst LIMIT (SELECT (2 * m)::BIGINT // 6 FROM size)) UNION ALL SELECT dst, src FROM (SELECT src, dst FROM edges ORDER BY " + H60.format(keys="src, dst", seed=42) + ", src, dst LIMIT (SELECT (2 * m)::BIGINT // 6 FROM size))")
@@ -673,17 +669,6 @@ def effective_resistance(spark, d):
     return rounded(resistance.exact(edges.withColumn("graph_id", F.lit("karate"))), 6)
 
 
-@query()
-def trade_components(spark, d):
-    """Of the whole graph; connected_components has its SQL over few edges, as recursion takes no more."""
-    return components.component_labels(derived.trade(spark, d))
-
-
-@query()
-def trade_graph_counts(spark, d):
-    return components.graph_counts(stored(derived.trade(spark, d), "edges"), derived.trade_nodes(spark, d))
-
-
 @query()
 def karate_fiedler(spark, d):
     edges, _ = fixtures.karate(spark)
@@ -715,11 +700,6 @@ def scaling_trial(spark, d):
     return rounded(spark.createDataFrame([{k: v for k, v in row.items() if not k.startswith("t_") and k != "speedup"}]))
 
 
-@query()
-def trade_largest_component(spark, d):
-    return registry.largest_component(derived.trade(spark, d))
-
-
 @query()
 def trade_resistance(spark, d):
     return rounded(resistance.sketched(derived.trade(spark, d)), 6)
