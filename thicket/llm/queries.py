@@ -120,6 +120,34 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
+#: Every pair of documents with a common shingle is counted, which suits small tables only.
+_OP10 = r"""
+WITH RECURSIVE texts AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), words AS (
+  SELECT doc_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM texts
+), windows AS (
+  SELECT doc_id, n_words, spot,
+    concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w) AS shingle
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY spot)
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, shingle FROM windows WHERE spot <= greatest(n_words - 4, 1)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(shingle) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)
+), ways AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), component(id, least) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION
+  SELECT ways.b, min(c.least) FROM component c JOIN ways ON c.id = ways.a JOIN recurring.component r ON r.id = ways.b WHERE c.least < r.least GROUP BY ways.b
+)
+SELECT doc_id, n AS n_shingles, least AS component_id FROM sizes JOIN component ON doc_id = id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": _OP4, "op5_warc_writer": _OP5, "op8_url_filter": _OP8}
+    return {"op4_chat_format": _OP4, "op5_warc_writer": _OP5, "op8_url_filter": _OP8, "op10_ngram_jaccard_join": _OP10}
