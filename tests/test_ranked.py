@@ -35,6 +35,8 @@ def test_keyed_join(spark):
     for least in (1, 10, 100):
         got = sorted(tuple(r) for r in ranked.keyed_join(df, table, "k", 100, ["x"], least).collect())
         assert got == sorted((i, g, 30 if g < 3 else 1, g * 10) for i in range(98) for g in [i % 3 if i < 90 else i])
+        got = {tuple(r)[:3] for r in ranked.keyed_join(df, table, "k", 100, ["x"], least, "left").collect()}
+        assert got == {(i, g, 30 if g < 3 else 1 if g < 98 else None) for i in range(100) for g in [i % 3 if i < 90 else i]}
 
 
 def test_plans_have_no_single_task(spark):

@@ -57,8 +57,9 @@ def first_k(df: DataFrame, order: list[str], k: int, bins: int = BINS, few: int
     return df if bound is None else df.filter(up_to(order, bound))
 
 
-def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, spread: list[str], least: int = 64) -> DataFrame:
-    """rows joined with table(key, count, ...), whose count is about how many rows a key has and total the sum of them.
+def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, spread: list[str], least: int = 64, how: str = "inner") -> DataFrame:
+    """rows joined with table(key, count, ...), whose count is about how many rows a key has and total the sum of them; how is
+    inner or left.
 
     Keys that have more than one of SHARES parts of all rows are SHARES at most: they are broadcast, and their rows are dealt
     by it and the columns spread.  So no key's rows meet in one task.  Columns of the two but the key must differ.
@@ -70,4 +71,4 @@ def keyed_join(rows: DataFrame, table: DataFrame, key: str, total: int, spread:
     told = told.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(key, *spread)))
     both = told.join(table.filter(F.col("count") <= limit).withColumnRenamed(key, "_key"), "_key", "left")
     out = both.select(*rows.columns, *(F.when(F.col("_hot").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns))
-    return out.filter("count IS NOT NULL")
+    return out if how == "left" else out.filter("count IS NOT NULL")
