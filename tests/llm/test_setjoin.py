@@ -63,6 +63,14 @@ def test_hard_families(spark, cell, pivots, hot):
     assert joined(frame(spark, rows), cell=cell, pivots=pivots, hot=hot) == brute(rows)
 
 
+def test_many_copies(spark):
+    """More copies of one text, and more empty texts, than one task should take; a near copy links with the copies."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1000 - i, words, None, None, None) for i in range(90)] + [(i, (None, "", " ")[i % 3], None, None, None) for i in range(90)]
+    rows += [(5000, words + " more", None, None, None), (None, words, None, None, None), (6000, "a lone text", None, None, None)]
+    assert joined(frame(spark, rows)) == brute(rows)
+
+
 def test_buckets(spark, monkeypatch):
     """Buckets grow with the input beyond the shuffle partitions."""
     from thicket.llm import exchange

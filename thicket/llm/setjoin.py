@@ -494,5 +494,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, hot:
     every = classes.filter("n > 0").join(final.select(F.col("id").alias("cls"), "component"), "cls", "left")
     every = every.select("cls", F.coalesce("component", "cls").alias("comp"), "least", "copies")
     comps = stored(every.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows"), F.count("*").alias("count")).filter("rows > 1"), "comps")
-    linked = keyed_join(every, comps, "comp", comps.agg(F.sum("count")).first()[0] or 0, ["cls"]).select("cls", "component_id")
-    return known.join(linked, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    total, copies = comps.agg(F.sum("count"), F.sum("rows")).first()
+    linked = keyed_join(every, comps, "comp", total or 0, ["cls"]).select("cls", F.col("copies").alias("count"), "component_id")
+    # only linked classes have copies, and rows of none have no class to ask for
+    told = keyed_join(known.filter("n > 0"), stored(linked, "linked"), "cls", copies or 0, ["doc_id"], how="left").select("doc_id", "n", "component_id")
+    told = told.unionByName(known.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    return told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
