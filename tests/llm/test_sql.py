@@ -15,7 +15,7 @@ def test_same_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     got = queries.queries()[name](spark, DATA)
     found = con.execute(queries.oracle_sql()[name])

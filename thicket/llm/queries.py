@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, mixing, perplexity, resampling, secrets, urlrules, warc
+from . import chat, decontamination, lexical, licenses, mixing, perplexity, prefixtrie, resampling, secrets, urlrules, warc
 from .setjoin import jaccard_components
+from .simhash import simhash_components
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: The conversation that op4 adds: both texts look like the template's own marks.
@@ -64,13 +65,28 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components."""
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for each benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that they share first turns."""
+    return prefixtrie.prefix_trie(prefixtrie.shared_heads(_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_OPERATORS = (op1_importance_resampling, op2_source_mixing, op3_perplexity_rules, op4_chat_format, op5_warc_writer, op6_license_scan, op7_decontamination, op8_url_filter, op9_secret_scan, op10_ngram_jaccard_join)
+_OPERATORS = (op1_importance_resampling, op2_source_mixing, op3_perplexity_rules, op4_chat_format, op5_warc_writer, op6_license_scan, op7_decontamination, op8_url_filter, op9_secret_scan, op10_ngram_jaccard_join, op11_simhash_trie, op12_ranked_search, op13_prefix_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -149,5 +165,59 @@ SELECT doc_id, n AS n_shingles, least AS component_id FROM sizes JOIN component
 """
 
 
+_OP12 = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), sums AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM d
+), tf AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), sums
+), q AS (
+  SELECT DISTINCT i, item_id, term FROM (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), found AS (
+  SELECT i, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(terms) * n) // l)))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN weights USING (term) JOIN d USING (r), sums GROUP BY i, item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM found WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+_OP13 = """
+WITH turns AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'digest': digest, 'size': size} ORDER BY turn NULLS FIRST, digest) AS turns FROM turns GROUP BY conv_id
+), heads AS (  -- crc32 of the decimal conv_id, bit by bit
+  SELECT conv_id, turns, xor(list_reduce(
+    list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+    lambda crc, byte: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)),
+    4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns[:a.h], []), a.turns[a.h + 1:]) AS turns FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+), steps AS (
+  SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt
+), member AS MATERIALIZED (
+  SELECT conv_id, depth, len(turns) AS n_turns, md5(array_to_string(list_transform(turns[:depth], lambda x: x.digest), '')) AS node, CASE WHEN depth > 0 THEN turns[depth].size ELSE 0 END AS size FROM steps
+), nodes AS MATERIALIZED (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = n_turns), '')) AS ends_sha256
+  FROM member GROUP BY node, depth
+), parents AS (
+  SELECT n.node, m.node AS parent FROM nodes n JOIN member m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM parents GROUP BY parent
+), subtree AS (
+  SELECT m.node, count(*) FILTER (WHERE c.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens
+  FROM nodes n LEFT JOIN children c USING (node) JOIN member m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtree s USING (node) LEFT JOIN children c USING (node) LEFT JOIN parents USING (node) LEFT JOIN nodes p ON p.node = parents.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": _OP4, "op5_warc_writer": _OP5, "op8_url_filter": _OP8, "op10_ngram_jaccard_join": _OP10}
+    return {"op4_chat_format": _OP4, "op5_warc_writer": _OP5, "op8_url_filter": _OP8, "op10_ngram_jaccard_join": _OP10, "op12_ranked_search": _OP12, "op13_prefix_trie": _OP13}

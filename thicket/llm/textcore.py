@@ -47,9 +47,10 @@ def _power_tables() -> list[np.ndarray]:
 
 
 class Words:
-    """The words of some texts: byte spans in ``data``, their texts' numbers and 64-bit hashes."""
+    """The words of some texts: byte spans in ``data``, their texts' numbers and 64-bit hashes.  gap tells the bytes between
+    words, the line feed among them."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False, hashes: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = False, hashes: bool = True, gap: np.ndarray = _SPACE):
         joined = b"\n".join([b"", *texts, b""])
         data = np.frombuffer(joined, np.uint8)
         self.texts, self.raw = texts, data
@@ -57,7 +58,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         #: where each text begins in data
         self.begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) + 1 if len(texts) else np.zeros(0, np.int64)
-        space = _SPACE[data]
+        space = gap[data]
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.starts, self.ends = edges[0::2], edges[1::2]
         #: first word of each text, and one past the last text's
