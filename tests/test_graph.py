@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from thicket.graph import components, generators, leiden, resistance
+from thicket.graph import communities, components, generators, leiden, resistance
 from thicket.operators import statistics as T
 from thicket.operators.edges import nodes_of
 from thicket.sources import fixtures, registry
@@ -50,11 +50,58 @@ def test_leiden_small(spark):
     assert comps == found.filter("graph_id = 'k'").select("comm").distinct().count()
 
 
+def settled(edges, comm, gamma=1.0, cpm=False):
+    """Quality, whether communities are connected, and the most that a node gains by a move, by plain loops."""
+    total = 2.0 * sum(w for _, _, w in edges)
+    ways, mass = {}, {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            mass[x] = mass.get(x, 0.0) + w
+            if x != y:
+                ways.setdefault(x, []).append((y, w))
+    mass, scale = ({x: 1.0 for x in mass}, gamma) if cpm else (mass, gamma / total)
+    volume = {}
+    for x, c in comm.items():
+        volume[c] = volume.get(c, 0.0) + mass[x]
+    worst, seen = 0.0, set()
+    for x, c in comm.items():
+        to = {c: 0.0}
+        for y, w in ways.get(x, []):
+            to[comm[y]] = to.get(comm[y], 0.0) + w
+        gain = {k: w - scale * mass[x] * (volume[k] - (mass[x] if k == c else 0.0)) for k, w in to.items()}
+        worst = max(worst, max(0.0, *gain.values()) - gain[c])
+    parts = 0
+    for x in comm:
+        if x not in seen:
+            parts, todo = parts + 1, [x]
+            seen.add(x)
+            while todo:
+                for y, _ in ways.get(todo.pop(), []):
+                    if y not in seen and comm[y] == comm[x]:
+                        seen.add(y)
+                        todo.append(y)
+    quality = sum(w for a, b, w in edges if comm[a] == comm[b]) - scale / 2 * sum(v * v for v in volume.values())
+    return 2 * quality / total, parts == len(volume), worst
+
+
 def test_leiden_parallel(spark):
-    edges, labels = generators.planted_power_law(spark, 200, 0.1, average=10, most=20, seed=5)
-    found = leiden.leiden_parallel(edges, seed=2, levels=2, rounds=4).cache()
-    assert found.count() == nodes_of(edges).count()
-    assert T.modularity_terms(edges, found).first().q > 0.7 * T.modularity_terms(edges, labels).first().q
+    """Communities are connected, named by their least nodes, and no single move gains; about as good as the sequential method."""
+    edges, _ = fixtures.karate(spark)
+    plain = [(r.src, r.dst, 1.0) for r in edges.collect()]
+    found = {r.id: r.comm for r in communities.leiden_parallel(edges).collect()}
+    q, connected, gain = settled(plain, found)
+    assert set(found) == {x for a, b, _ in plain for x in (a, b)} and all(min(x for x in found if found[x] == c) == c for c in found.values())
+    small = leiden.leiden_small(edges.withColumn("graph_id", F.lit("k")))
+    assert connected and gain < 1e-8 and q > T.modularity_terms(edges, small).first().q - 0.01
+
+
+def test_leiden_parallel_weights(spark):
+    """CPM on a graph with weights, a loop and a lone pair."""
+    edges = [(a, b, 2.0) for a in range(5) for b in range(a)] + [(a + 10, b + 10, 1.0) for a in range(5) for b in range(a)] + [(0, 10, 0.5), (7, 7, 3.0), (20, 21, 0.1)]
+    found = {r.id: r.comm for r in communities.leiden_parallel(spark.createDataFrame(edges, "src long, dst long, weight double"), 0.4, True).collect()}
+    assert found == {**{x: 0 for x in range(5)}, **{x: 10 for x in range(10, 15)}, 7: 7, 20: 20, 21: 21}
+    assert settled(edges, found, 0.4, True)[1:] == (True, 0.0)
+    assert communities.leiden_parallel(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
 def test_cpm(spark):

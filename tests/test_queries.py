@@ -46,13 +46,13 @@ def test_trials(spark):
     edges, labels = fixtures.karate(spark)
     row = experiments.theory_trial(edges, labels, 0.5, 1)
     assert row["m"] == 78 and row["epsilon"] < 1e-10
-    base = experiments.detected(edges)
-    found = experiments.scaling_trial(edges, base, 1.0, "deterministic", 0.6, 1, "karate")
+    base = experiments.detected(edges, small=True)
+    found = experiments.scaling_trial(edges, base, 1.0, "deterministic", 0.6, 1, "karate", small=True)
     assert found["m_sparse"] == 47 and found["speedup"] > 0
-    found = experiments.recovery_trial(edges, labels, base, 0.8, 1, "karate")
+    found = experiments.recovery_trial(edges, labels, base, 0.8, 1, "karate", small=True)
     assert 0 <= found["nmi_sparse"] <= 1
     assert experiments.community_trial(edges, labels, 0.5, 3)["epsilon"] < 1e-10
-    assert experiments.citation_row(edges, base, "uniform_random", 0.5, 1)["edges"] == 39
+    assert experiments.citation_row(edges, base, "uniform_random", 0.5, 1, small=True)["edges"] == 39
     grid = experiments.run_grid(lambda a: {"alpha": a, "budget": __import__("thicket.operators.sparsify").operators.sparsify.budget(a, 10)}, [(0.5,), (2.0,)], spark)
     assert grid.count() == 1
 

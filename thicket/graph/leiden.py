@@ -1,9 +1,7 @@
-"""Community detection by the Leiden method: modularity or constant Potts model (CPM).
+"""Community detection in many small graphs, each by one task, by the sequential Leiden method: modularity or CPM.
 
-``leiden_small`` runs the sequential method, seeded, for every graph of a table at once, a graph a task: moves, refinement
-within communities, and aggregation.  ``leiden_parallel`` keeps a graph of any size in DataFrames: nodes move in
-rounds, half of them at a time, communities that fall apart are split into their connected parts (a simplification of
-the refinement), and communities are merged to nodes for the next level.
+``leiden_small`` is seeded and goes through moves, refinement within communities, and aggregation.  A single graph of any size
+is for ``communities.leiden_parallel``.
 """
 
 from __future__ import annotations
@@ -13,9 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import hash_integer
-from ..storage import stored
-from .components import component_labels
 
 #: Edges of a graph that one task takes.
 MAX_SMALL = 5_000_000
@@ -134,52 +129,6 @@ def leiden_small(edges: DataFrame, resolution: float = 1.0, cpm: bool = False, s
     return weighted.select("graph_id", "src", "dst", "weight").groupBy("graph_id").applyInPandas(one, "graph_id string, id long, comm long")
 
 
-def leiden_parallel(edges: DataFrame, resolution: float = 1.0, cpm: bool = False, seed: int = 0, levels: int = 4, rounds: int = 6) -> DataFrame:
-    """(id, comm): comm is the least node of the community."""
-    level = edges.select("src", "dst", (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).alias("w"))
-    level = stored(level, "level")
-    total = 2.0 * (level.agg(F.sum("w")).first()[0] or 0.0)
-    ids = level.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    member = ids.select("id", F.col("id").alias("node"))
-    ends = level.select(F.explode(F.array(F.struct(F.col("src").alias("id"), "w"), F.struct(F.col("dst").alias("id"), "w"))).alias("x"))
-    mass = ends.groupBy("x.id").agg(F.sum("x.w").alias("degree")).select("id", (F.lit(1.0) if cpm else F.col("degree")).alias("mass"))
-    mass = stored(mass, "mass")
-    scale = 1.0 if cpm else (1.0 / total if total else 0.0)
-    for step in range(levels):
-        both = stored(level.filter("src <> dst").select("src", "dst", "w").unionByName(level.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "both")
-        state = mass.select("id", F.col("id").alias("comm"), "mass")
-        moved_any = False
-        for k in range(rounds):
-            volume = state.groupBy("comm").agg(F.sum("mass").alias("vol"))
-            to = both.join(state.select(F.col("id").alias("dst"), "comm"), "dst").groupBy(F.col("src").alias("id"), "comm").agg(F.sum("w").alias("k"))
-            own = state.select("id", F.col("comm").alias("now"), "mass")
-            seen = to.join(own, "id").unionByName(own.select("id", F.col("now").alias("comm"), F.lit(0.0).alias("k"), "now", "mass"))
-            seen = seen.groupBy("id", "comm", "now", "mass").agg(F.sum("k").alias("k")).join(volume, "comm")
-            left = F.col("vol") - F.when(F.col("comm") == F.col("now"), F.col("mass")).otherwise(0.0)
-            gain = F.round(F.col("k") - resolution * F.col("mass") * left * scale, 9)
-            best = seen.withColumn("gain", gain).groupBy("id", "now", "mass").agg(F.max(F.struct("gain", (-F.col("comm")).alias("minus"))).alias("best"), F.max(F.when(F.col("comm") == F.col("now"), F.col("gain"))).alias("stay"))
-            turn = F.pmod(hash_integer(seed + 31 * step + k, "id"), F.lit(2)) == 0
-            move = (F.col("best.gain") > F.col("stay")) & turn
-            after = stored(best.select("id", F.when(move, -F.col("best.minus")).otherwise(F.col("now")).alias("comm"), "mass", move.alias("moved")), "moves")
-            changed = after.filter("moved").limit(1).count()
-            moved_any = moved_any or bool(changed)
-            state = after.select("id", "comm", "mass")
-            if not changed and k % 2:
-                break
-        if not moved_any:
-            break
-        inside = level.join(state.select(F.col("id").alias("src"), F.col("comm").alias("a")), "src").join(state.select(F.col("id").alias("dst"), F.col("comm").alias("b")), "dst").filter("a = b")
-        parts = component_labels(inside.select("src", "dst"))
-        top = stored(state.select("id", "mass").join(parts, "id", "left").select("id", "mass", F.coalesce("component", "id").alias("top")), "tops")
-        member = stored(member.join(top.select(F.col("id").alias("node"), "top"), "node").select("id", F.col("top").alias("node")), "member")
-        mass = stored(top.groupBy(F.col("top").alias("id")).agg(F.sum("mass").alias("mass")), "mass")
-        a, b = top.select(F.col("id").alias("src"), F.col("top").alias("a")), top.select(F.col("id").alias("dst"), F.col("top").alias("b"))
-        merged = level.join(a, "src").join(b, "dst")
-        level = stored(merged.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")), "level")
-    least = member.groupBy("node").agg(F.min("id").alias("comm"))
-    return member.join(least, "node").select("id", "comm")
-
-
 def bisection(src: np.ndarray, dst: np.ndarray, n: int, seed: int = 0) -> list[int]:
     """Kernighan-Lin: two halves of 0 to n-1 with few edges between, by the best prefix of pair swaps."""
     side = np.zeros(n, int)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import scientific, title
-from ..graph import components, generators, leiden, resistance
+from ..graph import communities, components, generators, leiden, resistance
 from ..operators import agreement, degrees, edges as E, sparsify as S, statistics as T, summaries as M
 from ..sources import derived, files, fixtures, registry, sinks
 from ..storage import shared_folder, stored
@@ -689,14 +689,14 @@ def planted_trial(spark, d):
 @query()
 def recovery_trial(spark, d):
     edges, labels = fixtures.karate(spark)
-    return rounded(spark.createDataFrame([experiments.recovery_trial(edges, labels, experiments.detected(edges), 0.8, 1, "karate")]))
+    return rounded(spark.createDataFrame([experiments.recovery_trial(edges, labels, experiments.detected(edges, small=True), 0.8, 1, "karate", small=True)]))
 
 
 @query()
 def scaling_trial(spark, d):
     """Without its times, which no two runs share."""
     edges, _ = fixtures.karate(spark)
-    row = experiments.scaling_trial(edges, experiments.detected(edges), 1.0, "deterministic", 0.6, 1, "karate")
+    row = experiments.scaling_trial(edges, experiments.detected(edges, small=True), 1.0, "deterministic", 0.6, 1, "karate", small=True)
     return rounded(spark.createDataFrame([{k: v for k, v in row.items() if not k.startswith("t_") and k != "speedup"}]))
 
 
@@ -707,7 +707,7 @@ def trade_resistance(spark, d):
 
 @query()
 def trade_cpm(spark, d):
-    return leiden.leiden_parallel(derived.trade(spark, d), 0.1, True)
+    return communities.leiden_parallel(derived.trade(spark, d), 0.1, True)
 
 
 @query()
@@ -717,7 +717,7 @@ def spectral_sparsify(spark, d):
 
 @query()
 def leiden_communities(spark, d):
-    return experiments.detected(derived.trade(spark, d), seed=1)
+    return communities.leiden_parallel(derived.trade(spark, d))
 
 
 @query()

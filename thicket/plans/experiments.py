@@ -11,9 +11,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph.communities import leiden_parallel
 from ..graph.components import component_labels
 from ..graph.generators import planted_power_law, rewired_to_hubs
-from ..graph.leiden import leiden_parallel, leiden_small
+from ..graph.leiden import leiden_small
 from ..graph.resistance import spectral
 from ..operators.agreement import ari, nmi
 from ..operators.degrees import graph_size, scored
@@ -43,10 +44,10 @@ def sampled_trials(edges: DataFrame, labels: DataFrame, alphas: Iterable[float],
     return trials.join(F.broadcast(f0)).select("alpha", "seed", "m", "m_sparse", "intra", "inter", f.alias("f"), (f - F.col("f0")).alias("df"))
 
 
-def detected(edges: DataFrame, resolution: float = 1.0, cpm: bool = False, seed: int = 0, parallel: bool = False) -> DataFrame:
-    """(id, comm): by the sequential method, in one task, or by the parallel one, for graphs of any size."""
-    if parallel:
-        return leiden_parallel(edges, resolution, cpm, seed)
+def detected(edges: DataFrame, resolution: float = 1.0, cpm: bool = False, seed: int = 0, small: bool = False) -> DataFrame:
+    """(id, comm), in DataFrames; small: by the sequential method in one task, which the seed orders, for graphs of experiments."""
+    if not small:
+        return leiden_parallel(edges, resolution, cpm)
     return leiden_small(edges.select(F.lit("g").alias("graph_id"), "src", "dst"), resolution, cpm, seed).select("id", "comm")
 
 
@@ -54,7 +55,7 @@ def _first(df: DataFrame, prefix: str = "") -> dict:
     return {prefix + k: v for k, v in df.first().asDict().items()}
 
 
-def theory_trial(edges: DataFrame, labels: DataFrame, alpha: float, seed: int, method: str = "paper", detect: bool = False) -> dict:
+def theory_trial(edges: DataFrame, labels: DataFrame, alpha: float, seed: int, method: str = "paper", detect: bool = False, small: bool = False) -> dict:
     """Predictions, what sampling did, and the changes of q: one row of the prediction experiment.  detect: communities are
     also found on both graphs, and their q on the original one compared."""
     edges, labels = stored(edges, "edges"), stored(labels, "labels")
@@ -62,30 +63,30 @@ def theory_trial(edges: DataFrame, labels: DataFrame, alpha: float, seed: int, m
     t, o, r = _first(theory(edges, labels)), _first(observed(edges, sparse, labels)), _first(reconstruction(edges, sparse, labels))
     q = {}
     if detect:
-        before, after = (stored(detected(g, seed=seed), "found") for g in (edges, sparse))
+        before, after = (stored(detected(g, seed=seed, small=small), "found") for g in (edges, sparse))
         q = {"q_leiden_original": modularity_terms(edges, before).first()["q"], "q_leiden_sparse": modularity_terms(edges, after).first()["q"]}
         q["dq_leiden"] = q["q_leiden_sparse"] - q["q_leiden_original"]
     return {"retention": alpha, "seed": seed, **t, **o, **r, **q, "ratio_prediction_error": abs(o["ratio"] - t["ratio_predicted"]), "f_prediction_error": abs(r["df"] - t["f_improvement"])}
 
 
-def recovery_trial(edges: DataFrame, truth: DataFrame, baseline: DataFrame, alpha: float, seed: int, dataset: str, method: str = "paper") -> dict:
+def recovery_trial(edges: DataFrame, truth: DataFrame, baseline: DataFrame, alpha: float, seed: int, dataset: str, method: str = "paper", small: bool = False) -> dict:
     """Agreement with the truth before and after sampling; the baseline partition is computed once by the caller."""
     sparse = stored(sparsify(edges, method, alpha, seed), "sparse")
-    after = stored(detected(sparse, seed=seed), "after")
+    after = stored(detected(sparse, seed=seed, small=small), "after")
     row = {"dataset": dataset, "alpha": alpha, "seed": seed, "m_sparse": sparse.count(), **_first(separation(edges, truth)), "hub_bridge_ratio": hub_bridge(edges, truth).first()["ratio"]}
     for name, found in (("orig", baseline), ("sparse", after)):
         row |= {f"nmi_{name}": nmi(found, truth).first()[0], f"ari_{name}": ari(found, truth).first()[0], f"q_{name}": modularity_terms(edges, found).first()["q"], f"n_communities_{name}": found.select("comm").distinct().count()}
     return row | {f"delta_{k}": row[f"{k}_sparse"] - row[f"{k}_orig"] for k in ("nmi", "ari", "q")}
 
 
-def scaling_trial(edges: DataFrame, baseline: DataFrame, t_original: float, method: str, alpha: float, seed: int, dataset: str) -> dict:
+def scaling_trial(edges: DataFrame, baseline: DataFrame, t_original: float, method: str, alpha: float, seed: int, dataset: str, small: bool = False) -> dict:
     """Times of sampling and detection, and quality of the partition found on the sparse graph."""
     began = time.perf_counter()
     sparse = stored(sparsify(edges, method, alpha, seed), "sparse")
     m_sparse = sparse.count()
     t_sparsify = time.perf_counter() - began
     began = time.perf_counter()
-    after = stored(detected(sparse, seed=seed), "after")
+    after = stored(detected(sparse, seed=seed, small=small), "after")
     n_after = after.select("comm").distinct().count()
     t_sparse = time.perf_counter() - began
     q0, fixed, found = (modularity_terms(e, p).first()["q"] for e, p in ((edges, baseline), (sparse, baseline), (sparse, after)))
@@ -102,10 +103,10 @@ def community_trial(edges: DataFrame, labels: DataFrame, alpha: float, seed: int
     return {"retention": alpha, "seed": seed, "m_edges": edges.count(), "m_sparse": sparse.count(), **_first(hub_bridge(edges, labels), "hub_"), **_first(separation(edges, labels)), **_first(reconstruction(edges, sparse, labels))}
 
 
-def citation_row(edges: DataFrame, baseline: DataFrame, method: str, alpha: float, seed: int) -> dict:
+def citation_row(edges: DataFrame, baseline: DataFrame, method: str, alpha: float, seed: int, small: bool = False) -> dict:
     """One method at one retention against the original partition."""
     sparse = stored(sparsify(edges, method, alpha, seed), "sparse")
-    return _citation_row(edges, sparse, baseline, detected(sparse, seed=seed), method, f"r={alpha}")
+    return _citation_row(edges, sparse, baseline, detected(sparse, seed=seed, small=small), method, f"r={alpha}")
 
 
 def planted_trial(spark: SparkSession, n: int, mu: float, strength: float, retention: float, seed: int, rewired: bool = True) -> dict:
@@ -153,22 +154,22 @@ def scaling_grid(datasets: Iterable[str], methods: Iterable[str] = ("paper", "un
     return list(product(datasets, methods, alphas, range(runs)))
 
 
-def citation_grid(edges: DataFrame, seed: int = 42, retentions: Iterable[float] = (0.9, 0.75, 0.5), epsilons: Iterable[float] = (0.75, 1.0, 1.5), resolutions: Iterable[float] = (0.1, 0.01, 0.001)) -> DataFrame:
+def citation_grid(edges: DataFrame, seed: int = 42, retentions: Iterable[float] = (0.9, 0.75, 0.5), epsilons: Iterable[float] = (0.75, 1.0, 1.5), resolutions: Iterable[float] = (0.1, 0.01, 0.001), small: bool = False) -> DataFrame:
     """A row for each method and retention, and each strength of the spectral method, against the original partition; then a
     sweep of CPM resolutions on the sparse graph with the best modularity."""
     edges = stored(edges.select("src", "dst"), "edges")
-    baseline = stored(detected(edges, seed=seed), "baseline")
+    baseline = stored(detected(edges, seed=seed, small=small), "baseline")
     rows, kept = [], {}
     for method, alpha in product(("paper", "probabilistic_no_replace", "deterministic"), retentions):
         kept[method, f"r={alpha}"] = stored(sparsify(edges, method, alpha, seed), "sparse")
     for epsilon in epsilons:
         kept["spectral", f"eps={epsilon}"] = stored(spectral(edges, epsilon, seed), "sparse")
     for (method, param), sparse in kept.items():
-        rows.append(_citation_row(edges, sparse, baseline, detected(sparse, seed=seed), method, param))
+        rows.append(_citation_row(edges, sparse, baseline, detected(sparse, seed=seed, small=small), method, param))
     best = max(rows, key=lambda r: r["modularity"])
     for gamma in resolutions:
         sparse = kept[best["method"], best["param"]]
-        rows.append(_citation_row(edges, sparse, baseline, detected(sparse, gamma, True, seed), f"{best['method']}+cpm", f"{best['param']} gamma={gamma}"))
+        rows.append(_citation_row(edges, sparse, baseline, detected(sparse, gamma, True, seed, small), f"{best['method']}+cpm", f"{best['param']} gamma={gamma}"))
     return edges.sparkSession.createDataFrame(rows)
 
 
