@@ -1,6 +1,7 @@
 """Readers and writers on small files."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from thicket.functions.text import mean_std, scientific, seconds
 from thicket.operators.summaries import mean_std as summary
@@ -86,9 +87,19 @@ def test_sinks(spark, tmp_path):
     sinks.write_edges(edges, str(tmp_path / "out"), both=True)
     assert len(pairs(files.read_bare(spark, str(tmp_path / "out")))) == 4
     rows = spark.createDataFrame([("a", 0.5, 1.0), ("a", 0.5, 2.0), ("b", 0.5, 3.0)], "dataset string, alpha double, q double")
-    for _ in range(2):
-        sinks.append_trials(rows, str(tmp_path / "trials"))
-    assert spark.read.parquet(str(tmp_path / "trials")).count() == 6
+    path = str(tmp_path / "trials")
+    for batch, some in (("one", rows), ("two", rows.filter("q < 3")), ("one", rows)):
+        sinks.append_trials(some, path, batch)
+        sinks.log_batch(spark, path, batch, "a", "done", some.count(), 1.5)
+    schema = "alpha double, q double"
+    assert sinks.committed(spark, path, schema).count() == 5
+    # an attempt that breaks off midway changes nothing, nor does one whose line in the log is missing
+    with pytest.raises(Exception, match="broken"):
+        sinks.append_trials(rows.withColumn("q", rows.q + F.when(rows.q > 2, F.raise_error(F.lit("broken"))).otherwise(1.0)), path, "one")
+    sinks.append_trials(rows, path, "three")
+    assert sorted(r.q for r in sinks.committed(spark, path, schema).collect()) == [1, 1, 2, 2, 3]
+    assert sorted((r.batch, r.state, r.n, r.seconds) for r in sinks.run_log(spark, path).collect()) == [("one", "done", 3, 1.5), ("two", "done", 2, 1.5)]
+    assert sinks.run_log(spark, path + "x").count() == 0 and sinks.committed(spark, path + "x", schema).count() == 0
     table = sinks.latex_table(summary(rows, ["dataset"], ["q"]), "dataset", ["q"], "100 %")
     assert r"$1.500 \pm 0.707$" in table and r"100 \%" in table and "3.000" in table
     assert mean_std(None, None) == "--" and seconds(0.25) == "250ms" and scientific(0.0) == "0" and "10^{-5}" in scientific(2e-5)

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import scientific, title
-from ..graph import communities, components, generators, leiden, resistance
-from ..operators import agreement, degrees, edges as E, sparsify as S, statistics as T, summaries as M
+from ..graph import communities, components, generators, leiden, resistance, spectrum
+from ..operators import agreement, degrees, edges as E, frontier, sparsify as S, statistics as T, summaries as M
 from ..sources import derived, files, fixtures, registry, sinks
 from ..storage import shared_folder, stored
-from . import experiments
+from . import experiments, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -614,13 +614,72 @@ def trials_as_csv(spark, d):
     return sinks.read_trials(spark, path, "alpha double, seed long, m_sparse long")
 
 
-@query(TRADE + "," + TRIALS + "SELECT 'trade' AS dataset, alpha, seed, m_sparse FROM trials WHERE alpha < 0.5 UNION ALL SELECT 'other', alpha, seed, m_sparse FROM trials WHERE alpha > 0.5")
+@query(TRADE + "," + TRIALS + "SELECT CASE WHEN alpha < 0.5 THEN 'trade' ELSE 'other' END AS dataset, alpha, seed, m_sparse FROM trials")
 def trials_appended(spark, d):
-    path = f"{shared_folder(spark)}/trials"
+    """A batch added twice counts once, and one that was left without its line in the log doesn't count."""
+    path = shared_folder(spark)
     trials = stored(_trials(spark, d).select("alpha", "seed", "m_sparse"), "trials")
-    for name, condition in (("trade", "alpha < 0.5"), ("other", "alpha > 0.5")):
-        sinks.append_trials(trials.filter(condition).withColumn("dataset", F.lit(name)), path)
-    return spark.read.schema("alpha double, seed long, m_sparse long, dataset string").parquet(path)
+    for name, condition in (("trade", "alpha < 0.5"), ("other", "alpha > 0.5"), ("trade", "alpha < 0.5")):
+        rows = trials.filter(condition).withColumn("dataset", F.lit(name))
+        sinks.append_trials(rows, path, f"{name}-1")
+        sinks.log_batch(spark, path, f"{name}-1", name, "done", rows.count())
+    sinks.append_trials(trials.withColumn("dataset", F.lit("trade")), path, "trade-2")
+    return sinks.committed(spark, path, "alpha double, seed long, m_sparse long").select("dataset", "alpha", "seed", "m_sparse")
+
+
+_RUNS = TRADE + """, grid AS (SELECT alpha::DOUBLE AS alpha, seed::BIGINT AS seed FROM (VALUES (0.3), (0.7)) a(alpha), (VALUES (42), (7)) s(seed)),
+kept AS (
+  SELECT 'probabilistic_no_replace' AS method, alpha, seed, is_intra FROM classified, grid, size WHERE """ + U.format(a="src", b="dst", seed="seed") + """ < least(1.0, score / n * ceil(alpha * m))
+  UNION ALL SELECT 'degree_sampling', alpha, seed, is_intra FROM classified, grid, size WHERE """ + U.format(a="src", b="dst", seed="seed") + """ < least(1.0, d_sum / (SELECT sum(d * d)::DOUBLE FROM deg) * ceil(alpha * m))
+  UNION ALL SELECT 'deterministic', alpha, seed, is_intra FROM (SELECT *, row_number() OVER (PARTITION BY alpha, seed ORDER BY score DESC, src, dst) AS r FROM classified, grid), size WHERE r <= ceil(alpha * m)
+  UNION ALL SELECT 'uniform_random', alpha, seed, is_intra FROM (SELECT *, row_number() OVER (PARTITION BY alpha, seed ORDER BY """ + H60.format(keys="src, dst", seed="seed") + """, src, dst) AS r FROM classified, grid), size WHERE r <= ceil(alpha * m))
+"""
+
+
+def _grid_run(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """16 trials over the trade graph in two runs: the second goes on where the first one, of every third trial, stopped."""
+    edges, labels = (stored(x) for x in _trade(spark, d))
+    ledger = shared_folder(spark)
+    grid = [("trade", {"method": m, "alpha": a, "seed": s}) for m in ("probabilistic_no_replace", "degree_sampling", "deterministic", "uniform_random") for a in (0.3, 0.7) for s in (42, 7)]
+    trial = lambda dataset, **arguments: experiments.sampling_trial(edges, labels, **arguments)
+    schema = "method string, alpha double, seed long, m_sparse long, intra long, inter long"
+    runs.run_trials(spark, trial, grid[::3], ledger, schema)
+    return runs.run_trials(spark, trial, grid, ledger, schema), ledger
+
+
+@query(_RUNS + "SELECT method, alpha, seed, count(*) AS m_sparse, count(*) FILTER (WHERE is_intra) AS intra, count(*) FILTER (WHERE NOT is_intra) AS inter FROM kept GROUP BY method, alpha, seed")
+def grid_run(spark, d):
+    return _grid_run(spark, d)[0].drop("dataset", "batch")
+
+
+@query("WITH o AS (SELECT o_orderkey, round(o_totalprice::DOUBLE, 2) AS price, sum(l_quantity::DOUBLE) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) SELECT * FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.price <= a.price AND b.quantity >= a.quantity AND (b.price < a.price OR b.quantity > a.quantity))")
+def pareto_front(spark, d):
+    """Orders of which none has more pieces for as little."""
+    orders, lines = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem"))
+    sums = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_quantity").cast("double")).alias("quantity"))
+    rows = stored(orders.select("o_orderkey", F.round(F.col("o_totalprice").cast("double"), 2).alias("price")).join(sums, "o_orderkey").select("o_orderkey", "price", "quantity"), "orders")
+    return frontier.pareto(rows, "price", "quantity")
+
+
+@query(TRADE + ", h AS (SELECT ln(d::DOUBLE) AS x, ln(count(*)::DOUBLE) AS y FROM deg GROUP BY d) SELECT count(*) AS n, round(regr_slope(y, x), 6) AS exponent, round(exp(regr_intercept(y, x)), 6) AS factor, round(regr_r2(y, x), 6) AS r2 FROM h")
+def degree_power_fit(spark, d):
+    return rounded(frontier.power_fit(degrees.degree_histogram(derived.trade(spark, d)), "d", "nodes"), 6)
+
+
+def _gml(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    path = f"{shared_folder(spark)}/gml"
+    sinks.write_gml(derived.trade_pairs(spark, d).filter("src <> dst").distinct(), derived.trade_nodes(spark, d).select("id", F.col("region").alias("value")), path)
+    return files.read_gml(spark, path)
+
+
+@query(TRADE + "SELECT src, dst FROM edges")
+def read_gml_edges(spark, d):
+    return _gml(spark, d)[0]
+
+
+@query(TRADE + "SELECT id, region AS comm FROM places")
+def read_gml_labels(spark, d):
+    return _gml(spark, d)[1]
 
 
 @query("SELECT unnest(['0', '0.12', '$1.50 \\times 10^{-5}$']) AS cell, unnest([1, 2, 3])::BIGINT AS at")
@@ -715,6 +774,14 @@ def spectral_sparsify(spark, d):
     return rounded(S.sparsify(derived.trade(spark, d), "spectral", 0.4), 6)
 
 
+@query()
+def trade_lambda2(spark, d):
+    """Second eigenvalue before and after keeping half of the edges by score."""
+    edges = derived.trade(spark, d)
+    both = [(name, *spectrum.second_eigenpair(stored(g))[:2]) for name, g in (("original", edges), ("sparse", S.top_k(edges, 0.5)))]
+    return spark.createDataFrame([(name, round(value, 5), residual < 1e-5) for name, value, residual in both], "graph string, lambda2 double, settled boolean")
+
+
 @query()
 def leiden_communities(spark, d):
     return communities.leiden_parallel(derived.trade(spark, d))

@@ -127,6 +127,13 @@ def _citation_row(edges: DataFrame, sparse: DataFrame, baseline: DataFrame, foun
     return {"method": method, "param": param, "edges": m, "edge_pct": 100.0 * m / all_m, "cc": parts, "communities": found.select("comm").distinct().count(), "modularity": modularity_terms(sparse, found).first()["q"], "nmi": nmi(baseline, found).first()[0], "ari": ari(baseline, found).first()[0], "intra_pct": 100 * kept["intra_rate"], "inter_pct": 100 * kept["inter_rate"], "ratio": kept["ratio"]}
 
 
+def sampling_trial(edges: DataFrame, labels: DataFrame, method: str, alpha: float, seed: int) -> dict:
+    """What one method keeps of edges within and between communities."""
+    kept = classified(sparsify(edges, method, alpha, seed).select("src", "dst"), labels)
+    r = kept.agg(F.count("*").alias("m_sparse"), F.count_if("is_intra").alias("intra")).first()
+    return {"method": method, "alpha": alpha, "seed": seed, "m_sparse": r["m_sparse"], "intra": r["intra"], "inter": r["m_sparse"] - r["intra"]}
+
+
 def prediction_grid(alphas: int = 15, runs: int = 10) -> list[tuple[float, int]]:
     """(alpha, seed): alphas evenly from 0.3 to 1, seeds floor(1e5 alpha) + run."""
     steps = [0.3 + 0.7 * i / max(1, alphas - 1) for i in range(alphas)]

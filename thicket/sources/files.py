@@ -8,7 +8,6 @@ that a reader asks for.
 from __future__ import annotations
 
 import io
-import re
 import tarfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -18,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordered import numbered
+from ..functions.ordered import numbered, running_total
 from ..operators.edges import canonical, dense_ids, induced, nodes_of, relabelled
+from ..storage import stored
 
 def sniffed() -> Column:
     """A line's fields: split at commas if it has one, else at tabs if it has one, else at blanks."""
@@ -145,15 +145,39 @@ def read_labelled(spark: SparkSession, edges: str, labels: str) -> tuple[DataFra
 LEANING = {"l": 0, "n": 1, "c": 2}
 
 
+def gml_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(block, name, fields) of the blocks directly within the outermost one of a GML file, as ``node [ ... ]`` in ``graph [ ... ]``;
+    fields is a map of a block's own keys, each with its first value, without quotes; a nested block's value is ``[``.
+
+    Lines are read in splits and cut into tokens side by side; a running sum over all tokens gives their depth, another one the
+    number of their block.  Lines that begin with # are comments.  A string must end in its line; keys, brackets and values may be
+    spread over lines as they like.
+    """
+    lines = _numbered_lines(spark, path).filter("NOT startswith(ltrim(line), '#')")
+    tokens = lines.select("line_no", F.posexplode(F.regexp_extract_all("line", F.lit(r'"[^"]*"|\[|\]|[^\s\[\]"]+'), 0)).alias("pos", "token"))
+    turn = F.when(F.col("token") == "[", 1).when(F.col("token") == "]", -1).otherwise(0).cast("long")
+    deep = running_total(tokens.withColumn("turn", turn), "turn", ["line_no", "pos"], "depth")
+    # a block begins with its [ ; its name is the token before, which has the number of tokens before it less by one
+    marks = deep.withColumn("begins", ((F.col("depth") == 1) & (F.col("token") == "[")).cast("long"))
+    marks = running_total(marks, "begins", ["line_no", "pos"], "block").filter("depth BETWEEN 1 AND 2 AND (depth = 2 OR begins = 0)")
+    names = marks.filter("depth = 1 AND token <> ']'").groupBy("block").agg(F.max_by("token", F.struct("line_no", "pos")).alias("name"))
+    own = marks.filter("depth = 2 AND token <> ']'").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("line_no", "pos", "token"))).alias("t"))
+    keys = F.transform(F.sequence(F.lit(0), F.floor(F.size("t") / 2).cast("int") - 1), lambda i: F.struct(F.get("t", 2 * i)["token"].alias("key"), F.btrim(F.get("t", 2 * i + 1)["token"], F.lit('"')).alias("value")))
+    pairs = F.when(F.size("t") > 1, keys).otherwise(F.slice(keys, 1, 0))
+    first = F.aggregate(pairs, F.slice(pairs, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.array_append(acc, x)))
+    return own.withColumn("block", F.col("block") - 1).join(names, "block").select("block", "name", F.map_from_entries(first).alias("fields"))
+
+
 def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, labels) of a small GML file: ids and values of its nodes; a value that is a leaning's letter is numbered, a
-    missing one is 1."""
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    field = lambda block, k: (m := re.search(rf'\b{k}\s+(?:"([^"]*)"|(-?\d+))', block)) and (m[1] if m[1] is not None else m[2])
-    nodes = [(int(field(b, "id")), field(b, "value")) for b in re.findall(r"\bnode\s*\[([^\]]*)\]", text)]
-    pairs = [(int(field(b, "source")), int(field(b, "target"))) for b in re.findall(r"\bedge\s*\[([^\]]*)\]", text)]
-    comm = lambda v: LEANING[v] if v in LEANING else int(v) if v and v.lstrip("-").isdigit() else 1
-    return canonical(spark.createDataFrame(pairs, "src long, dst long")), spark.createDataFrame([(i, comm(v)) for i, v in nodes], "id long, comm long")
+    """(edges, labels) of a GML file: its edges, and ids and values of its nodes; a value that is a leaning's letter is numbered, one
+    that is no number or missing is 1.  Nodes and edges without whole numbers for ids are passed over."""
+    blocks = stored(gml_blocks(spark, path), "blocks")
+    number = lambda k: F.try_element_at("fields", F.lit(k)).try_cast("long")
+    pairs = blocks.filter("name = 'edge'").select(number("source").alias("src"), number("target").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
+    value = F.try_element_at("fields", F.lit("value"))
+    leaning = F.create_map(*(F.lit(x) for pair in LEANING.items() for x in pair))
+    comm = F.coalesce(F.try_element_at(leaning, value).cast("long"), value.try_cast("long"), F.lit(1).cast("long"))
+    return canonical(pairs), blocks.filter("name = 'node'").select(number("id").alias("id"), comm.alias("comm")).filter("id IS NOT NULL")
 
 
 def first_appearance(pairs: DataFrame) -> DataFrame:

@@ -29,9 +29,46 @@ def write_table(rows: DataFrame, path: str, kind: str = "csv") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path) if kind == "json" else writer.parquet(path)
 
 
-def append_trials(rows: DataFrame, path: str) -> None:
-    """Adds trials, a folder a dataset."""
-    rows.write.mode("append").partitionBy("dataset").parquet(path)
+def append_trials(rows: DataFrame, path: str, batch: str) -> None:
+    """Adds a batch of trials(dataset, ...) below path, a folder a dataset and batch.  A batch that is added again takes its own
+    place, so that an attempt may be repeated; the log names the batches that are whole (``log_batch``, ``committed``)."""
+    named = rows.withColumn("batch", F.lit(batch))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "batch").parquet(f"{path}/rows")
+
+
+_LOG = "dataset string, state string, n long, seconds double, message string, batch string"
+
+
+def log_batch(spark: SparkSession, path: str, batch: str, dataset: str, state: str, n: int = 0, seconds: float = 0.0, message: str = "") -> None:
+    """One line of the run log: a batch's last state (done, failed, late), rows, seconds and message."""
+    line = spark.createDataFrame([(dataset, state, n, float(seconds), message, batch)], _LOG)
+    line.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/log")
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, state, n, seconds, message, batch) of every batch that was tried; no rows if none was."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], _LOG)
+    return spark.read.schema(_LOG).parquet(f"{path}/log")
+
+
+def committed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the batches that the log calls done; what a failed attempt left is passed over."""
+    done = run_log(spark, path).filter("state = 'done'").select("batch")
+    if not done.limit(1).count():
+        return spark.createDataFrame([], f"{schema}, dataset string, batch string")
+    return spark.read.schema(f"{schema}, dataset string, batch string").parquet(f"{path}/rows").join(done, "batch", "left_semi")
+
+
+def write_gml(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """A GML file of edges(src, dst) and nodes(id, value), written by one task, in lines of a key and a value each."""
+    block = lambda name, *pairs: F.concat_ws("\n", F.lit(f"  {name} ["), *(F.concat(F.lit(f"    {k} "), v) for k, v in pairs), F.lit("  ]"))
+    text = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    head, tail = (edges.sparkSession.createDataFrame([(at, line)], "at int, value string") for at, line in ((0, "graph [\n  directed 0"), (3, "]")))
+    lines = head.unionByName(nodes.select(F.lit(1).alias("at"), block("node", ("id", F.col("id").cast("string")), ("value", text("value"))).alias("value")))
+    lines = lines.unionByName(edges.select(F.lit(2).alias("at"), block("edge", ("source", F.col("src").cast("string")), ("target", F.col("dst").cast("string"))).alias("value"))).unionByName(tail)
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
 
 
 def latex_table(summary: DataFrame, key: str, metrics: list[str], caption: str, digits: int = 3, order: str | None = None) -> str:
