@@ -3,9 +3,10 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from thicket.graph import communities, components, generators, leiden, resistance
+from thicket.graph import communities, components, generators, leiden, lfr, resistance
 from thicket.operators import statistics as T
 from thicket.operators.edges import nodes_of
 from thicket.sources import fixtures, registry
@@ -139,13 +140,78 @@ def test_spectral(spark):
     assert kept.count() < 780 and kept.agg(F.min("weight")).first()[0] >= 1
 
 
-def test_planted_and_rewired(spark):
-    edges, labels = generators.planted_power_law(spark, 400, 0.2)
-    t = T.modularity_terms(edges, labels).first()
-    assert 0.7 < t.f < 0.9 and 10 < 2 * t.m / 400 < 18 and labels.count() == 400
-    new = generators.rewired_to_hubs(edges, labels, 4.0)
-    assert new.count() == edges.count() == new.distinct().count()
-    assert T.hub_bridge(new, labels).first().ratio > T.hub_bridge(edges, labels).first().ratio
+def test_lfr(spark):
+    """Degrees exact, sizes in bounds, mixing right, and a simple graph."""
+    n, mu = 10_000, 0.2
+    edges, labels = lfr.lfr(spark, n, mu)
+    pairs = [(r.src, r.dst) for r in edges.collect()]
+    comm = {r.id: r.comm for r in labels.collect()}
+    assert len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs) and sorted(comm) == list(range(n))
+    degree = np.bincount(np.array(pairs).ravel(), minlength=n)
+    drawn = {r.id: r.d for r in lfr.drawn_degrees(spark, n, 15, 50, 3.0, 43).collect()}
+    assert degree.tolist() == [drawn[i] for i in range(n)] and abs(degree.mean() - 15) < 0.5 and degree.max() <= 50
+    sizes = np.bincount(list(comm.values()))
+    assert sizes.min() >= 20 and sizes.max() <= 100
+    assert abs(sum(comm[a] != comm[b] for a, b in pairs) / len(pairs) - mu) < 0.01
+
+
+def test_lfr_small(spark):
+    """No mixing leaves no edge between communities; one community can't be mixed; what is left of n is dealt out."""
+    edges, labels = lfr.lfr(spark, 60, 0.0, average=4, most=8)
+    assert T.classified(edges, labels).filter("NOT is_intra").count() <= 6 and edges.count() > 60
+    with pytest.raises(ValueError, match="mu"):
+        lfr.lfr(spark, 60, 1.5)
+    sizes = [r.size for r in lfr.community_sizes(spark, 107, 20, 25, 1.5, 3).collect()]
+    assert sum(sizes) == 107 and min(sizes) >= 20
+
+
+def test_realised():
+    """A community's inner degrees as a simple graph; stubs without partners are told."""
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        degrees = rng.integers(0, 15, 20)
+        edges, left = lfr._realised(degrees, rng)
+        got = np.bincount(edges.ravel(), minlength=20) if len(edges) else np.zeros(20, int)
+        assert (got + left == degrees).all() and len({tuple(sorted(e)) for e in edges.tolist()}) == len(edges) and (edges[:, 0] != edges[:, 1]).all()
+
+
+def test_rewired(spark):
+    """About as the process that moves one edge after the other with the degrees of that time."""
+    rng = np.random.default_rng(4)
+    comm = {i: i % 4 for i in range(120)}
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 120, (700, 2)).tolist() if a != b})
+    strength = 2.0
+
+    def product(edges):
+        d = np.bincount(np.array(sorted(edges)).ravel(), minlength=120)
+        return np.mean([d[a] * d[b] for a, b in edges if comm[a] != comm[b]])
+
+    def one_by_one():
+        edges, d = set(pairs), np.bincount(np.array(pairs).ravel(), minlength=120)
+        inter = [e for e in pairs if comm[e[0]] != comm[e[1]]]
+        for i in rng.choice(len(inter), int(0.7 * len(inter)), replace=False):
+            a, b = inter[i]
+            new = []
+            for x in (a, b):
+                own = np.array([y for y in comm if comm[y] == comm[x]])
+                p = np.maximum(d[own], 1.0) ** strength
+                new.append(int(rng.choice(own, p=p / p.sum())))
+            new = (min(new), max(new))
+            if new not in edges:
+                edges.remove((a, b))
+                edges.add(new)
+                for x, k in ((a, -1), (b, -1), (new[0], 1), (new[1], 1)):
+                    d[x] += k
+        return product(edges)
+
+    runs = [one_by_one() for _ in range(20)]
+    labels = spark.createDataFrame(list(comm.items()), "id long, comm long")
+    edges = fixtures.edges_of(spark, pairs)
+    new = [(r.src, r.dst) for r in generators.rewired_to_hubs(edges, labels, strength).collect()]
+    assert len(set(new)) == len(new) == len(pairs)
+    assert abs(product(new) - np.mean(runs)) < 5 * np.std(runs) and product(new) > 1.2 * product(pairs)
+    count = lambda e: sorted((min(comm[a], comm[b]), max(comm[a], comm[b])) for a, b in e)
+    assert count(new) == count(pairs)
 
 
 def test_stored_tables_can_be_cleared(spark):

@@ -5,67 +5,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.ordered import numbered, running_total
 from ..functions.ranked import first_k
-from ..functions.rng import hash_integer, hash_uniform
-from ..operators.edges import canonical
+from ..functions.rng import hash_integer
 from ..sources.fixtures import edges_of
 from ..storage import once, stored
 
-
-def community_sizes(n: int, least: int, most: int, exponent: float, seed: int) -> list[int]:
-    """Sizes by a power law that add up to n; the last one takes what is left if that is enough, else it is spread."""
-    rng, out = np.random.default_rng(seed), []
-    values = np.arange(least, most + 1)
-    p = values.astype(float) ** -exponent
-    while sum(out) < n:
-        out.append(int(rng.choice(values, p=p / p.sum())))
-    over = sum(out) - n
-    last = out.pop() - over
-    if last >= least or not out:
-        out.append(last)
-    else:
-        for k in range(last):
-            out[k % len(out)] += 1
-    return out
-
-
-def planted_power_law(spark: SparkSession, n: int, mu: float, average: float = 15, most: int = 50, degree_exponent: float = 3.0, size_exponent: float = 1.5, least_size: int = 20, most_size: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(edges, labels): communities with sizes, and nodes with degrees, by power laws; a share mu of a node's stubs goes
-    anywhere, the rest within its community.
-
-    Stubs are paired in a hashed order; loops and repeats fall away.  This is not the LFR rejection process: degrees and mu
-    hold up to that loss and rounding.
-    """
-    most_size, least_size = min(most_size, max(10, n // 5)), max(10, min(least_size, n // 5))
-    sizes = community_sizes(n, min(least_size, most_size), most_size, size_exponent, seed)
-    groups = spark.createDataFrame([(c, int(s)) for c, s in enumerate(sizes)], "comm long, size long")
-    labels = groups.select("comm", F.explode(F.sequence(F.lit(1).cast("long"), "size")).alias("k"))
-    labels = stored(numbered(labels, ["comm", "k"], "id").select("id", "comm"), "labels")
-    # a power law from low to most whose mean is about the average
-    a = degree_exponent
-    mean = lambda low: (a - 1) / (a - 2) * (low ** (2 - a) - most ** (2 - a)) / (low ** (1 - a) - most ** (1 - a))
-    low, high = 1.0, float(most) - 1e-6
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if mean(mid) < average else (low, mid)
-    u = hash_uniform(seed, "id")
-    degree = F.pow(F.lit(low ** (1 - a)) + u * (most ** (1 - a) - low ** (1 - a)), F.lit(1 / (1 - a)))
-    nodes = labels.withColumn("d", F.greatest(F.lit(1), F.round(degree)).cast("long"))
-    nodes = nodes.withColumn("inside", F.greatest(F.lit(0), F.round((1 - mu) * F.col("d"))).cast("long"))
-
-    def paired(stubs: DataFrame, keys: list[str]) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy("h", "id", "k") if keys else None
-        ranked = stubs.withColumn("at", F.row_number().over(order) - 1) if order else numbered(stubs, ["h", "id", "k"], "at")
-        couple = ranked.groupBy(*keys, F.floor(F.col("at") / 2).alias("pair")).agg(F.min("id").alias("src"), F.max("id").alias("dst"), F.count("*").alias("c"))
-        return couple.filter("c = 2").select("src", "dst")
-
-    stub = lambda count, s: nodes.filter(F.col(count) > 0).select("id", "comm", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("k")).withColumn("h", hash_integer(s, "id", "k"))
-    nodes = nodes.withColumn("outside", F.col("d") - F.col("inside"))
-    inside, outside = paired(stub("inside", seed + 1), ["comm"]), paired(stub("outside", seed + 2), [])
-    return canonical(inside.unionByName(outside)), labels
+#: Steps that the largest odds are cut into.
+FINE = 1 << 32
 
 
 def hub_bridge(spark: SparkSession, size: int = 15, hubs: int = 3, between: int = 3, p: float = 0.4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -101,34 +49,43 @@ def preferential(spark: SparkSession, n: int, m: int, seed: int = 42) -> DataFra
     return edges_of(spark, pairs)
 
 
-def rewired_to_hubs(edges: DataFrame, labels: DataFrame, strength: float, share: float = 0.7, seed: int = 42) -> DataFrame:
-    """A share of the inter-community edges gets new ends, drawn within the same two communities with odds max(d, 1)^strength.
+def rewired_to_hubs(edges: DataFrame, labels: DataFrame, strength: float, share: float = 0.7, seed: int = 42, batches: int = 8) -> DataFrame:
+    """floor(share m) of the m inter-community edges, in random order, get new ends, drawn within the same two communities with odds
+    max(d, 1)^strength; an edge stays as it was where the draw gives one that exists.
 
-    All draws use the degrees before rewiring, so that they run side by side; a draw that gives an edge that exists leaves
-    its edge as it was, and of equal draws one counts.
+    Edges are moved in batches: running sums of the odds are built anew from the degrees after each batch, so degrees follow as if
+    edges were moved one by one, but for those of one batch; of equal draws in a batch the first one in the order counts.
     """
     from ..operators.degrees import degrees
     from ..operators.statistics import classified
 
-    ranked = labels.join(degrees(edges), "id", "left").withColumn("w", F.floor(F.pow(F.greatest(F.coalesce("d", F.lit(0)), F.lit(1)).cast("double"), F.lit(float(strength))) * 1000).cast("long"))
-    spans = stored(running_total(ranked, "w", ["comm", "id"], "low").withColumn("high", F.col("low") + F.col("w")), "spans")
-    ranges = spans.groupBy("comm").agg(F.min("low").alias("from"), F.max("high").alias("to"))
-    inter = classified(edges.select("src", "dst"), labels).filter("NOT is_intra")
-    moved = stored(inter.filter(hash_uniform(seed, "src", "dst") < share), "moved")
-    width = max(1, (spans.agg(F.max("high")).first()[0] or 1) // max(1, spans.count()))
-
-    def drawn(side: str, s: int) -> DataFrame:
-        r = ranges.select(F.col("comm").alias(f"comm_{side}"), "from", "to")
-        asked = moved.join(r, f"comm_{side}").select("src", "dst", (F.col("from") + F.pmod(hash_integer(s, "src", "dst"), F.col("to") - F.col("from"))).alias("r"))
-        cut = spans.withColumn("slice", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
-        return asked.withColumn("slice", F.floor(F.col("r") / width)).join(cut, "slice").filter("r >= low AND r < high").select("src", "dst", F.col("id").alias(f"new_{side}"))
-
-    both = drawn("src", seed + 1).join(drawn("dst", seed + 2), ["src", "dst"])
-    new = both.select("src", "dst", F.least("new_src", "new_dst").alias("a"), F.greatest("new_src", "new_dst").alias("b")).filter("a <> b")
-    new = new.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
-    new = new.groupBy("a", "b").agg(F.min(F.struct("src", "dst")).alias("old"))
-    kept = edges.select("src", "dst").join(new.select("old.src", "old.dst"), ["src", "dst"], "left_anti")
-    return kept.unionByName(new.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    now = stored(edges.select("src", "dst"), "edges")
+    inter = stored(classified(now, labels).filter("NOT is_intra").select("src", "dst", "comm_src", "comm_dst", hash_integer(seed, "src", "dst").alias("h")), "inter")
+    moving = stored(numbered(first_k(inter, ["h", "src", "dst"], int(share * inter.count())), ["h", "src", "dst"], "turn"), "moving")
+    wanted = moving.count()
+    size = -(-wanted // batches) if wanted else 1
+    for k in range(-(-wanted // size)):
+        moved = moving.filter((F.col("turn") >= k * size) & (F.col("turn") < (k + 1) * size))
+        # odds as whole numbers, of the largest's 2^-32, one at least, so that their running sums are exact
+        ranked = labels.join(degrees(now), "id", "left").select("id", "comm", F.pow(F.greatest(F.coalesce("d", F.lit(0)), F.lit(1)).cast("double"), F.lit(float(strength))).alias("odds"))
+        ranked = stored(ranked, "ranked")
+        top = ranked.agg(F.max("odds")).first()[0]
+        spans = stored(running_total(ranked.withColumn("w", F.greatest(F.lit(1), F.floor(F.col("odds") / F.lit(top) * FINE)).cast("long")), "w", ["comm", "id"], "low").withColumn("high", F.col("low") + F.col("w")), "spans")
+        ranges = spans.groupBy("comm").agg(F.min("low").alias("from"), F.max("high").alias("to"))
+        width = max(1, spans.agg(F.max("high")).first()[0] // max(1, spans.count()))
+
+        def drawn(side: str, s: int, moved: DataFrame = moved, spans: DataFrame = spans, ranges: DataFrame = ranges, width: int = width) -> DataFrame:
+            r = ranges.select(F.col("comm").alias(f"comm_{side}"), "from", "to")
+            asked = moved.join(r, f"comm_{side}").select("src", "dst", "turn", (F.col("from") + F.pmod(hash_integer(s, "src", "dst"), F.col("to") - F.col("from"))).alias("r"))
+            cut = spans.withColumn("slice", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+            return asked.withColumn("slice", F.floor(F.col("r") / width)).join(cut, "slice").filter("r >= low AND r < high").select("src", "dst", "turn", F.col("id").alias(f"new_{side}"))
+
+        both = drawn("src", seed + 1).join(drawn("dst", seed + 2).drop("turn"), ["src", "dst"])
+        new = both.select("src", "dst", "turn", F.least("new_src", "new_dst").alias("a"), F.greatest("new_src", "new_dst").alias("b")).filter("a <> b")
+        new = new.join(now.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+        new = stored(new.groupBy("a", "b").agg(F.min(F.struct("turn", "src", "dst")).alias("old")), "new")
+        now = stored(now.join(new.select("old.src", "old.dst"), ["src", "dst"], "left_anti").unionByName(new.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "edges")
+    return now
 
 
 def noise_edges(edges: DataFrame, nodes: DataFrame, ratio: float, seed: int = 42) -> DataFrame:

@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import scientific, title
-from ..graph import communities, components, generators, leiden, resistance, spectrum
+from ..functions.text import mean_std, title
+from ..graph import communities, components, generators, lfr, resistance, spectrum
 from ..operators import agreement, degrees, edges as E, frontier, sparsify as S, statistics as T, summaries as M
-from ..sources import derived, files, fixtures, registry, sinks
+from ..sources import derived, files, registry, sinks
 from ..storage import shared_folder, stored
 from . import experiments, runs
 
@@ -682,80 +682,81 @@ def read_gml_labels(spark, d):
     return _gml(spark, d)[1]
 
 
-@query("SELECT unnest(['0', '0.12', '$1.50 \\times 10^{-5}$']) AS cell, unnest([1, 2, 3])::BIGINT AS at")
+@query(TRADE + "," + TRIALS + "SELECT alpha, '$' || printf('%.3f', round(avg(f), 6)) || ' \\pm ' || printf('%.3f', round(stddev_samp(f), 6)) || '$' AS cell, printf('%.1f', avg(m_sparse)) AS edges FROM trials GROUP BY alpha")
 def table_cells(spark, d):
-    rows = [(scientific(x, 2) if x != 0.12 else scientific(x, 1), i + 1) for i, x in enumerate((0.0, 0.12, 1.5e-5))]
-    return spark.createDataFrame(rows, "cell string, at long")
+    """Cells of a table: mean and deviation by alpha, four rows."""
+    rows = rounded(M.mean_std(_trials(spark, d), ["alpha"], ["f", "m_sparse"]), 6).collect()
+    return spark.createDataFrame([(r.alpha, mean_std(r.f_mean, r.f_std), f"{r.m_sparse_mean:.1f}") for r in rows], "alpha double, cell string, edges string")
 
 
-# -- grids ----------------------------------------------------------------------------------------------------------
+_NUMBERED = "ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM deg), dense AS (SELECT least(a.new_id, b.new_id) AS src, greatest(a.new_id, b.new_id) AS dst FROM edges e JOIN ids a ON e.src = a.id JOIN ids b ON e.dst = b.id)"
 
 
-@query("SELECT 0.3::DOUBLE + 0.7::DOUBLE * a / 14 AS alpha, floor((0.3::DOUBLE + 0.7::DOUBLE * a / 14) * 100000)::BIGINT + r AS seed FROM range(15) t(a), range(10) u(r)")
-def prediction_grid(spark, d):
-    return spark.createDataFrame(experiments.prediction_grid(), "alpha double, seed long")
-
-
-@query("SELECT n::BIGINT AS n, k.kind, mu::DOUBLE AS mu, h::DOUBLE AS strength, alpha::DOUBLE AS retention, rep::BIGINT AS replicate FROM (VALUES (1000, 10), (10000, 3)) s(n, reps), (VALUES ('standard', 1.0), ('modified', 1.0), ('modified', 2.0), ('modified', 4.0)) k(kind, h), (VALUES (0.1), (0.2), (0.3), (0.4), (0.5)) m(mu), (VALUES (0.5), (0.8)) a(alpha), range(10) r(rep) WHERE rep < reps")
-def community_grid(spark, d):
-    return spark.createDataFrame(experiments.community_grid(), "n long, kind string, mu double, strength double, retention double, replicate long, seed long").drop("seed")
-
-
-@query("SELECT dataset, alpha::DOUBLE AS alpha, run::BIGINT AS seed FROM (VALUES ('karate'), ('dolphins'), ('football'), ('polbooks'), ('email-Eu-core')) d(dataset), (VALUES (0.5), (0.8)) a(alpha), range(10) r(run)")
-def recovery_grid(spark, d):
-    return spark.createDataFrame(experiments.recovery_grid(), "dataset string, alpha double, seed long")
-
-
-@query("SELECT dataset, method, alpha::DOUBLE AS alpha, run::BIGINT AS seed FROM (VALUES ('com-DBLP'), ('com-Amazon')) d(dataset), (VALUES ('paper'), ('uniform_random'), ('degree_sampling'), ('spectral')) m(method), (VALUES (0.2), (0.4), (0.6), (0.8), (1.0)) a(alpha), range(3) r(run)")
-def scaling_grid(spark, d):
-    return spark.createDataFrame(experiments.scaling_grid(("com-DBLP", "com-Amazon")), "dataset string, method string, alpha double, seed long")
-
-
-@query("SELECT unnest(['email-Eu-core', 'com-DBLP', 'cora', 'dolphins']) AS name, unnest(['snap', 'snap', 'citation', 'classic']) AS reader, true AS labels UNION ALL SELECT unnest(['wiki-Vote', 'Yale4', 'human-ppi', 'power']), unnest(['snap', 'network', 'network', 'classic']), false")
+@query(TRADE + "," + _NUMBERED + "SELECT 'com-DBLP' AS name, src, dst FROM dense UNION ALL SELECT 'wiki-Vote', src, dst FROM dense UNION ALL SELECT 'jazz', src, dst FROM dense")
 def dataset_registry(spark, d):
-    names = ("email-Eu-core", "dblp", "cora", "dolphins", "wiki-Vote", "Yale4", "human-ppi", "power")
-    rows = [(registry.lookup(n).path.rpartition("/")[2].partition(".")[0], registry.lookup(n).reader, registry.has_labels(n)) for n in names]
-    return spark.createDataFrame(rows, "name string, reader string, labels boolean")
+    """The trade graph's pairs as files of three layouts, looked up and loaded by name."""
+    folder, out = shared_folder(spark), None
+    for name, separator, reader in (("com-DBLP", "\t", "snap"), ("wiki-Vote", " ", "snap"), ("jazz", ",", "classic")):
+        lines = derived.trade_pairs(spark, d).select(F.concat_ws(separator, F.col("src").cast("string"), F.col("dst").cast("string")).alias("value"))
+        lines.write.text(f"{folder}/{name}")
+        registry.register(name, registry.Dataset(f"{folder}/{name}", reader))
+        try:
+            edges = registry.load(spark, {"com-DBLP": "dblp"}.get(name, name))[0].select(F.lit(name).alias("name"), "src", "dst")
+        finally:
+            registry.forget(name)
+        out = edges if out is None else out.unionByName(edges)
+    return out
+
+
+@query(RECURSIVE + ", big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), inner_edges AS (SELECT src, dst FROM edges JOIN comp ON src = id WHERE component = (SELECT component FROM big)), lids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT src AS id FROM inner_edges UNION SELECT dst FROM inner_edges)) SELECT least(a.new_id, b.new_id) AS src, greatest(a.new_id, b.new_id) AS dst FROM inner_edges e JOIN lids a ON e.src = a.id JOIN lids b ON e.dst = b.id")
+def load_large(spark, d):
+    return registry.load_large(derived.trade_pairs(spark, d), dense=True)[0]
+
+
+@query(RECURSIVE + "SELECT (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM comp) - (SELECT count(*) FROM comp WHERE id = component) AS expected, true AS within_5_percent, true AS within_bounds")
+def resistance_sum(spark, d):
+    """Resistances of all edges add up to nodes less components; here as sketched for the whole trade graph."""
+    edges = stored(derived.trade(spark, d), "edges")
+    parts = stored(components.component_labels(edges), "parts")
+    expected = parts.agg(F.count("*") - F.countDistinct("component")).first()[0]
+    r = resistance.sketched(edges).agg(F.count("*").alias("edges"), F.sum("resistance").alias("sum"), F.min("resistance").alias("low")).first()
+    return spark.createDataFrame([(r["edges"], expected, abs(r["sum"] / expected - 1) < 0.05, r["low"] > 0)], "edges long, expected long, within_5_percent boolean, within_bounds boolean")
 
 
 # -- without SQL: iterative algorithms and generated graphs ---------------------------------------------------------
 
 
 @query()
-def effective_resistance(spark, d):
-    """Karate club, exact."""
-    edges, _ = fixtures.karate(spark)
-    return rounded(resistance.exact(edges.withColumn("graph_id", F.lit("karate"))), 6)
+def prediction_trial(spark, d):
+    """Predictions and what sampling did, on the trade graph."""
+    return rounded(spark.createDataFrame([experiments.theory_trial(*_trade(spark, d), 0.5, 1)]))
 
 
-@query()
-def karate_fiedler(spark, d):
-    edges, _ = fixtures.karate(spark)
-    return rounded(resistance.fiedler(edges.withColumn("graph_id", F.lit("karate"))), 9)
+def _customers(spark: SparkSession, d: str) -> int:
+    return max(200, spark.read.parquet(f"{d}/customer.parquet").count())
 
 
 @query()
-def prediction_trial(spark, d):
-    edges, labels = fixtures.karate(spark)
-    return rounded(spark.createDataFrame([experiments.theory_trial(edges, labels, 0.5, 1, detect=True)]))
+def planted_trial(spark, d):
+    """An LFR graph of as many nodes as there are customers, rewired to hubs and sampled."""
+    return rounded(spark.createDataFrame([experiments.planted_trial(spark, _customers(spark, d), 0.3, 2.0, 0.5, 1)]))
 
 
-@query()
-def planted_trial(spark, d):
-    return rounded(spark.createDataFrame([experiments.planted_trial(spark, 400, 0.3, 2.0, 0.5, 1)]))
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    return derived.trade_nodes(spark, d).select("id", F.col("nation").alias("comm"))
 
 
 @query()
 def recovery_trial(spark, d):
-    edges, labels = fixtures.karate(spark)
-    return rounded(spark.createDataFrame([experiments.recovery_trial(edges, labels, experiments.detected(edges, small=True), 0.8, 1, "karate", small=True)]))
+    """Regions as the truth, nations as the partition before sampling."""
+    edges, labels = _trade(spark, d)
+    return rounded(spark.createDataFrame([experiments.recovery_trial(stored(edges), labels, stored(_nations(spark, d)), 0.5, 1, "trade")]))
 
 
 @query()
 def scaling_trial(spark, d):
     """Without its times, which no two runs share."""
-    edges, _ = fixtures.karate(spark)
-    row = experiments.scaling_trial(edges, experiments.detected(edges, small=True), 1.0, "deterministic", 0.6, 1, "karate", small=True)
+    row = experiments.scaling_trial(stored(derived.trade(spark, d)), stored(_nations(spark, d)), 1.0, "deterministic", 0.5, 1, "trade")
     return rounded(spark.createDataFrame([{k: v for k, v in row.items() if not k.startswith("t_") and k != "speedup"}]))
 
 
@@ -787,30 +788,24 @@ def leiden_communities(spark, d):
     return communities.leiden_parallel(derived.trade(spark, d))
 
 
-@query()
-def leiden_cpm(spark, d):
-    edges, _ = fixtures.karate(spark)
-    return leiden.leiden_small(edges.withColumn("graph_id", F.lit("karate")), 0.1, True)
-
-
-@query()
-def toy_suite(spark, d):
-    return rounded(experiments.toy_suite(spark))
-
-
 @query()
 def planted_communities(spark, d):
-    edges, labels = generators.planted_power_law(spark, 1000, 0.3)
+    """Of an LFR graph of as many nodes as there are customers."""
+    edges, labels = lfr.lfr(spark, _customers(spark, d), 0.3)
     return rounded(T.theory(edges, labels))
 
 
 @query()
 def hub_rewiring(spark, d):
-    edges, labels = generators.planted_power_law(spark, 1000, 0.3)
+    """Inter-community edges of the trade graph moved to hubs."""
+    edges, labels = _trade(spark, d)
     return rounded(T.hub_bridge(generators.rewired_to_hubs(edges, labels, 2.0), labels))
 
 
-@query()
+_OF_METHOD = "SELECT '{name}' AS method, count(*) AS edges, round(sum(weight), 6) AS total_weight, round(min(weight), 6) AS least_weight, round(max(weight), 6) AS greatest_weight FROM ({sql}) {name}"
+
+
+@query(" UNION ALL ".join(_OF_METHOD.format(name=name, sql=_SQL[of]) for name, of in (("paper", "weighted_resample"), ("probabilistic_no_replace", "bernoulli_sparsify"), ("deterministic", "topk_sparsify"))))
 def method_comparison(spark, d):
     return rounded(experiments.compare_methods(derived.trade(spark, d), 0.5), 6)
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..graph.communities import leiden_parallel
 from ..graph.components import component_labels
-from ..graph.generators import planted_power_law, rewired_to_hubs
+from ..graph.generators import rewired_to_hubs
 from ..graph.leiden import leiden_small
+from ..graph.lfr import lfr
 from ..graph.resistance import spectral
 from ..operators.agreement import ari, nmi
 from ..operators.degrees import graph_size, scored
@@ -110,8 +111,8 @@ def citation_row(edges: DataFrame, baseline: DataFrame, method: str, alpha: floa
 
 
 def planted_trial(spark: SparkSession, n: int, mu: float, strength: float, retention: float, seed: int, rewired: bool = True) -> dict:
-    """community_trial of a planted graph, rewired to hubs or not, cut to its largest component; ValueError without edges."""
-    edges, labels = planted_power_law(spark, n, mu, seed=seed)
+    """community_trial of an LFR graph, rewired to hubs or not, cut to its largest component; ValueError without edges."""
+    edges, labels = lfr(spark, n, mu, seed=seed)
     edges = stored(rewired_to_hubs(edges, labels, strength, seed=seed) if rewired else edges, "planted")
     edges = stored(induced(edges, largest_component(edges)), "largest")
     if not edges.limit(1).count():

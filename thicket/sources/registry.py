@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..graph.components import component_labels
 from ..graph.leiden import bisection
-from ..operators.edges import canonical, induced, raw_counts
+from ..operators.edges import canonical, dense_ids, induced, nodes_of, raw_counts, relabelled
 from ..operators.sparsify import uniform_count
 from . import files
 from .fixtures import karate
@@ -89,6 +89,10 @@ def register(name: str, dataset: Dataset) -> None:
     _known[name] = dataset
 
 
+def forget(name: str) -> None:
+    _known.pop(name, None)
+
+
 def lookup(name: str, folder: str = "data") -> Dataset:
     """A registered name, or a known one below folder; ValueError for others."""
     key = _ALIASES.get(name, name)
@@ -135,13 +139,13 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(best), "component").select("id")
 
 
-def load_large(pairs: DataFrame, max_edges: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def load_large(pairs: DataFrame, max_edges: int | None = None, seed: int = 42, dense: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, info) of raw pairs: the largest component, cut to max_edges edges and to its largest component again if it is
-    larger; info counts raw rows, self-loops and collapsed edges."""
+    larger; info counts raw rows, self-loops and collapsed edges.  dense: nodes are renumbered 0, 1, ... by id."""
     info = raw_counts(pairs)
     edges = canonical(pairs)
     edges = induced(edges, largest_component(edges))
     if max_edges is not None and edges.count() > max_edges:
         edges = uniform_count(edges, max_edges, seed).select("src", "dst")
         edges = induced(edges, largest_component(edges))
-    return edges, info
+    return relabelled(edges, dense_ids(nodes_of(edges))) if dense else edges, info
