@@ -127,27 +127,3 @@ def leiden_small(edges: DataFrame, resolution: float = 1.0, cpm: bool = False, s
         return pd.DataFrame({"graph_id": frame["graph_id"].iloc[0], "id": ids, "comm": comm})
 
     return weighted.select("graph_id", "src", "dst", "weight").groupBy("graph_id").applyInPandas(one, "graph_id string, id long, comm long")
-
-
-def bisection(src: np.ndarray, dst: np.ndarray, n: int, seed: int = 0) -> list[int]:
-    """Kernighan-Lin: two halves of 0 to n-1 with few edges between, by the best prefix of pair swaps."""
-    side = np.zeros(n, int)
-    side[np.random.default_rng(seed).permutation(n)[: n // 2]] = 1
-    weight = np.zeros((n, n))
-    weight[src, dst] = weight[dst, src] = 1.0
-    while True:
-        now, free, swaps, gains = side.copy(), np.ones(n, bool), [], []
-        for _ in range(min(np.count_nonzero(side), n - np.count_nonzero(side))):
-            cost = np.where(now[:, None] != now[None, :], weight, -weight).sum(1)
-            a, b = np.flatnonzero(free & (now == 0)), np.flatnonzero(free & (now == 1))
-            gain = cost[a][:, None] + cost[b][None, :] - 2 * weight[np.ix_(a, b)]
-            i, j = np.unravel_index(np.argmax(gain), gain.shape)
-            swaps.append((a[i], b[j]))
-            gains.append(gain[i, j])
-            now[a[i]], now[b[j]] = 1, 0
-            free[a[i]] = free[b[j]] = False
-        total = np.cumsum(gains) if gains else np.zeros(1)
-        if not gains or total.max() <= 1e-12:
-            return side.tolist()
-        for a, b in swaps[: int(np.argmax(total)) + 1]:
-            side[a], side[b] = 1, 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import mean_std, title
-from ..graph import communities, components, generators, lfr, resistance, spectrum
+from ..graph import communities, components, generators, halves, lfr, resistance, spectrum
 from ..operators import agreement, degrees, edges as E, frontier, sparsify as S, statistics as T, summaries as M
 from ..sources import derived, files, registry, sinks
 from ..storage import shared_folder, stored
@@ -783,6 +783,15 @@ def trade_lambda2(spark, d):
     return spark.createDataFrame([(name, round(value, 5), residual < 1e-5) for name, value, residual in both], "graph string, lambda2 double, settled boolean")
 
 
+@query()
+def trade_bisection(spark, d):
+    """Two halves of the trade graph: their nodes, and the edges within and between them."""
+    edges = stored(derived.trade(spark, d))
+    sides = stored(halves.bisection(edges), "sides")
+    inside = T.classified(edges, sides).agg(F.count_if("is_intra").alias("inside"), F.count_if(~F.col("is_intra")).alias("between"))
+    return sides.groupBy("comm").agg(F.count("*").alias("nodes")).crossJoin(inside)  # of two rows and one
+
+
 @query()
 def leiden_communities(spark, d):
     return communities.leiden_parallel(derived.trade(spark, d))

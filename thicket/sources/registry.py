@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph.components import component_labels
-from ..graph.leiden import bisection
+from ..graph.halves import bisection
 from ..operators.edges import canonical, dense_ids, induced, nodes_of, raw_counts, relabelled
 from ..operators.sparsify import uniform_count
 from . import files
@@ -52,8 +51,6 @@ class Dataset:
 
 
 _known: dict[str, Dataset] = {}
-#: Edges of a graph that halves() takes.
-MAX_HALVES = 100_000
 
 
 def has_labels(name: str) -> bool:
@@ -117,21 +114,10 @@ def load(spark: SparkSession, name: str, folder: str = "data") -> tuple[DataFram
         labels = read(spark, found.labels, ids)
         labels = labels if labels.limit(1).count() else None
     elif name == "dolphins":
-        labels = halves(edges)
+        labels = bisection(edges)
     return edges, ids.select(F.col("new_id").alias("id")), labels
 
 
-def halves(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """(id, comm) of a small graph cut in two by Kernighan-Lin, for one without labels of its own."""
-    pairs = np.array([(r["src"], r["dst"]) for r in edges.select("src", "dst").limit(MAX_HALVES + 1).collect()], np.int64).reshape(-1, 2)
-    if len(pairs) > MAX_HALVES:
-        raise ValueError(f"more than {MAX_HALVES} edges")
-    ids, ends = np.unique(pairs, return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    side = bisection(ends[:, 0], ends[:, 1], len(ids), seed)
-    return edges.sparkSession.createDataFrame(list(zip(ids.tolist(), map(int, side), strict=True)), "id long, comm long")
-
-
 def largest_component(edges: DataFrame) -> DataFrame:
     """(id) of the component with the most nodes; of equals the one with the least id."""
     parts = component_labels(edges)
