@@ -71,6 +71,30 @@ def test_many_copies(spark):
     assert joined(frame(spark, rows)) == brute(rows)
 
 
+def test_rows_without_ids(spark, monkeypatch):
+    """Near copies of which hundreds have no id, or all the same one: each text is read once, not once for each row."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(250):
+        base = [f"t{k}w{i}" for i in range(30)]
+        more = list(base)
+        more[rng.randrange(30)] = "other"
+        key = None if k < 125 else 77
+        rows += [(key, " ".join(base), None, None, None), (key, " ".join([*base, "end"]), None, None, None), (key if k % 2 else k, " ".join(more), None, None, None)]
+    read = []
+    counted = setjoin.stored
+
+    def stored(df, name="t"):
+        out = counted(df, name)
+        if name == "sets":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "stored", stored)
+    assert joined(frame(spark, rows)) == brute(rows)
+    assert read[0] <= len(rows)
+
+
 def test_buckets(spark, monkeypatch):
     """Buckets grow with the input beyond the shuffle partitions."""
     from thicket.llm import exchange

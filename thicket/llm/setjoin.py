@@ -97,6 +97,8 @@ def _shingle(batches: Iterable[pa.RecordBatch], width: int, percent: int, n: int
     turn = 0
     for batch in batches:
         ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+        marks = batch.column("mark").to_numpy().view(U64)
+        found = []
         docs = np.zeros((len(ids), 3), U64)
         for a, b, words in word_chunks(batch, "text", lower=True):
             windows = words.windows(width)
@@ -106,6 +108,7 @@ def _shingle(batches: Iterable[pa.RecordBatch], width: int, percent: int, n: int
                 docs[a + i] = (len(tokens) << 8, ids[a + i : a + i + 1].view(U64)[0], cls)
                 if len(tokens) and cls not in seen:
                     seen.add(cls)
+                    found.append((4, marks[a + i], cls))
                     some = tokens[: prefix_length(len(tokens), percent)]
                     held.append(some)
                     owners.append(np.full(len(some), cls, U64))
@@ -113,6 +116,9 @@ def _shingle(batches: Iterable[pa.RecordBatch], width: int, percent: int, n: int
             if size >= HELD:
                 yield from _send(np.concatenate(held), np.concatenate(owners), n, hot)
                 held, owners, size, seen = [], [], 0, set()
+        if found:
+            told = np.array(found, U64)
+            yield from scatter(told, bucket_of(told[:, 2], n))
         yield from scatter(docs, (np.arange(len(docs)) // 256 + turn) % n)
         turn += len(docs) // 256 + 1
     if size:
@@ -128,7 +134,7 @@ def _facts(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordB
 
 
 def _credit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Facts: (0, doc_id, n, class); (1, class, leader, shared prefix tokens)."""
+    """Facts: (0, doc_id, n, class); (1, class, leader, shared prefix tokens); (2, class, mark of a row that has it)."""
     for got in gathers(batches, 3):
         yield from _credited(got)
 
@@ -138,6 +144,9 @@ def _credited(got: np.ndarray) -> Iterator[pa.RecordBatch]:
     docs = got[kind == 0]
     if len(docs):
         yield _facts(0, docs[:, 1], docs[:, 0] >> U64(8), docs[:, 2])
+    told = got[kind == 4]
+    if len(told):
+        yield _facts(2, told[:, 2], told[:, 1], np.zeros(len(told), U64))
     early = got[kind == 3]
     if len(early):
         yield _facts(1, early[:, 1], early[:, 2], early[:, 0] >> U64(8))
@@ -444,26 +453,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, hot:
     Other columns, whatever their names, are ignored.  hot, cell and pivots change how work is dealt, not the result.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # tells rows apart where many have one id, or none
+    rows = rows.withColumn("mark", F.xxhash64("doc_id", "text"))
     n = buckets_for(rows)
 
     packed = rows.mapInArrow(partial(_shingle, width=width, percent=percent, n=n, hot=hot), PACKED)
     facts = stored(shuffled(packed).mapInArrow(_credit, _FACTS), "facts")
     known = facts.filter("kind = 0").select(F.when(F.col("a") != NULL_ID, F.col("a")).alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("cls"))
-    # some_id is a row that has the class's text; it is NULL_ID only if no copy has an id
-    classes = known.groupBy("cls").agg(F.min("doc_id").alias("least"), F.coalesce(F.max("doc_id"), F.lit(NULL_ID)).alias("some_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = known.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies"))
     classes = stored(classes, "classes")
     votes = facts.filter("kind = 1").groupBy(F.col("a").alias("cls"), F.col("b").alias("leader")).agg(F.sum("c").alias("votes"))
     best = votes.groupBy("cls").agg(F.sum("votes").alias("shared"), F.max(F.struct("votes", (-F.col("leader")).alias("minus"))).alias("best"))
     need = F.greatest(F.lit(1).cast("long"), F.floor(F.ceil(F.col("n") * percent / 100.0) / 10))
-    survivors = best.join(classes.filter("n > 0"), "cls").filter(F.col("shared") >= need).select("cls", (-F.col("best.minus")).alias("gid"), F.col("some_id").alias("doc_id"))
+    # a row that has the class's text
+    marks = facts.filter("kind = 2").groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("mark"))
+    survivors = best.join(classes.filter("n > 0"), "cls").filter(F.col("shared") >= need).join(marks, "cls").select("cls", (-F.col("best.minus")).alias("gid"), "mark")
     survivors = stored(survivors, "survivors")
     # the leader within a task may have a lesser leader
     above = survivors.filter("cls <> gid").select(F.col("cls").alias("gid"), F.col("gid").alias("top"))
     followed = _of_groups(survivors, survivors.groupBy("gid").agg(F.count("*").alias("count")).join(above, "gid", "left"))
-    survivors = stored(followed.select("cls", F.coalesce("top", "gid").alias("gid"), "doc_id"), "survivors")
+    survivors = stored(followed.select("cls", F.coalesce("top", "gid").alias("gid"), "mark"), "survivors")
     sizes = survivors.groupBy("gid").agg(F.count("*").alias("count"))
-    told = _of_groups(survivors, sizes).select("cls", "gid", "doc_id", F.col("count").alias("members"))
-    sets = stored(rows.join(told, "doc_id").select("cls", "gid", "members", "text").mapInArrow(partial(_tokens, width=width), _SETS), "sets")
+    told = _of_groups(survivors, sizes).select("cls", "gid", "mark", F.col("count").alias("members"))
+    sets = stored(rows.join(told, "mark").select("cls", "gid", "members", "text").mapInArrow(partial(_tokens, width=width), _SETS), "sets")
 
     cells = F.ceil(F.col("members") / cell).cast("long")
     grouped = sets.filter("members > 1").select("gid", "cls", "tokens", "members", cells.alias("cells"), F.lit(1).cast("long").alias("parts"), F.col("cls").alias("cluster"))
