@@ -33,6 +33,17 @@ def test_urls(spark):
     assert urlrules.judge_urls(df.limit(0), RULES).collect() == []
 
 
+def test_url_ties_and_long_ones(spark):
+    """Equal rules with both verdicts, in either order; thousands of rules below one host; a very long URL."""
+    rules = [("a.b", "/x", "allow"), ("a.b", "/x", "block"), ("A.B", "/y", "block"), ("a.b", "/y", "allow"), ("a.b", "/x/deep", "allow"), *(("p.q", f"/p{k}", ("allow", "block")[k % 2]) for k in range(3000))]
+    urls = ["http://a.b/x", "http://www.A.b/xx", "http://a.b/x/deeper", "http://a.b/y1", "http://p.q/p2999", "http://p.q/p1x", "http://p.q/q", "s://p.q/" + "p" * 200_000 + "/z", "http://" + "a." * 5000 + "b/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for order in (rules, rules[::-1]):
+        for got in (urlrules.judge_urls(df, order), urlrules.judge_urls_by_join(df, spark.createDataFrame(order, "host string, path string, verdict string"))):
+            found = [(r.rule, r.verdict) for r in got.orderBy("page_id").collect()]
+            assert found == [("a.b/x", "block"), ("a.b/x", "block"), ("a.b/x/deep", "allow"), ("a.b/y", "allow"), ("p.q/p2999", "block"), ("p.q/p1", "block"), (None, "allow"), (None, "allow"), ("a.b/x", "block")]
+
+
 def test_patience():
     a, b = "the quick brown fox jumps over the lazy dog".split(), "the quick red fox leaps over a lazy dog".split()
     pairs = licenses.patience(a, b)

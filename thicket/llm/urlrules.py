@@ -1,8 +1,8 @@
 """URL filter (operator 8): a trie over reversed host labels, then path segments, with allow and block entries.
 
 A rule is (host, path, verdict).  It fits its host and all subdomains if the URL's path starts with the rule's path; of
-the rules that fit, the one with the most host labels wins, then the one with the longest path.  URLs that no rule fits
-get the default verdict.
+the rules that fit, the one with the most host labels wins, then the one with the longest path; of rules for the same host and path
+the last one by (rule, verdict), so that block goes before allow.  URLs that no rule fits get the default verdict.
 """
 
 from __future__ import annotations
@@ -31,13 +31,15 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class _Node:
-    __slots__ = ("labels", "paths", "segments", "tails")
+    __slots__ = ("labels", "longest", "paths", "segments", "tails")
 
     def __init__(self) -> None:
         self.labels: dict[str, _Node] = {}
         self.paths: _Node | None = None
         self.segments: dict[str, _Node] = {}
-        self.tails: list[tuple[str, str, str]] = []
+        #: beginnings of a next segment at which rules end, and the longest one's length
+        self.tails: dict[str, tuple[str, str]] = {}
+        self.longest = 0
 
 
 class RuleTrie:
@@ -51,15 +53,18 @@ class RuleTrie:
             *whole, tail = path.split("/")
             for segment in whole:
                 at = at.segments.setdefault(segment, _Node())
-            at.tails.append((tail, f"{host}{path}", verdict))
+            at.tails[tail] = max(at.tails.get(tail, ("", "")), (f"{host}{path}", verdict))
+            at.longest = max(at.longest, len(tail))
 
     @staticmethod
     def _by_path(node: _Node, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            fit = [t for t in node.tails if segment.startswith(t[0])]
-            if fit:
-                best = max(fit, key=lambda t: len(t[0]))[1:]
+            if node.tails:
+                for n in range(min(len(segment), node.longest), -1, -1):
+                    if found := node.tails.get(segment[:n]):
+                        best = found
+                        break
             node = node.segments.get(segment)
             if node is None:
                 break
@@ -92,8 +97,8 @@ def _judge(batches: Iterable[pa.RecordBatch], rules: list[tuple[str, str, str]],
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """One row per row of pages(page_id, url): page_id, host, path, rule, verdict.
 
-    Null and malformed URLs have an empty host and path and get the default verdict; repeated rows and null ids stay;
-    other columns are not read.  The trie goes to the executors, so the rules may have MAX_RULE_BYTES at most.
+    Null and malformed URLs have an empty host and path and get the default verdict; URLs of any length are judged whole; repeated rows
+    and null ids stay; no rows give none; of equal rules the last one by (rule, verdict) counts; other columns are not read.  The trie goes to the executors, so the rules may have MAX_RULE_BYTES at most.
     """
     if (size := sum(len(h) + len(p) + len(v) for h, p, v in rules)) > MAX_RULE_BYTES:
         raise ValueError(f"{size} bytes of rules: use judge_urls_by_join")
@@ -110,7 +115,7 @@ def judge_urls_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = urls.filter("host <> ''").select("url", "path", F.explode(suffixes).alias("suffix"))
-    own = rules.select(F.lower("host").alias("suffix"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), "verdict")
+    own = rules.select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("suffix"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), "verdict")
     fits = asked.join(own, "suffix").filter(F.expr("startswith(path, rule_path)"))
     best = fits.groupBy("url").agg(F.max(F.struct(F.length("suffix"), F.length("rule_path"), F.col("rule"), F.col("verdict"))).alias("best"))
     out = urls.join(best.select("url", "best.rule", "best.verdict"), "url", "left")
