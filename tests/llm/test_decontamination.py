@@ -46,7 +46,8 @@ def test_against_all_windows(spark):
     pool = [f"b{i}" for i in range(300)]
     items = [(i, " ".join(rng.choice(pool) for _ in range(rng.choice((5, 12, 30, 45))))) for i in range(20)] + [(50, "one"), (51, "a b c d"), (52, "")]
     items.append((53, " ".join(items[3][1].split()[:12] + items[7][1].split())))
-    docs = [(r[0], r[1]) for r in documents() if r[0] is not None and (r[1] is None or len(r[1]) < 5000)]
+    docs = [(r[0], r[1]) for r in documents() if r[0] is not None]  # a very long text among them
+    docs.append((1999, " ".join(" ".join(items[rng.randrange(20)][1].split()) + " " + rng.choice(pool) for _ in range(60))))
     for k in range(40):
         w = [rng.choice(pool) for _ in range(80)]
         own = rng.choice(items[:20])[1].split()
@@ -72,11 +73,38 @@ def test_index_finds_all_within_the_radius():
         j = int(rng.integers(50))
         flips = rng.choice(64, int(rng.integers(0, index.radius + 1)), replace=False)
         asked = index.prints[j] ^ np.bitwise_or.reduce(np.append(np.uint64(1) << flips.astype(np.uint64), np.uint64(0)))
-        _, found = index.candidates(20, np.array([asked], np.uint64))
+        found = np.concatenate([j for _, j in index.candidates(20, np.array([asked], np.uint64))])
         every = [k for k in range(50) if int(index.prints[k] ^ asked).bit_count() <= index.radius]
         assert j in found and sorted(found.tolist()) == every
 
 
+def test_many_short_items(monkeypatch):
+    """A leaked benchmark of short items of one length: found by their very fingerprints, whatever their number."""
+    import time
+
+    rng = random.Random(1)
+    items = [(i, f"q{i} " + " ".join(f"w{rng.randrange(900)}" for _ in range(5))) for i in range(20_000)]
+    index = D.Index([(i, t.encode()) for i, t in items])
+    assert not len(index.of_length[6]) and len(index.same_of[6]) == 20_000
+    began = time.thread_time()
+    found = next(index.scan([" and ".join(t for _, t in items[:4000]).encode()]))
+    assert sorted(x[0] for x in found) == list(range(4000)) and all(x[1] == 1.0 for x in found)
+    assert time.thread_time() - began < 20
+
+
+def test_bounds_lose_nothing(monkeypatch):
+    """Pieces of any size and a bound that can't tell give the same findings."""
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice((7, 25))))) for i in range(40)]
+    index = D.Index([(i, t.encode()) for i, t in items])
+    text = " ".join(" ".join(t.split()[: len(t.split()) - rng.randrange(3)]) + f" x{k}" for k, (_, t) in enumerate(items)).encode()
+    found = list(index.scan([text]))
+    assert len(found[0]) > 20
+    for name, value in (("PAIRS", 7), ("PLACES", 0)):
+        monkeypatch.setattr(D, name, value)
+        assert list(index.scan([text])) == found
+
+
 def test_empty(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.contaminated(frame(spark, []), bench).collect() == []

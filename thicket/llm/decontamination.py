@@ -5,7 +5,9 @@ sought in every window of L words of every text; both are bags of five-word shin
 shingle.  A window of whose weight too little is in shingles of the benchmark can't reach the similarity with any item and
 is passed over.  The others get a 64-bit SimHash.  The index holds every item of a length under each of six blocks of its
 fingerprint and all their neighbours; the blocks' radii are such that every item within the radius of a window's SimHash is
-found.  Only items that it finds are compared, exactly, with the window.
+found.  An item of which no shingle can lack at that similarity, as one of few words, has the radius 0: a window must have its very
+fingerprint, which is one look-up among sorted ones.  Of what the index finds, only items of whose weight enough lies in the window
+are compared, exactly, with it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .textcore import U64, Words, as_bytes, chunks, in_sorted
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
 #: Where the blocks of a fingerprint begin, and where the last one ends.
 BLOCKS = (0, 11, 22, 33, 44, 54, 64)
+#: Pairs of windows and items that are looked at together, and (item, place) pairs that bound what a window holds of an item.
+PAIRS, PLACES = 1 << 22, 1 << 22
 #: Items of so many bytes are sought at a time; a larger benchmark takes several passes over the texts.
 ITEM_BYTES = 8 << 20
 _PLAIN = bytes(32 if x < 48 or 58 <= x < 65 or 91 <= x < 97 or 123 <= x < 128 else x for x in range(256))
@@ -81,8 +85,17 @@ class Index:
         sums = np.concatenate([[0], np.cumsum(self.weight * self.counts)])
         self.total = sums[self.cut[1:]] - sums[self.cut[:-1]]
         self.prints = np.array([packed(simhash(x, self.weights(x)[0]))[-1] for x in ordered], U64) if ordered else np.zeros(0, U64)
-        self.of_length = {n: np.flatnonzero(self.lengths == n) for n in np.unique(self.lengths).tolist()}
-        self.least = {n: int(self.total[j].min()) for n, j in self.of_length.items()}
+        # where the lightest shingle weighs more than may lack, a window that is like the item is the item
+        lightest = np.minimum.reduceat(self.weight, self.cut[:-1]) if ordered else self.total
+        same = lightest > (1 - similarity) * self.total * (1 + 1e-9)
+        every = {n: np.flatnonzero(self.lengths == n) for n in np.unique(self.lengths).tolist()}
+        self.least = {n: int(self.total[j].min()) for n, j in every.items()}
+        self.of_length = {n: j[~same[j]] for n, j in every.items()}
+        self.same_of = {n: (x := j[same[j]])[np.argsort(self.prints[x], kind="stable")] for n, j in every.items()}
+        #: for each known shingle the items that have it
+        owner = np.repeat(np.arange(len(ids)), np.diff(self.cut))
+        order = np.argsort(self.shingles, kind="stable")
+        self.holders, self.held = owner[order], np.concatenate([[0], np.cumsum(held)]).astype(np.int64)
         # radii of the blocks, each one more, add up to more than the radius: a fingerprint within it is near in some block
         each, more = divmod(radius + 1, len(BLOCKS) - 1)
         self.radii = [each - (k >= more) for k in range(len(BLOCKS) - 1)]
@@ -103,16 +116,41 @@ class Index:
     def block(prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> U64(BLOCKS[b])) & U64((1 << BLOCKS[b + 1] - BLOCKS[b]) - 1)).astype(np.int64)
 
-    def candidates(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all items of n words within the radius of the windows' fingerprints."""
+    def candidates(self, n: int, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item) of all items of n words within the radius of the windows' fingerprints, in pieces of bounded size."""
+        items = self.same_of[n]
+        if len(items):
+            ours = self.prints[items]
+            low = np.searchsorted(ours, prints)
+            count = np.searchsorted(ours, prints, "right") - low
+            yield np.repeat(np.arange(len(prints)), count), items[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)]
         items = self.of_length[n]
-        rows = np.zeros((len(prints), (len(items) + 7) // 8), np.uint8)
-        for b in range(len(BLOCKS) - 1):
-            if self.radii[b] >= 0:
-                rows |= self.table(n, b)[self.block(prints, b)]
-        w, k = np.nonzero(np.unpackbits(rows, axis=1, bitorder="little")[:, : len(items)])
-        close = np.bitwise_count(prints[w] ^ self.prints[items[k]]) <= self.radius
-        return w[close], items[k[close]]
+        step = max(1, PAIRS // max(1, len(items)))
+        for at in range(0, len(prints) if len(items) else 0, step):
+            some = prints[at : at + step]
+            rows = np.zeros((len(some), (len(items) + 7) // 8), np.uint8)
+            for b in range(len(BLOCKS) - 1):
+                if self.radii[b] >= 0:
+                    rows |= self.table(n, b)[self.block(some, b)]
+            w, k = np.nonzero(np.unpackbits(rows, axis=1, bitorder="little")[:, : len(items)])
+            close = np.bitwise_count(some[w] ^ self.prints[items[k]]) <= self.radius
+            yield at + w[close], items[k[close]]
+
+    def enough(self, shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int, totals: np.ndarray, w: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of windows (of so many shingles from starts on, of these total weights) and items can be similar enough, by the weight
+        of a window's shingles that the item has.  True for all where the shingles are too common to tell."""
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        place = np.flatnonzero(self.known[at] == shingles)
+        n = self.held[at[place] + 1] - self.held[at[place]]
+        if n.sum() > PLACES:
+            return np.ones(len(w), bool)
+        pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.held[at[place]], n)
+        key = self.holders[pick] * (len(shingles) + 1) + np.repeat(place, n)
+        order = np.argsort(key, kind="stable")
+        key, sums = key[order], np.concatenate([[0], np.cumsum(np.repeat(weights[place], n)[order])])
+        low = j * (len(shingles) + 1) + starts[w]
+        most = sums[np.searchsorted(key, low + size)] - sums[np.searchsorted(key, low)]
+        return most * (1 + self.similarity) >= self.similarity * (totals[w] + self.total[j]) * (1 - 1e-9)
 
     def weights(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of shingles, and which of them the benchmark has."""
@@ -154,17 +192,19 @@ class Index:
                 continue
             best: dict[int, tuple[float, int]] = {}
             for block in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * size) + 1):
-                for k in range(0, len(block), 4096):
-                    some = block[k : k + 4096]
+                for begin in range(0, len(block), 4096):
+                    some = block[begin : begin + 4096]
                     low = int(some[0])
                     part = slice(low, int(some[-1]) + size)
                     sums = simhash(shingles[part], weights[part])
                     prints = packed(sums[some - low + size] - sums[some - low])
-                    for w, j in zip(*(x.tolist() for x in self.candidates(length, prints)), strict=True):
-                        at = int(some[w])
-                        x = self.compare(shingles[at : at + size], int(total[at]), j)
-                        if x >= self.similarity and x > best.get(j, (0.0, 0))[0]:
-                            best[j] = (x, at)
+                    for w, j in self.candidates(length, prints):
+                        fits = self.enough(shingles[part], weights[part], some - low, size, total[some], w, j)
+                        for k, item in sorted(zip(w[fits].tolist(), j[fits].tolist(), strict=True)):
+                            at = int(some[k])
+                            x = self.compare(shingles[at : at + size], int(total[at]), item)
+                            if x >= self.similarity and x > best.get(item, (0.0, 0))[0]:
+                                best[item] = (x, at)
             out += [(self.ids[j], x, at, at + size + WIDTH - 1) for j, (x, at) in sorted(best.items())]
         return out
 
