@@ -21,21 +21,46 @@ def test_targets():
     assert list(mixing.targets({None: 10, "b": 10, "a": 10}).items()) and mixing.targets({None: 10, "b": 10, "a": 10})[None] == 15.0
 
 
+def miss(lengths, counts, budget, **how):
+    """How far fit misses the budget, and how far the nearest sum of all does."""
+    take = mixing.fit(lengths, counts, budget, np.random.default_rng(1), **how)
+    assert ((take >= 0) & (take <= counts)).all()
+    reach = 1
+    for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+        for _ in range(c):
+            reach |= reach << n
+    near = next(d for d in range(budget + int(lengths.max()) + 2) if (d <= budget and reach >> (budget - d) & 1) or reach >> (budget + d) & 1)
+    return abs(int((lengths * take).sum()) - budget), near
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_fit_is_as_near_as_can_be(seed):
     rng = np.random.default_rng(seed)
-    lengths = np.unique(rng.integers(1, 60, 6))
+    lengths = np.unique(rng.integers(0, 60, 6))
     counts = rng.integers(1, 4, len(lengths))
-    total = int((lengths * counts).sum())
-    budget = int(rng.integers(0, total + 1))
-    take = mixing.fit(lengths, counts, budget, np.random.default_rng(1))
-    assert ((take >= 0) & (take <= counts)).all()
-    sums = {0}
-    for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
-        sums = {s + n * k for s in sums for k in range(c + 1)}
-    near = min(abs(s - budget) for s in sums)
-    # proportional shares come first, so the nearest sum may be missed by less than the shortest document
-    assert abs(int((lengths * take).sum()) - budget) <= near + int(lengths.max())
+    got, near = miss(lengths, counts, int(rng.integers(0, int((lengths * counts).sum()) + 1)))
+    assert got == near
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_documents(seed):
+    """Few long documents, and several of a length: the nearest sum of all."""
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(40_000, 90_000, 20 if seed % 2 else 7))
+    counts = np.ones(len(lengths), np.int64) if seed % 2 else rng.integers(1, 5, len(lengths))
+    for share in (0.5, 0.13, 0.9):
+        got, near = miss(lengths, counts, int(share * int((lengths * counts).sum())))
+        assert got == near
+
+
+def test_core():
+    """With little memory a core of the lengths is fitted: many documents still meet the budget."""
+    rng = np.random.default_rng(3)
+    lengths = np.unique(rng.integers(3000, 9000, 400))
+    counts = np.ones(len(lengths), np.int64)
+    for share in (0.3, 0.5, 0.71):
+        got, near = miss(lengths, counts, int(share * int(lengths.sum())), work=1 << 24)
+        assert got <= 2 and near == 0
 
 
 def test_large_budgets_are_met():
@@ -64,9 +89,13 @@ def test_mix(spark):
         assert r.source_size == sizes[r.source] and r.target == want[r.source]
     for s in sizes:
         lengths = sorted((r.size for r in got if r.source == s), reverse=True)
-        # one document has 20000 words; its source can be as near as three copies of all others
-        spare = want[s] - 3 * sum(lengths[1:]) if lengths[0] == 20000 else 0
-        assert abs(taken[s] - want[s]) <= max(2, min(spare, abs(20000 - want[s]))), (s, taken[s], want[s])
+        # one document has 20000 words: the nearest sum of up to three copies each
+        reach = 1
+        for n in lengths:
+            for _ in range(3):
+                reach |= reach << n
+        near = min((abs(x - want[s]) for x in range(max(0, int(want[s]) - 20001), int(want[s]) + 20002) if reach >> x & 1), default=0)
+        assert abs(taken[s] - want[s]) <= near + 1, (s, taken[s], want[s])
     again = mixing.mixed(frame(spark, rows).repartition(3)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 

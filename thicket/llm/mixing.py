@@ -1,9 +1,10 @@
 """Mixing sources to target weights (operator 2) by subset-sum budget fitting.
 
 Each source gets a target of words.  Whole passes over the source come first; the rest of the budget is fitted with one
-more copy of some documents.  For that the source's documents are counted by exact length; every length gives its
-proportional share, a seeded walk tops that up to a small remainder, and a bounded-knapsack dynamic program over the
-lengths that are left finds the sum nearest to it.  Which documents of a length are taken is decided by a seeded hash.
+more copy of some documents.  For that the source's documents are counted by exact length, and a bounded-knapsack dynamic program
+over the lengths finds the sum nearest to the budget.  Where the program would not fit into memory every length first gives its
+proportional share, and a random core of lengths is fitted to the rest.  Which documents of a length are taken is decided by a
+seeded hash.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .textcore import word_chunks
 
 #: No document is taken more often.
 MOST = 3
-#: Remainders up to this many words are fitted by the dynamic program.
-FIT = 1 << 15
+#: Bits of all sets that the dynamic program holds at once.
+WORK = 1 << 30
 #: Documents of one source and length are told apart by this many hash buckets before any are ranked.
 BUCKETS = 1024
 MAX_SOURCES = 1_000_000
@@ -55,53 +56,71 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3)
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Generator) -> np.ndarray:
-    """How many documents of each length to take, at most counts, for a sum as near to budget as can be found."""
+def _nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
+    """How many of each length make the sum nearest to budget, of equally near ones the lesser: bounded knapsack in bit sets, whose
+    bit i tells whether the sum i can be reached; a count is cut into powers of two."""
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
-        return take
-    if budget >= total:
-        return counts.astype(np.int64).copy()
-    # whole numbers of any size: counts times budgets don't fit 64 bits in a large corpus
-    if budget > FIT:
-        take = (counts.astype(object) * budget // total).astype(np.int64)
-    rest = budget - int((lengths * take).sum())
-    while rest > FIT:
-        before = rest
-        for k in rng.permutation(len(lengths)).tolist():
-            if take[k] < counts[k] and lengths[k] <= rest - FIT // 2:
-                take[k] += 1
-                rest -= int(lengths[k])
-        if rest == before:
-            break
-    able = np.flatnonzero((counts > take) & (lengths <= 2 * rest) & (lengths > 0))
-    able = able[rng.permutation(len(able))]
-    items: list[tuple[int, int]] = []
+    if budget <= 0 or budget >= total:
+        return take if budget <= 0 else counts.astype(np.int64).copy()
+    # the nearest sum above is less than the longest document away
+    mask = (1 << (budget + int(lengths.max()) + 1)) - 1
     reach, history = 1, []
-    # sums above the budget count too: the nearest one may be there
-    mask = (1 << (2 * rest + 1)) - 1
-    for k in able.tolist():
-        left, step = min(int(counts[k] - take[k]), 2 * rest // int(lengths[k])), 1
-        while left and not reach >> rest & 1:
+    for k in order.tolist():
+        left, step = int(counts[k]) if lengths[k] else 0, 1
+        while left and not reach >> budget & 1:
             step = min(step, left)
-            items.append((k, step))
-            history.append(reach)
+            history.append((k, step, reach))
             reach |= (reach << int(lengths[k]) * step) & mask
             left -= step
             step *= 2
-        if reach >> rest & 1:
-            break
-    at, beyond = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1, reach >> (rest + 1)
-    if beyond and (above := rest + (beyond & -beyond).bit_length()) - rest < rest - at:
+    at, beyond = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1, reach >> (budget + 1)
+    if beyond and (above := budget + (beyond & -beyond).bit_length()) - budget < budget - at:
         at = above
-    for (k, step), before in zip(reversed(items), reversed(history), strict=True):
+    for k, step, before in reversed(history):
         if not before >> at & 1:
             take[k] += step
             at -= int(lengths[k]) * step
     return take
 
 
+def _bits(lengths: np.ndarray, counts: np.ndarray, budget: int) -> int:
+    """Of all bit sets of _nearest."""
+    return sum(int(c).bit_length() for c in counts) * (budget + int(lengths.max(initial=0)) + 1)
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Generator, work: int = WORK) -> np.ndarray:
+    """How many documents of each length to take, at most counts, for a sum as near to budget as can be reached.
+
+    The program runs over all lengths where its bit sets fit into ``work``.  Otherwise each length first gives its share and a seeded walk
+    tops that up; then a random core of lengths, as many as fit, gives back what it gave and is fitted anew to all that is missing.
+    """
+    total = int((lengths * counts).sum())
+    if 2 * budget > total:
+        return counts - fit(lengths, counts, total - budget, rng, work)
+    order = rng.permutation(len(lengths))
+    if budget <= 0 or _bits(lengths, counts, budget) <= work:
+        return _nearest(lengths, counts, budget, order)
+    # whole numbers of any size: counts times budgets don't fit 64 bits in a large corpus
+    take = (counts.astype(object) * budget // total).astype(np.int64)
+    rest = budget - int((lengths * take).sum())
+    for k in order.tolist():
+        if take[k] < counts[k] and lengths[k] <= rest:
+            take[k] += 1
+            rest -= int(lengths[k])
+    some, missing, sets, longest = [], rest, 0, 0
+    for k in rng.permutation(len(lengths)).tolist():  # another order than the walk's, for lengths that gave all and that gave nothing
+        more, width = sets + int(counts[k]).bit_length(), max(longest, int(lengths[k]))
+        given = missing + int(lengths[k] * take[k])
+        if lengths[k] and more * (given + width + 1) <= work:
+            some.append(k)
+            missing, sets, longest = given, more, width
+    core = np.array(some, np.int64)
+    if len(core):
+        take[core] = _nearest(lengths[core], counts[core], missing, np.arange(len(core)))
+    return take
+
+
 _PLAN = "source string, size long, base long, extra long, count long"
 
 
