@@ -33,7 +33,7 @@ def test_registered():
     from thicket.llm import queries
 
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
 
 
