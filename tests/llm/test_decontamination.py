@@ -100,7 +100,7 @@ def test_bounds_lose_nothing(monkeypatch):
     text = " ".join(" ".join(t.split()[: len(t.split()) - rng.randrange(3)]) + f" x{k}" for k, (_, t) in enumerate(items)).encode()
     found = list(index.scan([text]))
     assert len(found[0]) > 20
-    for name, value in (("PAIRS", 7), ("PLACES", 0)):
+    for name, value in (("PAIRS", 7), ("FEW", 0), ("PLACES", 0), ("FEW", 1 << 30)):
         monkeypatch.setattr(D, name, value)
         assert list(index.scan([text])) == found
 

@@ -30,6 +30,8 @@ WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
 BLOCKS = (0, 11, 22, 33, 44, 54, 64)
 #: Pairs of windows and items that are looked at together, and (item, place) pairs that bound what a window holds of an item.
 PAIRS, PLACES = 1 << 22, 1 << 22
+#: Fewer pairs than this are compared at once.
+FEW = 16
 #: Items of so many bytes are sought at a time; a larger benchmark takes several passes over the texts.
 ITEM_BYTES = 8 << 20
 _PLAIN = bytes(32 if x < 48 or 58 <= x < 65 or 91 <= x < 97 or 123 <= x < 128 else x for x in range(256))
@@ -138,7 +140,9 @@ class Index:
 
     def enough(self, shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int, totals: np.ndarray, w: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs of windows (of so many shingles from starts on, of these total weights) and items can be similar enough, by the weight
-        of a window's shingles that the item has.  True for all where the shingles are too common to tell."""
+        of a window's shingles that the item has.  True for all where the shingles are too common to tell, or the pairs too few."""
+        if len(w) < FEW:
+            return np.ones(len(w), bool)
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
         place = np.flatnonzero(self.known[at] == shingles)
         n = self.held[at[place] + 1] - self.held[at[place]]
