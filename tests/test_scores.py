@@ -12,6 +12,7 @@ def scores(df):
     return {(r.src, r.dst): r.score for r in degrees.scored(df).collect()}
 
 
+# Graphs and their scores, worked out by hand.
 @pytest.mark.parametrize(
     "pairs,expected",
     [
