@@ -21,20 +21,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their n-grams, log weight and whether the resampler keeps them."""
     out = resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_grams", "log_weight", "kept")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of its source takes."""
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents by fixed rules and perplexity bands."""
     out = perplexity.judged(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from all formatted conversations and the one that looks like the template's marks."""
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", MARKS), (-7, 1, "assistant", MARKS)], "conv_id long, turn long, role string, text string")
     out = chat.read_back(chat.format_conversations(turns.unionByName(more)))
@@ -42,26 +46,32 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the archives of all pages."""
     return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that all documents hold, with their coverage."""
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that all documents hold."""
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls."""
     return urlrules.judge_urls(_table(spark, sf_dir, "pages"), RULES)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: counts of the base patterns, their digest and all spans."""
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that link by their shingles."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
@@ -81,6 +91,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages of corpus_pipeline leave of all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
